@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +21,14 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
