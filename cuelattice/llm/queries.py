@@ -11,6 +11,11 @@ from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
+from .simhash import near_duplicates
+
+
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +31,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
