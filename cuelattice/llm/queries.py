@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .simhash import near_duplicates
+from .toxicity import score_toxicity
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +31,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
