@@ -10,6 +10,7 @@ documents, and is packed again, until it fits one partition or the rounds are ov
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ PART_ITEMS = 50_000
 #: Most rounds of exchange after the first packing.
 ROUNDS = 4
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
 
 
 class WordTokens:
@@ -43,7 +44,8 @@ class WordTokens:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [x.split() for x in texts]
+        # The tokenizer lower-cases all but its special tokens, so words that differ in case are one entry.
+        split = [(x if b"<|" in x else x.lower()).split() for x in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
@@ -51,7 +53,8 @@ class WordTokens:
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             for word, found in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+                ids = found.ids
+                known[word] = struct.pack(f"<{len(ids)}I", *ids)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
