@@ -11,6 +11,7 @@ from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
+from .quality import quality_verdicts
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
 
@@ -31,6 +32,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
 }
 
