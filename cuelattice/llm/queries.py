@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .quality import quality_verdicts
+from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
 
@@ -28,6 +29,10 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_secret_scans": op5_secret_scans,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
