@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .quality import quality_verdicts
 from .secrets import scan_secrets
 from .simhash import near_duplicates
+from .substring_dedup import remove_repeats
 from .toxicity import score_toxicity
 
 
@@ -50,6 +51,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
