@@ -16,6 +16,7 @@ from .quality import quality_verdicts
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
+from .token_counts import edited_counts, example_edits
 from .toxicity import score_toxicity
 
 
@@ -31,6 +32,10 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), example_edits())
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_secret_scans": op5_secret_scans,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_lm_scoring": op7_lm_scoring,
