@@ -24,16 +24,17 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder that the cluster names (spark.checkpoint.dir).
-
-    Only where no folder is set, as in local tests, one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Only where none is set, as in local tests, one is made."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder for checkpoints; its lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -42,10 +43,6 @@ def partitions_for(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
 
-def binary_values(column: pa.Array) -> list[bytes]:
-    return column.to_pylist()
-
-
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "t", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of text or a single row."""
     for batch in batches:

@@ -57,29 +57,32 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select("doc_id", text_bytes().alias("t")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def segments(distance: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of distance // 2 + 1 segments: were each to differ by two bits, more than `distance` would."""
-    n = distance // 2 + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+#: (lane, first bit, bits)
+Segment = tuple[int, int, int]
+
+
+def segments(count: int, lane: int = 0) -> list[Segment]:
+    """`count` segments of one lane. With distance // 2 + 1 of them, were each to differ by two bits, more than `distance` would."""
+    cuts = [BITS * i // count for i in range(count + 1)]
+    return [(lane, a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _mask(bits: int) -> int:
     return (1 << bits) - 1
 
 
-def _segment(fp: Column, first: int, bits: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit(_mask(bits)).cast("long"))
+def _segment(lanes: list[str], lane: int, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(lanes[lane], first).bitwiseAND(F.lit(_mask(bits)).cast("long"))
 
 
-def _variants(value: Column, first: int, bits: int) -> list[Column]:
+def _variants(value: Column, lane: int, first: int, bits: int) -> list[Column]:
     """Keys of a segment's value with one bit taken out, for each of its bits."""
-    return [value.bitwiseAND(F.lit(_mask(bits) & ~(1 << i)).cast("long")) + F.lit((first + i) << 40).cast("long") for i in range(bits)]
+    return [value.bitwiseAND(F.lit(_mask(bits) & ~(1 << i)).cast("long")) + F.lit((BITS * lane + first + i) << 40).cast("long") for i in range(bits)]
 
 
-def _hot_keys(distinct: DataFrame, layout: list[tuple[int, int]], block: int) -> DataFrame:
+def _hot_keys(distinct: DataFrame, lanes: list[str], layout: list[Segment], block: int) -> DataFrame:
     """(key, blocks) of keys of more than `block` fingerprints, or nearly so; a key's two values are counted for it."""
-    values = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).alias("s"), _segment(F.col("fp"), *x).alias("value")) for i, x in enumerate(layout)])).alias("x"))
+    values = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).alias("s"), _segment(lanes, *x).alias("value")) for i, x in enumerate(layout)])).alias("x"))
     counts = values.groupBy("x.s", "x.value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block // 2)
     keys = F.array()
     for i, x in reversed(list(enumerate(layout))):
@@ -87,96 +90,120 @@ def _hot_keys(distinct: DataFrame, layout: list[tuple[int, int]], block: int) ->
     return counts.select(F.explode(keys).alias("key"), "n").groupBy("key").agg(F.ceil((F.sum("n") + block // 2) / block).cast("int").alias("blocks"))
 
 
-def _verified(a: np.ndarray, b: np.ndarray, bit: np.ndarray, layout: list[tuple[int, int]], distance: int) -> np.ndarray:
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints whose lanes are the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _verified(a: np.ndarray, b: np.ndarray, bit: np.ndarray, layout: list[Segment], distance: int) -> np.ndarray:
     """Pairs within the distance, each under the first of the keys that it shares only."""
-    x = a ^ b
-    ok = np.bitwise_count(x) <= distance
-    canonical = np.full(len(x), -1, np.int64)
-    for first, bits in layout:
-        part = (x >> np.uint64(first)) & np.uint64(_mask(bits))
+    canonical = np.full(len(a), -1, np.int64)
+    for lane, first, bits in layout:
+        part = ((a[:, lane] ^ b[:, lane]) >> np.uint64(first)) & np.uint64(_mask(bits))
         here = (canonical < 0) & (np.bitwise_count(part) <= 1)
         where = np.where(part == 0, 0, np.bitwise_count(part - np.uint64(1)))  # of a single bit: its place
-        canonical = np.where(here, first + where, canonical)
-    return ok & (canonical == bit)
+        canonical = np.where(here, BITS * lane + first + where, canonical)
+    return (_apart(a, b) <= distance) & (canonical == bit)
 
 
-def _forest(fps: np.ndarray, bit: int, layout: list[tuple[int, int]], distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one block, comparing some rows with all later ones at a time."""
+def _near_pairs(fps: np.ndarray, bit: int, layout: list[Segment], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the verified pairs within one block, comparing some rows with all later ones at a time."""
     n = len(fps)
-    root = np.arange(n)
     step = max(1, (1 << 19) // n)
     for i in range(0, n, step):
-        rows = np.arange(i, min(n, i + step))
-        near_i, near_j = np.nonzero(np.bitwise_count(fps[rows][:, None] ^ fps[None, i:]) <= distance)
-        near_i, near_j = near_i + i, near_j + i
-        keep = (near_i < near_j) & (root[near_i] != root[near_j])
-        a, b = near_i[keep], near_j[keep]
+        a, b = np.nonzero(_apart(fps[i : i + step, None], fps[None, i:]) <= distance)
+        a, b = a[a < b] + i, b[a < b] + i
         good = _verified(fps[a], fps[b], np.full(len(a), bit), layout, distance)
-        a, b = a[good], b[good]
-        while len(a):
-            ra, rb = root[a], root[b]
-            low, high = np.minimum(ra, rb), np.maximum(ra, rb)
+        yield a[good], b[good]
+
+
+def _forest(fps: np.ndarray, bit: int, layout: list[Segment], distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within one block."""
+    root = np.arange(len(fps))
+    for a, b in _near_pairs(fps, bit, layout, distance):
+        while True:
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                break
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
             np.minimum.at(root, high, low)
-            while True:
-                up = root[root]
-                if np.array_equal(up, root):
-                    break
-                root = up
-            open_ = root[a] != root[b]
-            a, b = a[open_], b[open_]
-    child = np.flatnonzero(root != np.arange(n))
+            while not np.array_equal(root[root], root):
+                root = root[root]
+    child = np.flatnonzero(root != np.arange(len(fps)))
     return fps[root[child]], fps[child]
 
 
-def links(distinct: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of distinct fingerprints (fp) whose components are those of all pairs within the distance."""
-    layout = segments(distance)
-    hot = cut(_hot_keys(distinct, layout, block))
+def _nearest(fps: np.ndarray, bit: int, layout: list[Segment], distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The forest, and a link of each fingerprint to the nearest in its block."""
+    best, other = np.full(len(fps), distance + 1), np.zeros(len(fps), np.int64)
+    for a, b in _near_pairs(fps, bit, layout, distance):
+        d = _apart(fps[a], fps[b])
+        for x, y in ((a, b), (b, a)):
+            order = np.lexsort((d, x))
+            first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])] if len(order) else order
+            closer = first[d[first] < best[x[first]]]
+            best[x[closer]], other[x[closer]] = d[closer], y[closer]
+    own = np.flatnonzero(best <= distance)
+    a, b = _forest(fps, bit, layout, distance)
+    return np.concatenate([a, fps[own]]), np.concatenate([b, fps[other[own]]])
+
+
+def links(distinct: DataFrame, distance: int = 4, block: int = BLOCK, lanes: list[str] | None = None, layout: list[Segment] | None = None, nearest: bool = False) -> DataFrame:
+    """Links of distinct fingerprints whose components are those of all pairs within the distance that share a key.
+
+    distinct has the lanes of a fingerprint (fp, unless given). The default layout shares a key for all pairs within
+    the distance. Rows (a, b), or (a0, a1, ..., b0, b1, ...) for more lanes. With `nearest`, each fingerprint of a
+    crowded key is also linked to the one nearest to it.
+    """
+    lanes = lanes or ["fp"]
+    layout = layout or segments(distance // 2 + 1)
+    crowded = _nearest if nearest else _forest
+    hot = cut(_hot_keys(distinct, lanes, layout, block))
     n_hot = hot.count()
-    keys = distinct.select(F.explode(F.array(*[k for x in layout for k in _variants(_segment(F.col("fp"), *x), *x)])).alias("key"), "fp")
+    keys = distinct.select(F.explode(F.array(*[k for x in layout for k in _variants(_segment(lanes, *x), *x)])).alias("key"), *lanes)
     if n_hot:
         keys = keys.join(F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot, "key", "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        own = F.pmod(F.xxhash64(*lanes), F.col("blocks")).cast("int")
         other = F.explode(F.when(F.coalesce("blocks", F.lit(1)) > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0))))
         keys = keys.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
-        keys = keys.select("key", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("blocks"), "fp")
+        keys = keys.select("key", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("blocks"), *lanes)
     else:
-        keys = keys.select("key", F.lit(0).cast("long").alias("blocks"), "fp")
+        keys = keys.select("key", F.lit(0).cast("long").alias("blocks"), *lanes)
+    names = [f"{side}{i if len(lanes) > 1 else ''}" for side in "ab" for i in range(len(lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted; the last key of a batch waits for the next one."""
         rest = None
         for batch in batches:
-            now = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "blocks", "fp")]
-            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            key, blocks = now[0], now[1]
-            tail = len(key) - 1
-            change = np.flatnonzero((key[1:] != key[:-1]) | (blocks[1:] != blocks[:-1])) + 1 if len(key) > 1 else np.zeros(0, np.int64)
+            now = np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "blocks", *lanes)])
+            now = now if rest is None else np.concatenate([rest, now], axis=1)
+            change = np.flatnonzero((now[:2, 1:] != now[:2, :-1]).any(axis=0)) + 1
             tail = int(change[-1]) if len(change) else 0
-            rest = [x[tail:] for x in now]
-            yield from out([x[:tail] for x in now], np.concatenate([[0], change[:-1]]) if tail else np.zeros(0, np.int64))
-        if rest is not None:
-            yield from out(rest, np.zeros(min(1, len(rest[0])), np.int64))
-
-    def out(rows: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(starts):
-            return
-        key, fps = rows[0], rows[2].view(np.uint64)
-        bit = key >> 40
-        sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        found = []
-        small = np.repeat(np.where(sizes <= 16, sizes, 0), sizes)
-        at = np.arange(len(key)) - np.repeat(starts, sizes)
-        for s in range(1, int(small.max(initial=0))):
-            i = np.flatnonzero(at + s < small)
-            ok = _verified(fps[i], fps[i + s], bit[i], layout, distance)
-            found.append((fps[i[ok]], fps[i[ok] + s]))
-        for a, n in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-            found.append(_forest(fps[a : a + n], int(bit[a]), layout, distance))
-        if found:
-            a, b = (np.concatenate([x[k] for x in found]).view(np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
-
-    return keys.repartition("key", "blocks").sortWithinPartitions("key", "blocks").mapInArrow(run, "a long, b long")
+            rest = now[:, tail:]
+            if tail:
+                yield from found(now[:, :tail], np.concatenate([[0], change[:-1]]))
+        if rest is not None and rest.shape[1]:
+            yield from found(rest, np.zeros(1, np.int64))
+
+    def found(rows: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bit, fps = rows[0] >> 40, np.ascontiguousarray(rows[2:].T).view(np.uint64)
+        n = rows.shape[1]
+        sizes = np.diff(np.append(starts, n))
+        few = np.repeat(np.where(sizes <= 16, sizes, 0), sizes)
+        at = np.arange(n) - np.repeat(starts, sizes)
+        pairs = []
+        for s in range(1, int(few.max(initial=0))):
+            i = np.flatnonzero(at + s < few)
+            i = i[_verified(fps[i], fps[i + s], bit[i], layout, distance)]
+            pairs.append((fps[i], fps[i + s]))
+        for a, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
+            pairs.append(crowded(fps[a : a + size], int(bit[a]), layout, distance))
+        if pairs:
+            sides = [np.concatenate([x[k] for x in pairs]).view(np.int64) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for x in sides for i in range(len(lanes))], names=names)
+
+    return keys.repartition("key", "blocks").sortWithinPartitions("key", "blocks").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, block: int = BLOCK) -> DataFrame:
@@ -194,3 +221,98 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, block: i
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Of texts as similar as `similar_groups` looks for, word sets differ so little that two lanes seldom differ by more.
+WORD_DISTANCE = 20
+
+
+def word_fingerprint(words: list[bytes]) -> tuple[int, int]:
+    """A SimHash of two lanes over the distinct words of a text."""
+    distinct = set(words)
+    if not distinct:
+        return 0, 0
+    ones = np.zeros(2 * BITS, np.int64)
+    digests = b"".join(map(_WORDS.__getitem__, distinct))
+    for i in range(0, len(digests), 1 << 20):
+        part = np.frombuffer(digests[i : i + (1 << 20)], np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    packed = np.packbits(2 * ones > len(distinct), bitorder="little").tobytes()
+    return int.from_bytes(packed[:8], "little"), int.from_bytes(packed[8:], "little")
+
+
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 500_000:
+            self.clear()
+        out = self[word] = xxhash.xxh3_128_digest(word)
+        return out
+
+
+_WORDS = _Digests()
+
+
+def _text_name(words: list[bytes]) -> int:
+    """A signed 64-bit name of a word sequence."""
+    name = xxhash.xxh3_64_intdigest(b" ".join(words))
+    return name - (name >> 63 << 64)
+
+
+def shingles(words: list[bytes], width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles; of fewer words, of the whole sequence."""
+    if not words:
+        return np.zeros(0, np.int64)
+    whole = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, whole), np.uint64, len(whole))).view(np.int64)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """Rows (doc_id, component_id), one per input row: groups over links of Jaccard similarity of `width`-word shingles.
+
+    Words are as in `near_duplicates`. Candidates are found by a SimHash of two lanes over distinct words, whose few
+    differing bits leave five segments much alike: of pairs at a similarity of 0.8 about 97 in 100 share a key, of
+    closer ones more. Every candidate is verified on all its shingles. Texts of equal shingles are one candidate. Texts
+    without words are linked to each other. A null doc_id is a row of its own and has a null component_id.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            split = [x.lower().split() for x in batch.column("t").to_pylist()]
+            fps = np.array([word_fingerprint(x) for x in split], np.uint64).reshape(-1, 2).view(np.int64)
+            text = np.array([_text_name(x) for x in split], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text), pa.array(np.ascontiguousarray(fps[:, 0])), pa.array(np.ascontiguousarray(fps[:, 1]))], names=["doc_id", "th", "fp0", "fp1"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            ths, found = [], []
+            for th, text in zip(batch.column("th").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                words = text.lower().split()
+                if _text_name(words) == th:  # a doc_id may be repeated with another text
+                    ths.append(th)
+                    found.append(shingles(words, width))
+            yield pa.RecordBatch.from_arrays([pa.array(ths, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["th", "s"])
+
+    base = docs.select("doc_id", text_bytes().alias("t"))
+    rows = cut(base.mapInArrow(prints, f"doc_id {kind}, th long, fp0 long, fp1 long"))
+    texts = cut(rows.filter(F.col("doc_id").isNotNull()).groupBy("th", "fp0", "fp1").agg(F.min("doc_id").alias("least")))
+    distinct = texts.select("fp0", "fp1").distinct()
+    layout = segments(3) + segments(2, 1)
+    pairs = links(distinct, WORD_DISTANCE, block, ["fp0", "fp1"], layout, nearest=True).distinct()
+    # Texts of one fingerprint are linked by way of the least of them; so are fingerprints.
+    heads = texts.groupBy("fp0", "fp1").agg(F.min("th").alias("head"))
+    same = texts.join(heads, ["fp0", "fp1"]).filter("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
+    head = lambda x: heads.select(F.col("fp0").alias(f"{x}0"), F.col("fp1").alias(f"{x}1"), F.col("head").alias(x))
+    across = pairs.join(head("a"), ["a0", "a1"]).join(head("b"), ["b0", "b1"]).select("a", "b")
+    candidates = cut(same.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = candidates.select(F.col("a").alias("th")).unionByName(candidates.select(F.col("b").alias("th"))).distinct().join(texts.select("th", "least"), "th").select("th", F.col("least").alias("doc_id"))
+    first = base.join(asked, "doc_id").select("th", "t").mapInArrow(sets, "th long, s array<long>")
+    first = cut(first.groupBy("th").agg(F.first("s").alias("s")))
+    side = lambda x: first.select(F.col("th").alias(x), F.col("s").alias(f"s{x}"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    similar = F.when(F.size("sa") + F.size("sb") == 0, True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))
+    true_links = candidates.join(side("a"), "a").join(side("b"), "b").filter(similar).select("a", "b")
+    roots = cut(connected_components(true_links))
+    of = texts.groupBy("th").agg(F.min("least").alias("least")).join(roots, F.col("th") == F.col("node"), "left").select("th", "least", F.coalesce("root", "th").alias("root"))
+    named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("th", "component_id")
+    return rows.join(named, "th", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
