@@ -229,9 +229,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     from each other. Texts of fewer words than a window stay. An empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), text_bytes().alias("t"))
+    every = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), text_bytes().alias("t"))
+    base, unordered = every.filter(F.col("doc_id").isNotNull()), every.filter(F.col("doc_id").isNull())
     # Worked out twice rather than kept: the anchors are cheaper to find again than to write.
-    each = base.filter(F.col("doc_id").isNotNull()).mapInArrow(lambda it: _anchor_rows(it, window), f"key long, a long, b long, doc_id {kind}, th long, first int, last int")
+    each = base.mapInArrow(lambda it: _anchor_rows(it, window), f"key long, a long, b long, doc_id {kind}, th long, first int, last int")
     shared = each.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key")
     common = cut(each.join(shared, "key"))
     classes = cut(common.groupBy("key", "a", "b").agg(F.min("doc_id").alias("owner")))
@@ -240,10 +241,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     spans = F.collect_set(F.struct("first", "last")).alias("spans")
     whole = owned.filter("doc_id > owner").select("doc_id", "th", "first", "last")
     unclear = owned.filter("doc_id = owner").join(several, "key").groupBy("doc_id", "th").agg(spans)
+    # From here on it is one plan: both joins with the texts read the same shuffle.
     single = base.join(unclear, ["doc_id", "th"]).select("doc_id", "th", "t", "spans").mapInArrow(lambda it: _window_rows(it, window), f"wa long, wb long, doc_id {kind}, th long, first int")
-    single = cut(single)
     owner = single.groupBy("wa", "wb").agg(F.min("doc_id").alias("owner"))
     by_window = single.join(owner, ["wa", "wb"]).filter("doc_id > owner").select("doc_id", "th", "first", F.col("first").alias("last"))
-    gone = cut(whole.unionByName(by_window).groupBy("doc_id", "th").agg(spans))
+    gone = whole.unionByName(by_window).groupBy("doc_id", "th").agg(spans)
+    marked = base.join(gone, ["doc_id", "th"], "left").select("doc_id", "t", "spans")
+    marked = marked.unionByName(unordered.select("doc_id", "t", F.lit(None).cast(marked.schema["spans"].dataType).alias("spans")))
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return base.join(gone, ["doc_id", "th"], "left").select("doc_id", "t", "spans").mapInArrow(lambda it: _kept_rows(it, window, with_text), schema)
+    return marked.mapInArrow(lambda it: _kept_rows(it, window, with_text), schema)
