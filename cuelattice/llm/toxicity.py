@@ -19,13 +19,13 @@ from pyspark.sql import types as T
 from .common import pieces, text_bytes
 
 #: Labelled rows that the classifier is fitted on at most: those with the least hashes of their ids.
-SAMPLE_ROWS = 3_000
-SIZES = (3, 5)
-HASH_BITS = 18
-#: A feature needs so many texts of the sample.
-LEAST_TEXTS = 3
+SAMPLE_ROWS = 4_000
+SIZES = (5, 8)
+HASH_BITS = 20
+#: A feature needs so many texts of the sample (fewer where few are toxic).
+LEAST_TEXTS = 15
 STEPS = 100
-L2 = 1e-4
+L2 = 3e-4
 
 
 @dataclass
@@ -68,7 +68,7 @@ def fit_model(texts: list[np.ndarray], toxic: np.ndarray) -> Model:
     with_it = np.bincount(feature[toxic[row] == 1], minlength=size)
     without = np.bincount(feature, minlength=size) - with_it
     ratio = np.log((with_it + 1) / (positive + 2)) - np.log((without + 1) / (len(toxic) - positive + 2))
-    used = np.flatnonzero(with_it + without >= LEAST_TEXTS)
+    used = np.flatnonzero(with_it + without >= min(LEAST_TEXTS, max(1, positive // 10)))
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
     keep = place[feature] >= 0
