@@ -102,7 +102,7 @@ def adaptive_limits(rows: DataFrame) -> DataFrame:
     # Partial sketches of each task meet per group; the rows of a hot group are never together.
     own = cut(rows.filter("n_words > 0").groupBy("lang", "source").agg(n, *sketches))
     lang = own.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
-    all_ = own.agg(F.sum("n").alias("n"), *merged)
+    all_ = own.agg(F.sum("n").alias("n"), *merged).filter("n > 0")  # a sketch of nothing has no quantiles
 
     def limits(frame: DataFrame, prefix: str) -> DataFrame:
         out = []
