@@ -223,29 +223,30 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, block: i
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of texts as similar as `similar_groups` looks for, word sets differ so little that two lanes seldom differ by more.
+#: Texts as similar as `similar_groups` looks for differ so little in words and neighbours that two lanes seldom differ by more.
 WORD_DISTANCE = 20
 
 
-def word_fingerprint(words: list[bytes]) -> tuple[int, int]:
-    """A SimHash of two lanes over the distinct words of a text."""
-    distinct = set(words)
-    if not distinct:
-        return 0, 0
-    ones = np.zeros(2 * BITS, np.int64)
-    digests = b"".join(map(_WORDS.__getitem__, distinct))
-    for i in range(0, len(digests), 1 << 20):
-        part = np.frombuffer(digests[i : i + (1 << 20)], np.uint8).reshape(-1, 16)
+def _majority(digests: bytes) -> int:
+    """The bits that more than half of the 64-bit digests have."""
+    ones, n = np.zeros(BITS, np.int64), len(digests) // 8
+    for i in range(0, len(digests), 1 << 19):
+        part = np.frombuffer(digests[i : i + (1 << 19)], np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    packed = np.packbits(2 * ones > len(distinct), bitorder="little").tobytes()
-    return int.from_bytes(packed[:8], "little"), int.from_bytes(packed[8:], "little")
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+
+
+def word_fingerprint(words: list[bytes]) -> tuple[int, int]:
+    """A SimHash of the distinct words of a text, and one of its distinct pairs of neighbours."""
+    pairs = {a + b" " + b for a, b in zip(words, words[1:], strict=False)}
+    return _majority(b"".join(map(_WORDS.__getitem__, set(words)))), _majority(b"".join(map(xxhash.xxh3_64_digest, pairs)))
 
 
 class _Digests(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= 500_000:
             self.clear()
-        out = self[word] = xxhash.xxh3_128_digest(word)
+        out = self[word] = xxhash.xxh3_64_digest(word)
         return out
 
 
@@ -269,9 +270,9 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """Rows (doc_id, component_id), one per input row: groups over links of Jaccard similarity of `width`-word shingles.
 
-    Words are as in `near_duplicates`. Candidates are found by a SimHash of two lanes over distinct words, whose few
-    differing bits leave five segments much alike: of pairs at a similarity of 0.8 about 97 in 100 share a key, of
-    closer ones more. Every candidate is verified on all its shingles. Texts of equal shingles are one candidate. Texts
+    Words are as in `near_duplicates`. Candidates are found by a SimHash of distinct words and one of distinct pairs of
+    neighbours, which differ in few bits: of pairs at a similarity of 0.8 about 98 in 100 share a key of one of their
+    six segments, of closer ones more. Every candidate is verified on all its shingles. Texts of equal shingles are one candidate. Texts
     without words are linked to each other. A null doc_id is a row of its own and has a null component_id.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -297,7 +298,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, blo
     rows = cut(base.mapInArrow(prints, f"doc_id {kind}, th long, fp0 long, fp1 long"))
     texts = cut(rows.filter(F.col("doc_id").isNotNull()).groupBy("th", "fp0", "fp1").agg(F.min("doc_id").alias("least")))
     distinct = texts.select("fp0", "fp1").distinct()
-    layout = segments(3) + segments(2, 1)
+    layout = segments(3) + segments(3, 1)
     pairs = links(distinct, WORD_DISTANCE, block, ["fp0", "fp1"], layout, nearest=True).distinct()
     # Texts of one fingerprint are linked by way of the least of them; so are fingerprints.
     heads = texts.groupBy("fp0", "fp1").agg(F.min("th").alias("head"))
