@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import pieces, text_bytes
 
 #: Labelled rows that the classifier is fitted on at most: those with the least hashes of their ids.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 3_000
 SIZES = (5, 8)
 HASH_BITS = 20
 #: A feature needs so many texts of the sample (fewer where few are toxic).
@@ -55,31 +55,43 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_model(texts: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """Log-count ratios, then logistic regression by full-batch steps. One class alone: its rate everywhere."""
+def fit_model(feature: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Model:
+    """Log-count ratios, then logistic regression by full-batch steps. One class alone: its rate everywhere.
+
+    The features of text i are feature[offsets[i]:offsets[i + 1]]. Steps go through some features at a time, so that
+    the memory besides these arrays doesn't grow with the sample.
+    """
     size = 1 << HASH_BITS
     weights = np.zeros(size, np.float32)
-    positive = int(toxic.sum())
-    if not positive or positive == len(toxic):
-        rate = (positive + 1e-6) / (len(toxic) + 2e-6) if len(toxic) else 1e-6
+    positive, texts = int(toxic.sum()), len(toxic)
+    if not positive or positive == texts:
+        rate = (positive + 1e-6) / (texts + 2e-6) if texts else 1e-6
         return Model(weights, float(np.log(rate / (1 - rate))))
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    row, feature = np.repeat(np.arange(len(texts), dtype=np.int32), lengths), np.concatenate(texts).astype(np.int32)
-    with_it = np.bincount(feature[toxic[row] == 1], minlength=size)
-    without = np.bincount(feature, minlength=size) - with_it
-    ratio = np.log((with_it + 1) / (positive + 2)) - np.log((without + 1) / (len(toxic) - positive + 2))
+    row = np.repeat(np.arange(texts, dtype=np.uint16 if texts < 1 << 16 else np.int32), np.diff(offsets))
+    parts = [slice(i, i + (1 << 19)) for i in range(0, len(feature), 1 << 19)]
+    with_it, without = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for x in parts:
+        hit = toxic[row[x]] == 1
+        with_it += np.bincount(feature[x][hit], minlength=size)
+        without += np.bincount(feature[x][~hit], minlength=size)
+    ratio = np.log((with_it + 1) / (positive + 2)) - np.log((without + 1) / (texts - positive + 2))
     used = np.flatnonzero(with_it + without >= min(LEAST_TEXTS, max(1, positive // 10)))
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    keep = place[feature] >= 0
-    row, column = row[keep], place[feature[keep]]
+    kept = [(row[x][place[feature[x]] >= 0], place[feature[x]][place[feature[x]] >= 0]) for x in parts]
     scale = ratio[used]
-    value = scale[column].astype(np.float32)
     w, bias = np.zeros(len(used)), 0.0
     mean, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
-        error = logistic(np.bincount(row, value * w[column], len(texts)) + bias) - toxic
-        gradient = np.append(np.bincount(column, value * error[row], len(used)) / len(texts) + L2 * w, error.mean())
+        z = np.full(texts, bias)
+        own = scale * w
+        for r, c in kept:
+            z += np.bincount(r, own[c], texts)
+        error = logistic(z) - toxic
+        gradient = np.zeros(len(used))
+        for r, c in kept:
+            gradient += np.bincount(c, error[r], len(used))
+        gradient = np.append(scale * gradient / texts + L2 * w, error.mean())
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient * gradient
         move = 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -105,8 +117,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(sample), "doc_id")
-    rows = chosen.mapInArrow(run, f"doc_id {kind}, toxic int, f array<int>").toArrow().sort_by("doc_id")
-    return fit_model([np.asarray(x) for x in rows.column("f").to_numpy()], rows.column("toxic").to_numpy().astype(np.int64))
+    rows = chosen.mapInArrow(run, f"doc_id {kind}, toxic int, f array<int>").toArrow()
+    found = rows.column("f").combine_chunks()
+    found = found if isinstance(found, pa.ListArray) else pa.concat_arrays(found.chunks or [pa.array([], pa.list_(pa.int32()))])
+    first, toxic = np.asarray(found.offsets, np.int64), rows.column("toxic").to_numpy().astype(np.int64)
+    del rows
+    return fit_model(np.asarray(found.values)[first[0] : first[-1]], first - first[0], toxic)
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "__toxicity") -> DataFrame:
