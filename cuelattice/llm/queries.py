@@ -80,4 +80,14 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d
     """,
+    "op10_substring_dedup": """
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+        r AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS l FROM w),
+        k AS (SELECT doc_id, i, md5(array_to_string(l, ' ')) AS h FROM r WHERE len(l) = 50),
+        f AS (SELECT doc_id, i FROM k JOIN (SELECT h, min(doc_id) AS least FROM k GROUP BY h) USING (h) WHERE doc_id > least),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM f),
+        s AS (SELECT w.doc_id, count(*) AS n_words, count(g.i) AS n_removed, coalesce(string_agg(w.word, ' ' ORDER BY w.i) FILTER (WHERE g.i IS NULL), '') AS kept FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
+    """,
 }
