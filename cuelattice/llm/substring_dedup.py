@@ -233,7 +233,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     base, unordered = every.filter(F.col("doc_id").isNotNull()), every.filter(F.col("doc_id").isNull())
     # Worked out twice rather than kept: the anchors are cheaper to find again than to write.
     each = base.mapInArrow(lambda it: _anchor_rows(it, window), f"key long, a long, b long, doc_id {kind}, th long, first int, last int")
-    shared = each.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key")
+    # Kept apart, so that both sides of the join are plain shuffles and a key of many rows is split.
+    shared = cut(each.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key"))
     common = cut(each.join(shared, "key"))
     classes = cut(common.groupBy("key", "a", "b").agg(F.min("doc_id").alias("owner")))
     several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
