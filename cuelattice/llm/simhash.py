@@ -118,7 +118,7 @@ def _near_pairs(fps: np.ndarray, bit: int, layout: list[Segment], distance: int)
 
 
 def _forest(fps: np.ndarray, bit: int, layout: list[Segment], distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one block."""
+    """A spanning forest of the links within one block, as places in it."""
     root = np.arange(len(fps))
     for a, b in _near_pairs(fps, bit, layout, distance):
         while True:
@@ -131,11 +131,11 @@ def _forest(fps: np.ndarray, bit: int, layout: list[Segment], distance: int) ->
             while not np.array_equal(root[root], root):
                 root = root[root]
     child = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[root[child]], fps[child]
+    return root[child], child
 
 
 def _nearest(fps: np.ndarray, bit: int, layout: list[Segment], distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """The forest, and a link of each fingerprint to the nearest in its block."""
+    """The forest, and a link of each fingerprint to the nearest in its block; each link once."""
     best, other = np.full(len(fps), distance + 1), np.zeros(len(fps), np.int64)
     for a, b in _near_pairs(fps, bit, layout, distance):
         d = _apart(fps[a], fps[b])
@@ -146,7 +146,8 @@ def _nearest(fps: np.ndarray, bit: int, layout: list[Segment], distance: int) ->
             best[x[closer]], other[x[closer]] = d[closer], y[closer]
     own = np.flatnonzero(best <= distance)
     a, b = _forest(fps, bit, layout, distance)
-    return np.concatenate([a, fps[own]]), np.concatenate([b, fps[other[own]]])
+    both = np.unique(np.concatenate([a * len(fps) + b, np.minimum(own, other[own]) * len(fps) + np.maximum(own, other[own])]))
+    return both // len(fps), both % len(fps)
 
 
 def links(distinct: DataFrame, distance: int = 4, block: int = BLOCK, lanes: list[str] | None = None, layout: list[Segment] | None = None, nearest: bool = False) -> DataFrame:
@@ -198,7 +199,8 @@ def links(distinct: DataFrame, distance: int = 4, block: int = BLOCK, lanes: lis
             i = i[_verified(fps[i], fps[i + s], bit[i], layout, distance)]
             pairs.append((fps[i], fps[i + s]))
         for a, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-            pairs.append(crowded(fps[a : a + size], int(bit[a]), layout, distance))
+            x, y = crowded(fps[a : a + size], int(bit[a]), layout, distance)
+            pairs.append((fps[a + x], fps[a + y]))
         if pairs:
             sides = [np.concatenate([x[k] for x in pairs]).view(np.int64) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for x in sides for i in range(len(lanes))], names=names)
