@@ -174,7 +174,7 @@ def links(distinct: DataFrame, distance: int = 4, block: int = BLOCK, lanes: lis
     names = [f"{side}{i if len(lanes) > 1 else ''}" for side in "ab" for i in range(len(lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted; the last key of a batch waits for the next one."""
+        """Rows come sorted, fingerprints too, so that a task run again gives the same links; the last key of a batch waits for the next one."""
         rest = None
         for batch in batches:
             now = np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "blocks", *lanes)])
@@ -205,7 +205,7 @@ def links(distinct: DataFrame, distance: int = 4, block: int = BLOCK, lanes: lis
             sides = [np.concatenate([x[k] for x in pairs]).view(np.int64) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for x in sides for i in range(len(lanes))], names=names)
 
-    return keys.repartition("key", "blocks").sortWithinPartitions("key", "blocks").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return keys.repartition("key", "blocks").sortWithinPartitions("key", "blocks", *lanes).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, block: int = BLOCK) -> DataFrame:
