@@ -269,13 +269,150 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, whole), np.uint64, len(whole))).view(np.int64)
 
 
+#: Texts from which the frequencies of shingles are estimated, and the frequent shingles whose rank is broadcast (16 bytes
+#: each). They set the order of shingles only; any order gives the same links.
+SAMPLE_TEXTS = 20_000
+RANKED = 200_000
+#: Places by which two texts of one key lie apart in the first round, and how this grows in the next ones.
+REACH = 16
+GROWTH = 8
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], columns: list[str], keys: int = 1) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first `keys` of them, so that no key is cut; the last key of a batch waits for the next one."""
+    rest: list[np.ndarray] = []
+    for batch in batches:
+        now = [batch.column(x).to_numpy(zero_copy_only=False) for x in columns]
+        rest.append(np.stack(now))
+        change = np.flatnonzero((rest[-1][:keys, 1:] != rest[-1][:keys, :-1]).any(axis=0)) + 1
+        other = len(rest) > 1 and rest[-1].shape[1] > 0 and (rest[-1][:keys, 0] != rest[-2][:keys, -1]).any()
+        if len(change) or other:
+            rows = np.concatenate(rest, axis=1)
+            tail = (int(change[-1]) if len(change) else 0) + rows.shape[1] - rest[-1].shape[1]
+            rest = [rows[:, tail:]]
+            yield list(rows[:, :tail])
+        elif not rest[-1].shape[1]:
+            rest.pop()
+    if rest:
+        yield list(np.concatenate(rest, axis=1))
+
+
+def _sizes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of sorted keys its place within its key, and the rows of the key."""
+    change = np.zeros(len(keys[0]), bool)
+    for key in keys:
+        change[1:] |= key[1:] != key[:-1]
+    starts = np.concatenate([[0], np.flatnonzero(change)])
+    sizes = np.diff(np.append(starts, len(keys[0])))
+    return np.arange(len(keys[0])) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+
+def shared_prefixes(base: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Rows (key, th, n, pos, size): the prefixes of all texts (doc_id, t), where a key is shared by two texts or more.
+
+    The shingles of a text are put in an order that is the same for all, frequent ones last. Two texts at the
+    similarity share a key among their first n - ceil(similarity * n) + 1 shingles. pos is the place of the key among
+    the n shingles, size the number of texts that have it in their prefix.
+    """
+    spark = base.sparkSession
+    part = max(1, base.count() // SAMPLE_TEXTS)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            found = [shingles(x.lower().split(), width) for x in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(found))})
+
+    sample = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).select("t").mapInArrow(every, "key long")
+    often = sample.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 2").orderBy(F.desc("c"), "key").limit(RANKED).toArrow()
+    frequent, c = (often.column(x).to_numpy() for x in ("key", "c"))
+    by_key = np.argsort(frequent)
+    rank = np.empty(len(c), np.int64)
+    rank[np.lexsort((frequent, c))] = np.arange(1, len(c) + 1)
+    ranked = spark.sparkContext.broadcast((frequent[by_key], rank[by_key]))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = ranked.value
+        for batch in pieces(batches):
+            keys, ths, ns = [], [], []
+            for text in batch.column("t").to_pylist():
+                words = text.lower().split()
+                s = shingles(words, width)
+                if not len(s):
+                    continue
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, ranks[at], 0), kind="stable")]
+                keys.append(s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1])
+                ths.append(_text_name(words))
+                ns.append(len(s))
+            if keys:
+                sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+                pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys)), "th": pa.array(np.repeat(np.array(ths, np.int64), sizes)), "n": pa.array(np.repeat(np.array(ns, np.int32), sizes)), "pos": pa.array(pos.astype(np.int32))})
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "n", "th", "pos"]
+        for key, n, th, pos in _keyed(batches, names):
+            once = np.ones(len(key), bool)
+            once[1:] = (key[1:] != key[:-1]) | (th[1:] != th[:-1])  # equal texts
+            key, n, th, pos = (x[once] for x in (key, n, th, pos))
+            _, size = _sizes(key)
+            good = size > 1
+            if good.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[good], pa.int64()) for x in (key, n, th, pos, size)], names=[*names, "size"])
+
+    rows = base.mapInArrow(prefixes, "key long, th long, n int, pos int")
+    return rows.repartition("key").sortWithinPartitions("key", "n", "th").mapInArrow(shared, "key long, n long, th long, pos long, size long")
+
+
+def prefix_pairs(shared: DataFrame, roots: DataFrame, low: int, high: int, similarity: float, block: int) -> DataFrame:
+    """Rows (a, b): texts of one key from `low` to less than `high` places apart that may be similar and have not the same root.
+
+    Texts of a key lie in the order of their numbers of shingles. A key of many texts is dealt over tasks, each of which
+    takes some of the distances.
+    """
+    of = roots.select(F.col("node").alias("th"), "root")
+    parts = F.greatest(F.lit(1), F.least(F.lit(high - low), F.ceil(F.col("size") / block))).cast("long")
+    rows = shared.filter(F.col("size") > low).join(of, "th", "left").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "n", "th", "pos", F.coalesce("root", "th").alias("root"), parts.alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, part, n, th, pos, root, parts in _keyed(batches, ["key", "part", "n", "th", "pos", "root", "parts"], 2):
+            at, size = _sizes(key, part)
+            a, b, held = [], [], 0
+            live = np.arange(len(key))
+            for s in range(low, min(high, int(size.max()))):
+                live = live[at[live] + s < size[live]]
+                live = live[n[live] >= similarity * n[live + s] - 1e-9]  # later ones are longer still
+                if not len(live):
+                    break
+                i = live[s % parts[live] == part[live]]
+                i = i[root[i] != root[i + s]]
+                j = i + s
+                enough = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9
+                a.append(np.minimum(th[i], th[j])[enough])
+                b.append(np.maximum(th[i], th[j])[enough])
+                held += len(a[-1])
+                if held > 1 << 18:
+                    yield out(a, b)
+                    a, b, held = [], [], 0
+            if held:
+                yield out(a, b)
+
+    def out(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        return pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(both[0])), "b": pa.array(np.ascontiguousarray(both[1]))})
+
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "n", "th").mapInArrow(run, "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """Rows (doc_id, component_id), one per input row: groups over links of Jaccard similarity of `width`-word shingles.
 
-    Words are as in `near_duplicates`. Candidates are found by a SimHash of distinct words and one of distinct pairs of
-    neighbours, which differ in few bits: of pairs at a similarity of 0.8 about 98 in 100 share a key of one of their
-    six segments, of closer ones more. Every candidate is verified on all its shingles. Texts of equal shingles are one candidate. Texts
-    without words are linked to each other. A null doc_id is a row of its own and has a null component_id.
+    Words are as in `near_duplicates`. Most links are found by a SimHash of distinct words and one of distinct pairs of
+    neighbours, which differ in few bits; all others by a join on prefixes of shingles, which misses none. The join
+    compares the texts of a key in rounds of growing distance, and leaves out those that links found so far connect,
+    until every pair of every key was had. Every candidate is verified on all its shingles. Texts without words are
+    linked to each other. A null doc_id is a row of its own and has a null component_id.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -308,14 +445,30 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, blo
     head = lambda x: heads.select(F.col("fp0").alias(f"{x}0"), F.col("fp1").alias(f"{x}1"), F.col("head").alias(x))
     across = pairs.join(head("a"), ["a0", "a1"]).join(head("b"), ["b0", "b1"]).select("a", "b")
     candidates = cut(same.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = candidates.select(F.col("a").alias("th")).unionByName(candidates.select(F.col("b").alias("th"))).distinct().join(texts.select("th", "least"), "th").select("th", F.col("least").alias("doc_id"))
-    first = base.join(asked, "doc_id").select("th", "t").mapInArrow(sets, "th long, s array<long>")
-    first = cut(first.groupBy("th").agg(F.first("s").alias("s")))
-    side = lambda x: first.select(F.col("th").alias(x), F.col("s").alias(f"s{x}"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    similar = F.when(F.size("sa") + F.size("sb") == 0, True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))
-    true_links = candidates.join(side("a"), "a").join(side("b"), "b").filter(similar).select("a", "b")
+    doc_of = cut(texts.groupBy("th").agg(F.min("least").alias("doc_id")))
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        asked = candidates.select(F.col("a").alias("th")).unionByName(candidates.select(F.col("b").alias("th"))).distinct().join(doc_of, "th")
+        first = base.join(asked, "doc_id").select("th", "t").mapInArrow(sets, "th long, s array<long>")
+        first = cut(first.groupBy("th").agg(F.first("s").alias("s")))
+        side = lambda x: first.select(F.col("th").alias(x), F.col("s").alias(f"s{x}"))
+        shared = F.size(F.array_intersect("sa", "sb"))
+        similar = F.when(F.size("sa") + F.size("sb") == 0, True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))
+        return cut(candidates.join(side("a"), "a").join(side("b"), "b").filter(similar).select("a", "b"))
+
+    true_links = verified(candidates)
     roots = cut(connected_components(true_links))
+    keys = cut(shared_prefixes(base.filter(F.col("doc_id").isNotNull()), width, similarity))
+    most, low, high = keys.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0], 1, REACH + 1
+    while low < most:
+        more = cut(prefix_pairs(keys, roots, low, high, similarity, block).join(candidates, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            candidates = candidates.unionByName(more)
+            found = verified(more)
+            if not found.isEmpty():
+                known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                roots = cut(connected_components(known.unionByName(found)))
+        low, high = high, high * GROWTH
     of = texts.groupBy("th").agg(F.min("least").alias("least")).join(roots, F.col("th") == F.col("node"), "left").select("th", "least", F.coalesce("root", "th").alias("root"))
     named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("th", "component_id")
     return rows.join(named, "th", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
