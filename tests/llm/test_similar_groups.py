@@ -35,3 +35,25 @@ def test_groups_within_one_template(spark):
     assert 50 <= len(set(want.values())) < len(rows) - 60
     for block in (50, 2000):
         assert groups(spark, rows, block=block) == want
+
+
+def test_pairs_with_changes_in_one_place(spark):
+    """A passage added, cut off or put in, and words changed here and there, at similarities of about 0.8 to 0.9."""
+    r = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    weights = [1 / (i + 1) for i in range(2000)]
+    rows = []
+    for i in range(160):
+        n = r.randrange(120, 400)
+        w = r.choices(vocabulary, weights, k=n)
+        extra = r.choices(vocabulary, weights, k=int(n * r.uniform(0.08, 0.24)))
+        at = r.randrange(n)
+        changed = list(w)
+        for k in r.sample(range(n), max(1, n // 60)):
+            changed[k] = r.choice(vocabulary)
+        other = (w + extra, extra + w, w[:at] + extra + w[at:], changed)[i % 4]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    want = brute_force(rows)
+    linked = [sum(want[2 * i + 1] == 2 * i for i in range(k, 160, 4)) for k in range(4)]
+    assert min(linked) > 10 and sum(linked) < 160
+    assert groups(spark, rows) == want
