@@ -1,10 +1,14 @@
 """Language-model scores: prediction by partial matching over bytes, beside an add-one unigram base.
 
-Counts of all byte windows of the training texts are summed by Spark. The contexts that occur most, up to a bound on
-the model's size, form a trie; as counts fall with length, it holds with a context all its suffixes and prefixes. For
-each context the code length of every next byte is worked out once: seen bytes by their counts less one half each, the
-rest by an escape (half the distinct bytes over all counts) to the next shorter context, without the bytes already offered, and
-at last evenly. The trie is then an automaton, and texts are scored by stepping many segments through it at a time.
+Counts of all byte windows of the training texts are summed by Spark. A byte is coded by its context: seen bytes by
+their counts less one half each, the rest by an escape (half the distinct bytes over all counts) to the next shorter
+context, without the bytes already offered, and at last evenly. Of every window that occurs, in texts to be scored too,
+the code length is worked out once, by joins of the counts of all orders. The most frequent windows are broadcast, the
+others joined, so that every counted context is used whatever their number.
+
+Where a bound on the contexts is asked for, those that occur most form a trie instead; as counts fall with length, it
+holds with a context all its suffixes and prefixes. The trie is then an automaton, and texts are scored by stepping
+many segments through it at a time.
 
 A text is its words, lower-cased and joined by single spaces, and an end symbol.
 """
@@ -26,8 +30,10 @@ from .common import cut, pieces, text_bytes
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Contexts of the model at most; with 256 symbols and 6 bytes an entry it bounds what is broadcast to 100 MB.
+#: Contexts of a bounded model at most; with 256 symbols and 6 bytes an entry it bounds what is broadcast to 100 MB.
 CONTEXTS = 65_535
+#: Windows whose code lengths are broadcast: the most frequent ones (12 bytes each).
+COMMON_WINDOWS = 1 << 22
 #: Words whose counts are broadcast: the most frequent ones of at most WORD_BYTES bytes (14 MB at most).
 COMMON_WORDS = 262_144
 WORD_BYTES = 40
@@ -81,14 +87,19 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], np.add.reduceat(counts, first)
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(code, count): the ORDER bytes ahead of each byte of the texts and of their ends, and that byte."""
+def _codes(texts: list[bytes]) -> np.ndarray:
+    """The ORDER bytes ahead of each byte of the texts and of their ends, and that byte, in the order of the texts."""
     pad = bytes([PAD]) * ORDER
     buffer = np.frombuffer(pad + (bytes([END]) + pad).join(joined(tokens(x)) for x in texts) + bytes([END]), np.uint8)
     code = np.zeros(len(buffer) - ORDER, np.uint64)
     for k in range(ORDER + 1):
         code = (code << np.uint64(8)) | buffer[k : len(buffer) - ORDER + k]
-    code = code[buffer[ORDER:] != PAD]
+    return code[buffer[ORDER:] != PAD]
+
+
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(code, count) of the windows of the texts."""
+    code = _codes(texts)
     code.sort()
     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     return code[first], np.diff(np.concatenate([first, [len(code)]]))
@@ -199,8 +210,97 @@ def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     return np.bincount(doc, total, len(texts))
 
 
+def code_lengths(grams: DataFrame, others: DataFrame) -> DataFrame:
+    """(code long, c long, v double): the log10 probability of every window of grams (code, c) and of others (code).
+
+    What follows a context also follows its suffixes. So what an escape leaves to the next shorter context are its
+    counts without those of the bytes that follow the longer one: two sums a context.
+    """
+    low = lambda c, k: c.bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
+    suffix = lambda k: low(F.col("code"), k + 1)
+    context = lambda c: F.shiftrightunsigned(c, 8)
+    small = lambda df, k: F.broadcast(df) if k <= 2 else df  # noqa: E731; at most 65,536 rows, and keys that many rows have
+    new = others.join(grams, "code", "left_anti")
+    #: by order: g (a context's k bytes and the next byte, count); n (context, counts, distinct bytes)
+    g = {ORDER: grams.select(F.col("code").alias("g"), "c")}
+    for k in range(ORDER - 1, -1, -1):
+        g[k] = cut(g[k + 1].groupBy(low(F.col("g"), k + 1).alias("g")).agg(F.sum("c").alias("c")))
+    n = {k: g[k].groupBy(context(F.col("g")).alias("x")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")) for k in g}
+    n[ORDER] = cut(n[ORDER])
+    seen = grams.join(n[ORDER], context(F.col("code")) == F.col("x")).select("code", "c", F.log10((2 * F.col("c") - 1) / (2.0 * F.col("n"))).alias("v"))
+    # total, kinds: what the context at hand offers, where a longer one came before; v: the escapes so far.
+    void = F.lit(None).cast("long")
+    state = new.select("code", void.alias("total"), void.alias("kinds"), F.lit(0.0).alias("v"), F.lit(False).alias("done"))
+    for k in range(ORDER, -1, -1):
+        at = state.filter("not done").join(small(n[k], k), context(suffix(k)) == F.col("x"), "left").drop("x").join(small(g[k], k + 1), suffix(k) == F.col("g"), "left").drop("g")
+        total, kinds = F.coalesce("total", "n", F.lit(0)), F.coalesce("kinds", "d", F.lit(0))
+        some = total > 0
+        v = F.when(F.col("c").isNotNull(), F.col("v") + F.log10((2 * F.col("c") - 1) / (2.0 * total))).when(some, F.col("v") + F.log10(kinds / (2.0 * total))).otherwise(F.col("v"))
+        at = at.select("code", v.alias("v"), F.col("c").isNotNull().alias("done"), "n", "d")
+        if k:
+            # of the contexts asked for only: the shorter one's counts of the bytes that follow them
+            asked = at.filter("not done and n is not null").select(context(suffix(k)).alias("x")).distinct()
+            mine = g[k].withColumn("x", context(F.col("g"))).join(asked, "x", "left_semi").select("x", low(F.col("g"), k).alias("g"))
+            taken = mine.join(small(g[k - 1], k), "g").groupBy("x").agg(F.sum("c").alias("taken"), F.count(F.lit(1)).alias("own"))
+            shorter = n[k - 1].select(F.col("x").alias("s"), F.col("n").alias("sn"), F.col("d").alias("sd"))
+            rest = taken.join(small(shorter, k - 1), low(F.col("x"), k - 1) == F.col("s")).select("x", (F.col("sn") - F.col("taken")).alias("total"), (F.col("sd") - F.col("own")).alias("kinds"))
+            at = at.join(small(rest, k), context(suffix(k)) == F.col("x"), "left").select("code", "total", "kinds", "v", "done")
+        else:
+            # bytes that no context offered: evenly
+            at = at.crossJoin(F.broadcast(g[0].agg((255 - F.count(F.lit(1))).alias("left")))).select("code", void.alias("total"), void.alias("kinds"), F.when(F.col("done"), F.col("v")).otherwise(F.col("v") - F.log10(F.greatest(F.lit(1), F.col("left")))).alias("v"), "done")
+        state = cut(at.unionByName(state.filter("done")))
+    return seen.unionByName(state.select("code", F.lit(0).cast("long").alias("c"), "v"))
+
+
+@dataclass
+class Windows:
+    """The code lengths of frequent windows, sorted by code."""
+
+    code: np.ndarray
+    v: np.ndarray
+
+
+def common_windows(values: DataFrame, most: int) -> Windows:
+    """The windows of the highest counts, as far as all of a class of counts fit."""
+    level = F.floor(4 * F.log2("c")).cast("int")
+    held, least = 0, None
+    for row in sorted(values.filter("c > 0").groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > most:
+            break
+        least = row["level"]
+    if least is None:
+        return Windows(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    found = values.filter((F.col("c") > 0) & (level >= least)).select("code", F.col("v").cast("float").alias("v")).toArrow()
+    code, v = found.column("code").to_numpy().view(np.uint64), found.column("v").to_numpy()
+    order = np.argsort(code)
+    return Windows(code[order], v[order])
+
+
+def score_windows(common: Windows, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of each text (its words are found here) the sum over its common windows, and its other windows with their counts."""
+    lengths = np.fromiter((len(joined(tokens(x))) + 1 for x in texts), np.int64, len(texts))
+    doc = np.repeat(np.arange(len(texts)), lengths)
+    code, which = np.unique(_codes(texts), return_inverse=True)
+    if len(common.code):
+        at = np.minimum(np.searchsorted(common.code, code), len(common.code) - 1)
+        known = common.code[at] == code
+        v = np.where(known, common.v[at], 0.0)
+    else:
+        known, v = np.zeros(len(code), bool), np.zeros(len(code))
+    total = np.bincount(doc, v[which], len(texts))
+    other = np.flatnonzero(~known[which])
+    d, w = doc[other], which[other]
+    order = np.lexsort((w, d))
+    d, w = d[order], w[order]
+    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])])) if len(d) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(d)))
+    cuts = np.searchsorted(d[first], np.arange(1, len(texts)))
+    return total, np.split(code[w[first]].view(np.int64), cuts), np.split(times, cuts)
+
+
 def fit(texts: DataFrame, contexts: int = CONTEXTS) -> Model:
-    """The model of all training texts (t). Only its bounded tables reach the driver."""
+    """The model of at most so many contexts of the training texts (t). Only its bounded tables reach the driver."""
     grams = cut(window_counts(texts))
     ahead = F.shiftrightunsigned("code", 8)
     of = lambda k: F.lit(k << 40).cast("long") + ahead.bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
@@ -215,12 +315,13 @@ def fit(texts: DataFrame, contexts: int = CONTEXTS) -> Model:
     return build_model(kept, *(rows.column(x).to_numpy() for x in ("context", "symbol", "c")))
 
 
-def lm_scores(docs: DataFrame, contexts: int = CONTEXTS, common_words: int = COMMON_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, contexts: int | None = None, common_words: int = COMMON_WORDS, most_windows: int = COMMON_WINDOWS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one per input row.
 
     docs has doc_id and text; other columns are ignored. A null or empty text is its end alone. A null doc_id is
     held out; repeated rows each count and are scored each. Without training rows the base is even over one unseen
-    token and the model even over bytes. An empty table gives no rows.
+    token and the model even over bytes. An empty table gives no rows. The model has all contexts of the training rows,
+    or the most frequent ones, if a number of them is given.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), text_bytes().alias("t"))
@@ -229,8 +330,14 @@ def lm_scores(docs: DataFrame, contexts: int = CONTEXTS, common_words: int = COM
     n_train = train.count()
     distinct, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     train_tokens, kinds = total + n_train, distinct + (n_train > 0)
+    if contexts is None:
+        grams = cut(window_counts(train))
+        values = cut(code_lengths(grams, window_counts(rows.filter("held_out").select("t")).select("code")))
+        model = common_windows(values, most_windows)
+    else:
+        model = fit(train, contexts)
     common = counts.filter(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(common_words).toArrow()
-    shared = spark.sparkContext.broadcast((dict(zip(common.column("word").to_pylist(), np.log10(common.column("c").to_numpy() + 1.0).tolist(), strict=True)), fit(train, contexts)))
+    shared = spark.sparkContext.broadcast((dict(zip(common.column("word").to_pylist(), np.log10(common.column("c").to_numpy() + 1.0).tolist(), strict=True)), model))
     end_log, share_log = float(np.log10(n_train + 1)), float(np.log10(train_tokens + kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,6 +360,10 @@ def lm_scores(docs: DataFrame, contexts: int = CONTEXTS, common_words: int = COM
                 logs.append(log)
                 rare.append(unknown)
                 rare_n.append(times)
+            if contexts is None:
+                score, other, other_n = score_windows(model, batch.column("t").to_pylist())
+            else:
+                score, other, other_n = score_texts(model, [joined(x) for x in split]), [[]] * len(split), [[]] * len(split)
             yield pa.RecordBatch.from_pydict(
                 {
                     "row": pa.array(range(row, row + len(split)), pa.int64()),
@@ -261,19 +372,28 @@ def lm_scores(docs: DataFrame, contexts: int = CONTEXTS, common_words: int = COM
                     "n_tokens": pa.array([len(x) + 1 for x in split], pa.int64()),
                     "found": pa.array(found, pa.int64()),
                     "logs": pa.array(logs, pa.float64()),
-                    "score": pa.array(score_texts(model, [joined(x) for x in split])),
+                    "score": pa.array(score),
                     "rare": pa.array(rare, pa.list_(pa.binary())),
                     "rare_n": pa.array(rare_n, pa.list_(pa.int64())),
+                    "other": pa.array(other, pa.list_(pa.int64())),
+                    "other_n": pa.array(other_n, pa.list_(pa.int64())),
                 }
             )
             row += len(split)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = cut(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, found long, logs double, score double, rare array<binary>, rare_n array<long>"))
+    scored = cut(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, found long, logs double, score double, rare array<binary>, rare_n array<long>, other array<long>, other_n array<long>"))
     # What the broadcast words don't cover is joined with all counts; words never seen add nothing to either sum.
     each = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("n"))
     more = each.join(counts, "word").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
-    both = scored.drop("rare", "rare_n").join(more, "row", "left")
+    both = scored.drop("rare", "rare_n", "other", "other_n").join(more, "row", "left")
+    if contexts is None:
+        # So are the windows that the broadcast ones don't cover, with all code lengths.
+        windows_of = scored.select("row", F.explode(F.arrays_zip("other", "other_n")).alias("x")).select("row", F.col("x.other").alias("code"), F.col("x.other_n").alias("n"))
+        rest = windows_of.join(values, "code").groupBy("row").agg(F.sum(F.col("n") * F.col("v")).alias("more_score"))
+        both = both.join(rest, "row", "left")
+    else:
+        both = both.withColumn("more_score", F.lit(0.0))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return both.select(
         "doc_id",
@@ -282,5 +402,5 @@ def lm_scores(docs: DataFrame, contexts: int = CONTEXTS, common_words: int = COM
         (F.col("found") + zero(F.col("more"))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + zero(F.col("more_logs")) - F.col("n_tokens") * F.lit(share_log)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
