@@ -15,45 +15,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_CHUNKS, ByteBpe, compiled
+from .bpe import ByteBpe, in_worker, shared
 from .common import pieces
 
 #: Chunks of text (about a word each) in a new leaf.
 LEAF = 64
 
 
-class _Counts(dict):
-    """Tokens of a pre-token or of a chunk between lone white spaces."""
-
-    def __init__(self, bpe: ByteBpe):
-        self.bpe = bpe
-
-    def __missing__(self, chunk: str) -> int:
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
-        n = self[chunk] = sum(len(self.bpe.automaton.encode(w.encode())) for w in self.bpe.words.findall(chunk))
-        return n
+class TokenTree:
+    def __init__(self, bpe: ByteBpe, text: str, leaves: tuple[np.ndarray, np.ndarray] | None = None, parts: list[str] | None = None):
+        """leaves: characters and tokens of each leaf, where they are known; parts: the chunks of the text, where they are."""
+        self.bpe, self.text, self.reencoded = bpe, text, 0
+        self._plant(*(leaves if leaves is not None else self._leaves(bpe.parts(text) if parts is None else parts)))
 
+    def _tokens(self, parts: list[str]) -> np.ndarray:
+        known = self.bpe.learn(parts)
+        return np.fromiter((len(known[x]) for x in parts), np.int64, len(parts)) // 4
 
-class TokenTree:
-    def __init__(self, counts: _Counts, text: str, leaves: tuple[np.ndarray, np.ndarray] | None = None):
-        """leaves: characters and tokens of each leaf, where they are known."""
-        self.counts, self.text, self.reencoded = counts, text, 0
-        chars, tokens = leaves if leaves is not None else self._leaves(text)
-        self._plant(chars, tokens)
-
-    def _leaves(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        bpe = self.counts.bpe
-        if not text:
+    def _leaves(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.text:
             return np.zeros(1, np.int64), np.zeros(1, np.int64)
-        if "\0" in text or bpe.uneven.search(text):
-            parts = bpe.words.findall(text)
-        else:
-            parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        tokens = np.fromiter(map(self.counts.__getitem__, parts), np.int64, len(parts))
-        first = np.arange(0, len(parts), LEAF)
-        return np.add.reduceat(sizes, first), np.add.reduceat(tokens, first)
+        sizes, first = np.fromiter(map(len, parts), np.int64, len(parts)), np.arange(0, len(parts), LEAF)
+        return np.add.reduceat(sizes, first), np.add.reduceat(self._tokens(parts), first)
 
     def _plant(self, chars: np.ndarray, tokens: np.ndarray) -> None:
         self.width = 1 << max(0, int(len(chars) - 1).bit_length())
@@ -104,19 +87,18 @@ class TokenTree:
         last, end = self._find(stop)
         end += int(self.sums[last + self.width, 0])
         at, parts = begin, []
-        for found in self.counts.bpe.words.finditer(self.text, begin):
+        for found in self.bpe.words.finditer(self.text, begin):
             while last + 1 < self.used and end + shift < at:
                 last += 1
                 end += int(self.sums[last + self.width, 0])
             if at == end + shift and end >= stop and at >= start + len(replacement) and parts:
                 break
-            word = found.group()
-            parts.append((len(word), self.counts[word]))
-            at += len(word)
+            parts.append(found.group())
+            at += len(parts[-1])
         else:
             last = self.used - 1
         self.reencoded += len(parts)
-        sizes = np.array(parts, np.int64).reshape(-1, 2)
+        sizes = np.stack([np.fromiter(map(len, parts), np.int64, len(parts)), self._tokens(parts)], axis=1)
         fresh = np.add.reduceat(sizes, np.arange(0, len(sizes), LEAF), axis=0) if len(sizes) else np.zeros((0, 2), np.int64)
         if len(fresh) <= last - first + 1:
             for k in range(first, last + 1):
@@ -126,17 +108,6 @@ class TokenTree:
             self._plant(*(np.concatenate([x[:first], fresh[:, i], x[last + 1 :]]) for i, x in enumerate((chars, tokens))))
 
 
-_COUNTS: dict[int, _Counts] = {}
-
-
-def _counts(description: str) -> _Counts:
-    bpe = compiled(description, specials=False)
-    if id(bpe) not in _COUNTS:
-        _COUNTS.clear()
-        _COUNTS[id(bpe)] = _Counts(bpe)
-    return _COUNTS[id(bpe)]
-
-
 def edited_counts(docs: DataFrame, vocabulary: str, edits: Column, with_leaves: bool = False) -> DataFrame:
     """Rows (doc_id, n_tokens, n_tokens_after, n_chars_after, n_reencoded), one per input row; if asked for, the leaves.
 
@@ -146,20 +117,22 @@ def edited_counts(docs: DataFrame, vocabulary: str, edits: Column, with_leaves:
     an earlier run, they are taken over instead of counting the text again. Strings of special tokens are ordinary
     text. Null doc_ids and repeated rows are given each. An empty table gives no rows.
     """
-    with open(vocabulary, encoding="utf-8") as f:
-        description = docs.sparkSession.sparkContext.broadcast(f.read())
+    name, tables = shared(docs.sparkSession, vocabulary)
     known = {"leaf_chars", "leaf_tokens"} <= set(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _counts(description.value)
+        bpe = in_worker(name, tables, specials=False)
         for batch in pieces(batches, "text"):
             leaves = [None] * batch.num_rows
             if known:
                 pairs = zip(batch.column("leaf_chars").to_pylist(), batch.column("leaf_tokens").to_pylist(), strict=True)
                 leaves = [None if not a else (np.array(a, np.int64), np.array(b, np.int64)) for a, b in pairs]
+            texts = batch.column("text").to_pylist()
+            parts = [bpe.parts(x) if had is None else [] for x, had in zip(texts, leaves, strict=True)]
+            bpe.learn(set().union(*parts))
             out: list[tuple] = []
-            for text, had, changes in zip(batch.column("text").to_pylist(), leaves, batch.column("edits").to_pylist(), strict=True):
-                tree = TokenTree(counts, text, had)
+            for text, had, own, changes in zip(texts, leaves, parts, batch.column("edits").to_pylist(), strict=True):
+                tree = TokenTree(bpe, text, had, own)
                 before = tree.n_tokens
                 for x in changes or ():
                     if x is not None:

@@ -157,6 +157,11 @@ def test_similar_groups_verify_shingles(spark):
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+def byte_bpe(specials=True):
+    with open(BYTE_BPE, encoding="utf-8") as f:
+        return bpe.ByteBpe(*bpe.compiled(f.read()), specials)
+
+
 def test_bpe_encodes_and_decodes_as_the_library(docs, plain):
     t = Tokenizer.from_file(BYTE_BPE)
     for r in bpe.encode_decode(docs, BYTE_BPE, with_ids=True, with_text=True).collect():
@@ -168,12 +173,43 @@ def test_bpe_encodes_and_decodes_as_the_library(docs, plain):
 
 def test_bpe_automaton_on_random_text():
     r, t = random.Random(4), Tokenizer.from_file(BYTE_BPE)
-    with open(BYTE_BPE, encoding="utf-8") as f:
-        own = bpe.ByteBpe(f.read())
+    own = byte_bpe()
     parts = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'s", "'ll", "a", "Z", "the", "ing", "0", "12", "é", "中", "😀", "!", "...", "<|endoftext|>", "<|end", "\0", "aaa", "́", "\r\n"]
-    for _ in range(1500):
-        x = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
-        assert np.frombuffer(own.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(1500)]
+    texts += ["".join(chr(r.choice([r.randrange(97, 123), r.randrange(32, 127), r.randrange(0xA0, 0x2FFF)])) for _ in range(r.randint(1, 60))) for _ in range(500)]
+    texts += ["".join(r.choice("abcdehinorst") for _ in range(r.randint(50, 400))) for _ in range(60)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+    # words that walk alone and together take the same arcs
+    some = sorted({w.encode() for x in texts for w in own.words.findall(x)})
+    assert own.automaton.encode(some) == [own.automaton._alone(w) for w in some]
+    assert [own.decode(x) for x in own.encode(texts)] == texts
+
+
+def test_bpe_gadgets_against_merging():
+    """Small vocabularies of random merges, also such that never apply, against merging by rank."""
+    r = random.Random(12)
+    for _ in range(30):
+        labels, merges, made = [b"a", b"b", b"c"], [], {b"a", b"b", b"c"}
+        for _ in range(25):
+            u, v = r.randrange(len(labels)), r.randrange(len(labels))
+            if labels[u] + labels[v] not in made and len(labels[u] + labels[v]) < 12:
+                merges.append((u, v, len(labels)))
+                labels.append(labels[u] + labels[v])
+                made.add(labels[-1])
+        rank = {(u, v): (k, w) for k, (u, v, w) in enumerate(merges)}
+        words = [bytes(r.choice(b"abc") for _ in range(r.randint(1, 30))) for _ in range(200)]
+
+        def merged(word):
+            ids = [labels.index(bytes([x])) for x in word]
+            while True:
+                best = min(((rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in rank), default=None)
+                if best is None:
+                    return np.array(ids, "<u4").tobytes()
+                u, v, w = merges[best[0]]
+                ids[best[1] : best[1] + 2] = [w]
+
+        assert bpe.compile_merges(labels, [0, 1, 2], merges).encode(words) == [merged(w) for w in words]
 
 
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 1))], ids=["sha", "colliding"])
@@ -207,12 +243,11 @@ def test_binary_fuse_filter():
 def test_token_trees_follow_edits():
     r, t = random.Random(2), Tokenizer.from_file(BYTE_BPE)
     t.encode_special_tokens = True
-    with open(BYTE_BPE, encoding="utf-8") as f:
-        counts = token_counts._counts(f.read())
+    own = byte_bpe(specials=False)
     parts = [" ", "  ", "\n", "\t", "\xa0", "'s", "'", "l", "ll", "a", "the", "ing", "12", "é", "😀", "!", "<|endoftext|>", "\r\n"]
     text = lambda n: "".join(r.choice(parts) for _ in range(n))
     for _ in range(150):
-        tree = token_counts.TokenTree(counts, text(r.choice([0, 5, 400])))
+        tree = token_counts.TokenTree(own, text(r.choice([0, 5, 400])))
         for _ in range(5):
             a = r.randint(0, len(tree.text) + 1)
             tree.edit(a, a + r.choice([0, 0, 1, 5, 300]), text(r.choice([0, 0, 1, 5, 300])))
@@ -235,6 +270,19 @@ def test_token_counts_take_over_leaves(docs, plain):
         assert (r.n_tokens_after, r.n_chars_after) == (len(t.encode(x, add_special_tokens=False).ids), len(x))
 
 
+def test_example_edits_against_whole_texts(docs, plain):
+    t = Tokenizer.from_file(BYTE_BPE)
+    t.encode_special_tokens = True
+    edits = {r.doc_id: r.e for r in docs.select("doc_id", token_counts.example_edits().alias("e")).collect()}
+    for r in token_counts.edited_counts(docs, BYTE_BPE, token_counts.example_edits()).collect():
+        x = plain[r.doc_id]
+        for e in edits[r.doc_id]:
+            start = min(e.start, len(x))
+            x = x[:start] + e.replacement + x[max(start, e.stop) :]
+        want = [len(t.encode(y, add_special_tokens=False).ids) for y in (plain[r.doc_id], x)]
+        assert [r.n_tokens, r.n_tokens_after, r.n_chars_after] == [*want, len(x)]
+
+
 def base_spans(x):
     out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", x) if len(m[2]) >= 6]
     out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 20]
