@@ -2,9 +2,11 @@
 
 Runs of encoding characters are candidates. Of each the least alphabet that holds it is inferred; chi-squared
 uniformity over that alphabet, a runs test and a serial-correlation test give p-values for "drawn at random", which
-are combined. Words fail these tests. Per alphabet and band of length, the share of candidates that aren't random is
-estimated from the lower half of the p-values, and the limit is set where the share of false discoveries stays under
-a bound; counts of p-values by bin are all that is gathered for it. Everything is DataFrame functions.
+are combined. Words fail these tests, the surer the longer they are. So per alphabet and band of length the number of
+candidates that are random is estimated from the upper p-values, and the limit is set where the share of false
+discoveries stays under a bound; where words can't be told, as they can't be in short bands, no limit is low enough.
+Each string counts once, however often it occurs; counts of p-values by bin are all that is gathered for it.
+Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Fixed patterns by kind, in the order in which spans of one start are listed, and the shortest match.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -21,28 +25,29 @@ HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f] that are long enough
 RUN = r"[A-Za-z0-9+/_-]{16,}"
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Encodings from the least alphabet up: characters, pattern, and the shortest candidate on which the tests tell words.
-ENCODINGS: list[tuple[str, str, str, int]] = [
-    ("digits", DIGITS, "^[0-9]+$", 48),
-    ("hex", DIGITS + "abcdef", "^[0-9a-f]+$", 24),
-    ("HEX", DIGITS + "ABCDEF", "^[0-9A-F]+$", 24),
-    ("lower", LOWER, "^[a-z]+$", 48),
-    ("upper", UPPER, "^[A-Z]+$", 48),
-    ("base32", UPPER + "234567", "^[A-Z2-7]+$", 20),
-    ("lower36", DIGITS + LOWER, "^[0-9a-z]+$", 20),
-    ("upper36", DIGITS + UPPER, "^[0-9A-Z]+$", 20),
-    ("letters", UPPER + LOWER, "^[A-Za-z]+$", 40),
-    ("base62", UPPER + LOWER + DIGITS, "^[A-Za-z0-9]+$", 20),
-    ("base64", UPPER + LOWER + DIGITS + "+/-_", "^[A-Za-z0-9+/_-]+$", 20),
+#: Encodings from the least alphabet up: name, characters, pattern.
+ENCODINGS: list[tuple[str, str, str]] = [
+    ("digits", DIGITS, "^[0-9]+$"),
+    ("hex", DIGITS + "abcdef", "^[0-9a-f]+$"),
+    ("HEX", DIGITS + "ABCDEF", "^[0-9A-F]+$"),
+    ("lower", LOWER, "^[a-z]+$"),
+    ("upper", UPPER, "^[A-Z]+$"),
+    ("base32", UPPER + "234567", "^[A-Z2-7]+$"),
+    ("lower36", DIGITS + LOWER, "^[0-9a-z]+$"),
+    ("upper36", DIGITS + UPPER, "^[0-9A-Z]+$"),
+    ("letters", UPPER + LOWER, "^[A-Za-z]+$"),
+    ("base62", UPPER + LOWER + DIGITS, "^[A-Za-z0-9]+$"),
+    ("base64", UPPER + LOWER + DIGITS + "+/-_", "^[A-Za-z0-9+/_-]+$"),
 ]
 #: Upper ends of the bands of length.
-BANDS = (24, 32, 48, 64)
-BINS = 50
-#: Share of false discoveries that is let pass, and the candidates that a band needs for a limit of its own.
+BANDS = (20, 24, 32, 48, 64)
+BINS = 48
+#: Share of false discoveries that is let pass.
 FALSE_SHARE = 0.05
-LEAST_CANDIDATES = 20
-#: The limit where there are too few candidates to estimate one.
-FEW_LIMIT = 0.1
+#: A band's counts are drawn towards those of all encodings in it, and these towards all, by as many candidates' worth.
+PRIOR = 20
+#: Code points of the blocks that a text is cut into for redaction.
+BLOCK = 16_384
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,6 +55,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, add: Callable[[Column, Column], Column], nothing: Column) -> Column:
+    """Running totals of an array, in blocks of the cube root of its size: of blocks, and within each. n^(4/3) steps."""
+    total = lambda xs: F.aggregate(xs, nothing, add)
+
+    def placed(q: Column) -> Column:
+        within = lambda block, before: F.transform(block, lambda v, i: add(before, total(F.slice(block, F.lit(1), i + 1))))
+        return F.flatten(F.transform(q["blocks"], lambda block, k: let(total(F.slice(q["totals"], F.lit(1), k)), lambda before: within(block, before))))
+
+    def blocks(x: Column) -> Column:
+        by = F.greatest(F.lit(16), F.ceil(F.cbrt(F.size(x)))).cast("int")
+        cut = lambda n: F.transform(F.sequence(F.lit(1), F.size(x), n), lambda at: F.slice(x, at, n))
+        found = let(let(by, cut), lambda xs: let(F.struct(xs.alias("blocks"), F.transform(xs, total).alias("totals")), placed))
+        return F.when(F.size(x) > 1, found).otherwise(x)
+
+    return let(values, blocks)
+
+
 def normal_tail(z: Column) -> Column:
     """Upper tail of the normal distribution, by a logistic curve (to about 1e-4)."""
     z = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z))
@@ -107,15 +129,15 @@ def _encoding(c: Column, of: Callable[[int], Column]) -> Column:
 
 
 def battery(candidate: Column) -> Column:
-    """struct<p double, encoding int, band int> of one candidate; p is -1 where it is too short to tell."""
+    """struct<p double, encoding int, band int> of one candidate."""
 
     def tested(e: Column) -> Column:
         n = F.length(candidate).cast("double")
-        alphabet, shortest = F.element_at(F.array(*[F.lit(x[1]) for x in ENCODINGS]), e + 1), F.element_at(F.array(*[F.lit(x[3]) for x in ENCODINGS]), e + 1)
+        alphabet = F.element_at(F.array(*[F.lit(x[1]) for x in ENCODINGS]), e + 1)
         size = F.length(alphabet).cast("double")
         codes = F.transform(F.split(candidate, ""), lambda ch: (F.instr(alphabet, ch) - 1).cast("double"))
         least = let(codes, lambda x: F.least(chi_squared_p(x, n, size), runs_p(x, n, size), serial_p(x, n)))
-        p = F.when(F.length(candidate) < shortest, F.lit(-1.0)).otherwise(1 - F.pow(1 - least, F.lit(3.0)))
+        p = 1 - F.pow(1 - least, F.lit(3.0))
         band = sum(((F.length(candidate) >= b).cast("int") for b in BANDS), F.lit(0))
         return F.struct(p.alias("p"), e.alias("encoding"), band.alias("band"))
 
@@ -131,52 +153,42 @@ def _spans(text: Column, pattern: str, found: Column, rank: int, kind: str, keep
     """array<struct<start, rank, kind, end>> of the matches that pass `keep`; the text between them is what split leaves."""
 
     def placed(q: Column) -> Column:
-        m, between = q["m"], q["b"]
-        length = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
-        all_ = F.transform(
-            m,
-            lambda x, i: let(
-                length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(m, F.lit(1), i)),
-                lambda start: F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + F.length(x)).alias("end"), keep(x).alias("keep"), x.alias("text")),
-            ),
-        )
-        return F.filter(all_, lambda s: s["keep"])
+        m = q["m"]
+        sizes = F.zip_with(m, F.slice(q["b"], F.lit(1), F.size(m)), lambda x, between: (F.length(x) + F.length(between)).cast("long"))
+        ends = running(sizes, lambda x, y: x + y, F.lit(0).cast("long"))
+        of = lambda end, x: F.struct((end - F.length(x)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), keep(x).alias("keep"), x.alias("text"))
+        return F.filter(F.zip_with(ends, m, of), lambda s: s["keep"])
 
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,keep:boolean,text:string>>")
-    return F.when(F.size(found) > 0, let(F.struct(found.alias("m"), F.split(text, pattern, -1).alias("b")), placed)).otherwise(none)
+    return F.when(F.size(found) > 0, let(F.struct(found.alias("m"), F.split(text, pattern, -1).alias("b")), placed)).otherwise(F.array().cast(SPANS))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Rows (encoding, band, p) of all candidates that are long enough."""
-    runs = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RUN), F.lit(0))).alias("c"))
-    return runs.select(battery(F.col("c")).alias("b")).select("b.*").filter("p >= 0")
+    """Rows (encoding, band, p) of all candidates, each string once."""
+    runs = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RUN), F.lit(0))).alias("c")).distinct()
+    return runs.select(battery(F.col("c")).alias("b")).select("b.*")
 
 
 def limits(docs: DataFrame) -> dict[tuple[int, int], float]:
     """(encoding, band) -> the least p of a discovery. Gathers at most encodings x bands x bins counts."""
     bin_ = F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
-    counts: dict[tuple[int, int], list[int]] = {}
+    counts = {(e, band): [0.0] * BINS for e in range(len(ENCODINGS)) for band in range(len(BANDS) + 1)}
     for row in candidates(docs).groupBy("encoding", "band", bin_).count().collect():
-        for key in ((row["encoding"], row["band"]), (row["encoding"], -1)):
-            counts.setdefault(key, [0] * BINS)[row["bin"]] += row["count"]
-    found = {}
-    for e in range(len(ENCODINGS)):
-        for band in range(len(BANDS) + 1):
-            bins = counts.get((e, band), [0] * BINS)
-            if sum(bins) < LEAST_CANDIDATES:
-                bins = counts.get((e, -1), [0] * BINS)
-            found[e, band] = _limit(bins)
-    return found
+        counts[row["encoding"], row["band"]][row["bin"]] += row["count"]
+    all_ = _drawn([sum(x) for x in zip(*counts.values(), strict=True)], [1.0] * BINS)
+    of_band = [_drawn([sum(x) for x in zip(*(c for (_, b), c in counts.items() if b == band), strict=True)], all_) for band in range(len(BANDS) + 1)]
+    return {(e, band): _limit(_drawn(c, of_band[band])) for (e, band), c in counts.items()}
 
 
-def _limit(bins: list[int]) -> float:
-    """Random strings have even p-values, others low ones: twice the upper half counts the random ones."""
-    if sum(bins) < LEAST_CANDIDATES:
-        return FEW_LIMIT
-    random = min(sum(bins), 2 * sum(bins[BINS // 2 :]))
-    for i in range(1, BINS):
+def _drawn(bins: list[float], towards: list[float]) -> list[float]:
+    return [x + PRIOR * y / sum(towards) for x, y in zip(bins, towards, strict=True)]
+
+
+def _limit(bins: list[float]) -> float:
+    """Random strings have even p-values, so no part of the upper p-values tells of more of them than there are."""
+    random = min(sum(bins), 2 * sum(bins[BINS // 2 :]), 4 * sum(bins[3 * BINS // 4 :]))
+    for i in range(BINS):
         above = sum(bins[i:])
-        if above and 1 - random * (1 - i / BINS) / above <= FALSE_SHARE:
+        if 1 - random * (1 - i / BINS) / max(above, 1e-9) <= FALSE_SHARE:
             return i / BINS
     return 2.0
 
@@ -191,7 +203,7 @@ def with_spans(docs: DataFrame, least_p: dict[tuple[int, int], float], name: str
 
     def random(c: Column) -> Column:
         table = F.array(*[F.lit(least_p[e, b]) for e in range(len(ENCODINGS)) for b in range(len(BANDS) + 1)])
-        return let(battery(c), lambda q: (q["p"] >= 0) & (q["p"] >= F.element_at(table, q["encoding"] * (len(BANDS) + 1) + q["band"] + 1)))
+        return let(battery(c), lambda q: (q["p"] >= F.element_at(table, q["encoding"] * (len(BANDS) + 1) + q["band"] + 1)))
 
     assign = _spans(text, ASSIGN, _matches(text, ASSIGN), 0, "assign", lambda x: F.length(F.regexp_extract(x, ASSIGN, 2)) >= 6)
 
@@ -202,8 +214,13 @@ def with_spans(docs: DataFrame, least_p: dict[tuple[int, int], float], name: str
         return F.struct(F.concat(assign, access, hexes).alias("base"), F.when(some, _spans(text, RUN, runs, 3, "random", random)).otherwise(F.array().cast(SPANS)).alias("random"))
 
     def merged(q: Column) -> Column:
-        new = F.filter(q["random"], lambda r: ~F.exists(q["base"], lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
-        return F.sort_array(F.concat(q["base"], new))
+        """Of the spans of the tests those go that end within one of a pattern that starts no later."""
+
+        def outside(all_: Column) -> Column:
+            reach = running(F.transform(all_, lambda s: F.when(s["rank"] < 3, s["end"]).otherwise(0)), lambda x, y: F.greatest(x, y), F.lit(0).cast("long"))
+            return let(reach, lambda r: F.filter(all_, lambda s, i: (s["rank"] < 3) | (F.get(r, i) < s["end"])))
+
+        return let(F.sort_array(F.concat(q["base"], q["random"])), outside)
 
     return docs.withColumn(name, let(let(_matches(text, RUN), rest), merged))
 
@@ -226,18 +243,29 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every span of its text replaced by a mark; overlapping spans become one. Null texts stay null."""
+    """docs with every span of its text replaced by a mark; overlapping spans become one. Null texts stay null.
+
+    Other columns are passed through, whatever their names. An empty table stays empty.
+    """
+    name = unused(docs, "spans")
 
     def cut_out(spans: Column) -> Column:
-        # Each span keeps what lies between the furthest end before it and its start.
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+        # Each span that starts where none before it reaches keeps what lies between that reach and its start.
+        def kept(q: Column) -> Column:
+            blocks, reach = q["blocks"], q["reach"]
+
+            def between(a: Column, b: Column) -> Column:
+                part = lambda k: F.substring(F.get(blocks, k.cast("int")), (F.greatest(a - k * BLOCK, F.lit(0)) + 1).cast("int"), (F.least(b - k * BLOCK, F.lit(BLOCK)) - F.greatest(a - k * BLOCK, F.lit(0))).cast("int"))
+                return F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / BLOCK), F.floor((b - 1) / BLOCK)), part), "")).otherwise("")
+
+            def piece(s: Column, i: Column) -> Column:
+                before = F.coalesce(F.get(reach, i - 1), F.lit(0).cast("long"))
+                return F.when(s["start"] >= before, F.concat(between(before, s["start"]), F.lit(mark))).otherwise("")
 
-        def step(acc: Column, s: Column) -> Column:
-            inside = s["start"] < acc["at"]
-            between = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(between, F.lit(mark)))).alias("out"))
+            return F.concat(F.array_join(F.transform(spans, piece), ""), between(F.get(reach, F.size(reach) - 1), F.length("text").cast("long")))
 
-        return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+        reach = running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y), F.lit(0).cast("long"))
+        return let(F.struct(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), reach.alias("reach")), kept)
 
-    spans = with_spans(docs, limits(docs))
-    return spans.withColumn("text", F.when(F.size("__spans") > 0, cut_out(F.col("__spans"))).otherwise(F.col("text"))).select(*docs.columns)
+    spans = with_spans(docs, limits(docs), name)
+    return spans.withColumn("text", F.when(F.size(name) > 0, cut_out(F.col(name))).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
