@@ -1,8 +1,8 @@
 """Quality rules with thresholds adapted to each language and source.
 
 Counts of every text are made by array expressions within its row. Mergeable quantile sketches of four ratios are
-kept per language and source and merged into one per language and one over all; a group of few texts takes the next
-larger one. Limits follow from a group's quantiles instead of fixed cutoffs and are joined back to the rows.
+kept per language and source and merged into one per language and one over all. Limits follow from a group's quantiles
+instead of fixed cutoffs, drawn towards those of the next larger group by what few texts tell, and are joined back to the rows.
 Everything is DataFrame functions.
 """
 
@@ -15,17 +15,18 @@ from pyspark.sql import functions as F
 
 from .common import WORD_SPACE, cut
 
-#: Ratio -> (least spread, whether low values fail too). A limit lies REACH spreads from the median; the spread is
-#: the distance from the median to a quartile, but at least the one given here.
+#: Ratio -> (least spread, whether low values fail too). A limit lies REACH spreads from the median; the spread is the
+#: distance from the median to a quartile, but at least the one given here. Where nearly all texts of a group have the same
+#: ratio, as none has symbols, that least spread decides.
 RATIOS: dict[str, tuple[float, bool]] = {
-    "word_length": (0.35, True),
-    "symbol_ratio": (0.01, False),
+    "word_length": (0.25, True),
+    "symbol_ratio": (0.005, False),
     "dup_line_ratio": (0.1, False),
-    "repeat_ratio": (0.07, False),
+    "repeat_ratio": (0.06, False),
 }
 REACH = 6.0
-#: Texts that a group needs for limits of its own.
-LEAST_TEXTS = 100
+#: As many texts' worth the limits of the next larger group have in those of a group.
+DRAWN = 100
 #: Size parameter of the sketches.
 SKETCH_K = 400
 
@@ -63,7 +64,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Add the counts n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of text; null counts as empty."""
+    """Add the counts n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines and n_repeat_words of text; null counts as empty."""
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, WORD_SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
@@ -76,9 +77,9 @@ def measured(docs: DataFrame) -> DataFrame:
         ),
     )
     symbols = F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long")
-    dup = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    row = docs.select("*", counts.alias("__c"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("__lines"))
-    return row.select("*", "__c.*").drop("__c")
+    by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    row = docs.select("*", counts.alias("__c"), symbols.alias("n_symbols"), by_line.alias("__l"))
+    return row.select("*", "__c.*", "__l.*").drop("__c", "__l")
 
 
 def with_ratios(counts: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def with_ratios(counts: DataFrame) -> DataFrame:
         {
             "word_length": F.col("word_chars") / n,
             "symbol_ratio": F.col("n_symbols") / F.when(F.col("word_chars") > 0, F.col("word_chars").cast("double")),
-            "dup_line_ratio": F.col("n_dup_lines") / F.when(n.isNotNull(), F.col("__lines").cast("double")),
+            "dup_line_ratio": F.col("n_dup_lines") / F.when(F.col("n_lines") > 0, F.col("n_lines").cast("double")),
             "repeat_ratio": F.col("n_repeat_words") / n,
         }
     )
@@ -104,19 +105,22 @@ def adaptive_limits(rows: DataFrame) -> DataFrame:
     lang = own.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
     all_ = own.agg(F.sum("n").alias("n"), *merged).filter("n > 0")  # a sketch of nothing has no quantiles
 
-    def limits(frame: DataFrame, prefix: str) -> DataFrame:
+    def limits(frame: DataFrame, name: str) -> DataFrame:
         out = []
         for r, (floor, low) in RATIOS.items():
             q = lambda p, r=r: F.kll_sketch_get_quantile_double(r, F.lit(p))
             out.append((q(0.5) + REACH * F.greatest(q(0.75) - q(0.5), F.lit(floor))).alias(f"high_{r}"))
             if low:
                 out.append((q(0.5) - REACH * F.greatest(q(0.5) - q(0.25), F.lit(floor))).alias(f"low_{r}"))
-        return frame.select(*[c for c in ("lang", "source") if c in frame.columns], F.when(F.col("n") >= LEAST_TEXTS if prefix != "all" else F.lit(True), F.struct(*out)).alias(prefix))
-
-    a, b, c = limits(own, "own"), limits(lang, "of_lang"), limits(all_, "all")
-    both = a.join(b.withColumnRenamed("lang", "__lang"), F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("__one", F.lit(1))
-    chosen = both.join(F.broadcast(c.withColumn("__one", F.lit(1))), "__one", "left")  # a single row
-    return chosen.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.coalesce("own", "of_lang", "all").alias("__limits"))
+        return frame.select(*[F.col(c).alias(f"{c}_{name}") for c in ("lang", "source") if c in frame.columns], F.col("n").alias(f"n_{name}"), F.struct(*out).alias(name))
+
+    bounds = [f"high_{r}" for r in RATIOS] + [f"low_{r}" for r, (_, low) in RATIOS.items() if low]
+    drawn = lambda own, n, towards: (own * n + DRAWN * towards) / (n + DRAWN)
+    every = limits(all_, "all").withColumn("one", F.lit(1))
+    both = limits(own, "own").join(limits(lang, "of"), F.col("lang_own").eqNullSafe(F.col("lang_of")), "left").withColumn("one", F.lit(1))
+    chosen = both.join(F.broadcast(every), "one")  # a single row
+    found = F.struct(*[drawn(F.col(f"own.{b}"), F.col("n_own"), drawn(F.col(f"of.{b}"), F.col("n_of"), F.col(f"all.{b}"))).alias(b) for b in bounds])
+    return chosen.select(F.col("lang_own").alias("__lang"), F.col("source_own").alias("__source"), found.alias("__limits"))
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:

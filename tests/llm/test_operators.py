@@ -403,6 +403,53 @@ def counted(x):
     return len(w), sum(map(len, w)), sum(x.count(s) for s in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
+def test_quality_limits_against_true_quantiles(spark):
+    """The method's verdict from numpy's quantiles; texts whose ratio lies near a limit are left out, sketches being estimates."""
+    r = random.Random(9)
+    rows = []
+    for i in range(900):
+        lang, source = r.choice(["en", "de", None]), r.choice(["a", "b", "few" if i % 40 == 0 else "a"])
+        long_ = 4 + (lang == "de")
+        ws = ["".join(r.choice("abcdefgh") for _ in range(max(1, int(r.gauss(long_, 1.5))))) for _ in range(80)]
+        if i % 9 == 0:
+            ws = [w + r.choice(["###", "", "extraordinarily"]) for w in ws]
+        rows.append((i, " ".join(ws[:40]) + "\n" + " ".join(ws[40:]) + "\n\nsame line" * (i % 7 == 0) * 3, lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    ratios = {}
+    for i, x, *_ in rows:
+        n, chars, symbols, dup, repeat = counted(x)
+        ratios[i] = {"word_length": chars / n, "symbol_ratio": symbols / chars, "dup_line_ratio": dup / len([y for y in x.split("\n") if words(y)]), "repeat_ratio": repeat / n}
+
+    def limits(ids):
+        out = {}
+        for k, (floor, low) in quality.RATIOS.items():
+            a, b, c = (np.quantile([ratios[i][k] for i in ids], q, method="inverted_cdf") for q in (0.25, 0.5, 0.75))
+            out["high", k] = b + quality.REACH * max(c - b, floor)
+            if low:
+                out["low", k] = b - quality.REACH * max(b - a, floor)
+        return out
+
+    drawn = lambda own, n, towards: {k: (own[k] * n + quality.DRAWN * towards[k]) / (n + quality.DRAWN) for k in own}
+    every = limits(ratios)
+    got = {x.doc_id: x for x in quality.quality_verdicts(docs).collect()}
+    checked = rejected = 0
+    for lang in ("en", "de", None):
+        of_lang = [i for i, _, a, _ in rows if a == lang]
+        towards = drawn(limits(of_lang), len(of_lang), every)
+        for source in ("a", "b", "few"):
+            ids = [i for i in of_lang if rows[i][3] == source]
+            if not ids:
+                continue
+            own = drawn(limits(ids), len(ids), towards)
+            for i in ids:
+                gaps = [(1 if side == "high" else -1) * (ratios[i][k] - v) for (side, k), v in own.items()]
+                if min(map(abs, gaps)) > 0.001:
+                    checked += 1
+                    rejected += max(gaps) > 0
+                    assert got[i].base_failed or got[i].kept == (max(gaps) <= 0), i
+    assert checked > 600 and rejected > 20
+
+
 def test_quality(docs, plain):
     for r in quality.quality_verdicts(docs).collect():
         want = counted(plain[r.doc_id])
