@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, text_bytes
+from .common import cut, pieces, release, text_bytes
 
 #: Bytes of the longest context.
 ORDER = 5
 #: Contexts of a bounded model at most; with 256 symbols and 6 bytes an entry it bounds what is broadcast to 100 MB.
 CONTEXTS = 65_535
-#: Windows whose code lengths are broadcast: the most frequent ones (12 bytes each).
-COMMON_WINDOWS = 1 << 22
+#: Windows whose code lengths are broadcast: the most frequent ones (24 to 48 bytes each).
+COMMON_WINDOWS = (1 << 22) - 1
 #: Words whose counts are broadcast: the most frequent ones of at most WORD_BYTES bytes (14 MB at most).
 COMMON_WORDS = 262_144
 WORD_BYTES = 40
@@ -43,6 +43,8 @@ PAD, END = 0xFE, 0xFF
 SEGMENT = 256
 #: Distinct words or windows that a task gathers before it hands them on.
 GATHER = 1_000_000
+#: Bytes of text that are taken at a time; a byte takes some 100 bytes of memory on its way.
+PIECE = 1 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -115,7 +117,7 @@ def window_counts(texts: DataFrame) -> DataFrame:
             code, c = held.pop()
             return pa.RecordBatch.from_pydict({"code": pa.array(code.view(np.int64)), "c": pa.array(c.astype(np.int64))})
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=PIECE):
             held.append(windows(batch.column("t").to_pylist()))
             if len(held) > 1:
                 held = [_summed(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))]
@@ -249,54 +251,82 @@ def code_lengths(grams: DataFrame, others: DataFrame) -> DataFrame:
             # bytes that no context offered: evenly
             at = at.crossJoin(F.broadcast(g[0].agg((255 - F.count(F.lit(1))).alias("left")))).select("code", void.alias("total"), void.alias("kinds"), F.when(F.col("done"), F.col("v")).otherwise(F.col("v") - F.log10(F.greatest(F.lit(1), F.col("left")))).alias("v"), "done")
         state = cut(at.unionByName(state.filter("done")))
+        release(grams.sparkSession)
     return seen.unionByName(state.select("code", F.lit(0).cast("long").alias("c"), "v"))
 
 
 @dataclass
 class Windows:
-    """The code lengths of frequent windows, sorted by code."""
+    """The code lengths of frequent windows, in a table of open addresses (a window's own place or one soon after it)."""
 
-    code: np.ndarray
+    code: np.ndarray  # no window is all ones: that stands for an empty place
     v: np.ndarray
 
-
-def common_windows(values: DataFrame, most: int) -> Windows:
-    """The windows of the highest counts, as far as all of a class of counts fit."""
+    @staticmethod
+    def of(code: np.ndarray, v: np.ndarray) -> Windows:
+        size = 1 << max(4, (2 * len(code)).bit_length())
+        codes, values = np.full(size, EMPTY, np.uint64), np.zeros(size, np.float32)
+        left, at = np.arange(len(code)), _place(code, size)
+        while len(left):
+            free = codes[at] == EMPTY
+            slots, first = np.unique(at[free], return_index=True)
+            put = left[free][first]
+            codes[slots], values[slots] = code[put], v[put]
+            again = codes[at] != code[left]
+            left, at = left[again], (at[again] + 1) & (size - 1)
+        return Windows(codes, values)
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """The place of each window, or -1."""
+        found, left, at = np.full(len(code), -1, np.int64), np.arange(len(code)), _place(code, len(self.code))
+        while len(left):
+            there = self.code[at]
+            here = there == code[left]
+            found[left[here]] = at[here]
+            more = ~here & (there != EMPTY)
+            left, at = left[more], (at[more] + 1) & (len(self.code) - 1)
+        return found
+
+
+EMPTY = np.uint64(2**64 - 1)
+
+
+def _place(code: np.ndarray, size: int) -> np.ndarray:
+    return (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of the highest counts (c), as far as all of a class of counts fit; a histogram of the classes tells."""
     level = F.floor(4 * F.log2("c")).cast("int")
     held, least = 0, None
-    for row in sorted(values.filter("c > 0").groupBy(level.alias("level")).count().collect(), reverse=True):
+    for row in sorted(counts.filter("c > 0").groupBy(level.alias("level")).count().collect(), reverse=True):
         held += row["count"]
         if held > most:
             break
         least = row["level"]
-    if least is None:
-        return Windows(np.zeros(0, np.uint64), np.zeros(0, np.float32))
-    found = values.filter((F.col("c") > 0) & (level >= least)).select("code", F.col("v").cast("float").alias("v")).toArrow()
-    code, v = found.column("code").to_numpy().view(np.uint64), found.column("v").to_numpy()
-    order = np.argsort(code)
-    return Windows(code[order], v[order])
+    return counts.filter((F.col("c") > 0) & (level >= least)) if least is not None else counts.limit(0)
+
+
+def common_windows(values: DataFrame, most: int) -> Windows:
+    found = most_frequent(values, most).select("code", F.col("v").cast("float").alias("v")).toArrow()
+    return Windows.of(found.column("code").to_numpy().view(np.uint64), found.column("v").to_numpy())
 
 
 def score_windows(common: Windows, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Of each text (its words are found here) the sum over its common windows, and its other windows with their counts."""
-    lengths = np.fromiter((len(joined(tokens(x))) + 1 for x in texts), np.int64, len(texts))
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    code, which = np.unique(_codes(texts), return_inverse=True)
-    if len(common.code):
-        at = np.minimum(np.searchsorted(common.code, code), len(common.code) - 1)
-        known = common.code[at] == code
-        v = np.where(known, common.v[at], 0.0)
-    else:
-        known, v = np.zeros(len(code), bool), np.zeros(len(code))
-    total = np.bincount(doc, v[which], len(texts))
-    other = np.flatnonzero(~known[which])
-    d, w = doc[other], which[other]
+    ends = np.cumsum([len(joined(tokens(x))) + 1 for x in texts])
+    code = _codes(texts)
+    at = common.find(code)
+    v = np.where(at >= 0, common.v[at].astype(np.float64), 0.0)
+    total = np.add.reduceat(v, np.concatenate([[0], ends[:-1]]))
+    other = np.flatnonzero(at < 0)
+    d, w = np.searchsorted(ends, other, "right"), code[other]
     order = np.lexsort((w, d))
     d, w = d[order], w[order]
     first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])])) if len(d) else np.zeros(0, np.int64)
     times = np.diff(np.append(first, len(d)))
     cuts = np.searchsorted(d[first], np.arange(1, len(texts)))
-    return total, np.split(code[w[first]].view(np.int64), cuts), np.split(times, cuts)
+    return total, np.split(w[first].view(np.int64), cuts), np.split(times, cuts)
 
 
 def fit(texts: DataFrame, contexts: int = CONTEXTS) -> Model:
@@ -336,14 +366,14 @@ def lm_scores(docs: DataFrame, contexts: int | None = None, common_words: int =
         model = common_windows(values, most_windows)
     else:
         model = fit(train, contexts)
-    common = counts.filter(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(common_words).toArrow()
+    common = most_frequent(counts.filter(F.octet_length("word") <= WORD_BYTES), common_words).toArrow()
     shared = spark.sparkContext.broadcast((dict(zip(common.column("word").to_pylist(), np.log10(common.column("c").to_numpy() + 1.0).tolist(), strict=True)), model))
     end_log, share_log = float(np.log10(n_train + 1)), float(np.log10(train_tokens + kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = shared.value
         row = TaskContext.get().partitionId() << 40
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=PIECE):
             split = [tokens(x) for x in batch.column("t").to_pylist()]
             found, logs, rare, rare_n = [], [], [], []
             for words in split:
