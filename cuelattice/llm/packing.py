@@ -4,7 +4,8 @@ Every document becomes token ids and an end id; only documents longer than a seq
 into partitions of bounded size and packed there best-fit decreasing. Dual-feasible functions bound the bins that a
 partition needs from below. A partition whose bins meet its bound keeps them, but for its emptiest one; a partition
 with a gap gives up all its bins that aren't full. What was given up is dealt anew, so partitions exchange
-documents, and is packed again, until it fits one partition or the rounds are over.
+documents, and is packed again, until it fits one partition or hardly shrinks any more. `certificate` then tells how far
+from the least possible the whole may be.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import cut, partitions_for, pieces, text_bytes
 
 #: Items that one task packs; bounds its memory.
 PART_ITEMS = 50_000
-#: Most rounds of exchange after the first packing.
-ROUNDS = 4
+#: Rounds go on while each leaves at most this share of what it was given.
+SHRINKS = 0.9
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 1_200_000
 
@@ -134,8 +135,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The largest bound by the dual-feasible functions that round up large items, and those that round to k-ths."""
-    sizes = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of(sizes: np.ndarray, capacity: int) -> int:
+    """The largest bound by the dual-feasible functions that round up large items, and those that round to k-ths; sizes[n] items have length n."""
     x = np.arange(capacity + 1, dtype=np.int64)
     total = int((sizes * x).sum())
     best = -(-total // capacity)
@@ -149,7 +153,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(items: DataFrame, capacity: int, part_items: int = PART_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int, part_items: int = PART_ITEMS) -> DataFrame:
     """Add sequence_id and offset to rows with length (1 to capacity) and deal (any number that deals them out).
 
     An empty table stays empty. Rows that repeat are packed each by itself.
@@ -170,18 +174,30 @@ def pack(items: DataFrame, capacity: int, part_items: int = PART_ITEMS, rounds:
 
         return run
 
-    done, left, turn = None, items, 0
+    done, left, turn, before = None, items, 0, None
     while True:
         count = left.count()
         parts = partitions_for(count, part_items)
         dealt = left.withColumn("__part", F.pmod(F.xxhash64(F.lit(turn), "deal", "length", "start", "piece"), F.lit(parts)).cast("long"))
         now = cut(dealt.groupBy("__part").applyInPandas(packed("__part", turn), schema))
-        last = parts == 1 or turn == rounds
+        last = parts == 1 or (before is not None and count > SHRINKS * before)
         kept = (now if last else now.filter("not released")).select(*columns, "sequence_id", "offset")
         done = kept if done is None else done.unionByName(kept)
         if last:
             return done
-        left, turn = now.filter("released").select(*columns), turn + 1
+        left, turn, before = now.filter("released").select(*columns), turn + 1, count
+
+
+def certificate(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row (n_sequences, least_possible) of a packing (length, sequence_id): what it takes, and what any packing takes at least.
+
+    The bound is that of all pieces, from how many there are of each length; nothing else is gathered.
+    """
+    sizes = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():
+        sizes[r["length"]] = r["count"]
+    least = bound_of(sizes, capacity) if sizes.any() else 0
+    return packed.agg(F.count_distinct("sequence_id").alias("n_sequences")).withColumn("least_possible", F.lit(least).cast("long"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -323,7 +323,8 @@ def test_redaction(spark):
 def test_packing(spark, docs, plain, part):
     t = Tokenizer.from_file(WORD_BPE)
     items = packing.tokenized_pieces(docs, WORD_BPE, 64, 0)
-    got = packing.pack(items, 64, part_items=part).collect()
+    packed = packing.pack(items, 64, part_items=part).checkpoint()
+    got = packed.collect()
     ids = {d: t.encode(x, add_special_tokens=False).ids + [0] for d, x in plain.items()}
     want = {(d, k, k * 64, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for d, x in ids.items() for k, p in enumerate(x[i : i + 64] for i in range(0, len(x), 64))}
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
@@ -338,6 +339,8 @@ def test_packing(spark, docs, plain, part):
         assert at <= 64
     bound = packing.lower_bound(np.array([r.length for r in got]), 64)
     assert bound <= len(bins) <= bound + (1 if part > 10 else 4)
+    assert packing.certificate(packed, 64).collect() == [(len(bins), bound)]
+    assert packing.certificate(packed.limit(0), 64).collect() == [(0, 0)]
 
 
 def test_lower_bounds_hold():
