@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ from .common import pieces, text_bytes
 
 #: Labelled rows that the classifier is fitted on at most: those with the least hashes of their ids.
 SAMPLE_ROWS = 3_000
+#: Bytes of text that these have together at most (about 10 bytes of features each reach the driver); rows beyond are left out.
+SAMPLE_BYTES = 16 << 20
 SIZES = (5, 8)
 HASH_BITS = 20
 #: A feature needs so many texts of the sample (fewer where few are toxic).
@@ -105,8 +107,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from a bounded sample of the labelled rows that aren't held out. A label is the largest of its doc_id; nulls don't count."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learn from a sample of the labelled rows that aren't held out, of bounded rows and bytes, in the order of the hashes of their ids.
+
+    A label is the largest of its doc_id; nulls don't count. Of rows that repeat a doc_id one is taken, by the hash of its text.
+    """
     sample = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # its size is bounded, so it is broadcast
 
@@ -116,7 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "f": pa.array(found, pa.list_(pa.int32()))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(sample), "doc_id")
+    text = F.struct(F.xxhash64("t").alias("h"), "t")
+    found = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min(text)["t"].alias("t"))
+    so_far = F.sum(F.octet_length("t")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the bounded sample only
+    chosen = found.withColumn("so_far", so_far).filter(F.col("so_far") <= sample_bytes).drop("so_far")
     rows = chosen.mapInArrow(run, f"doc_id {kind}, toxic int, f array<int>").toArrow()
     found = rows.column("f").combine_chunks()
     found = found if isinstance(found, pa.ListArray) else pa.concat_arrays(found.chunks or [pa.array([], pa.list_(pa.int32()))])

@@ -482,6 +482,48 @@ def test_toxicity_on_held_out_rows(spark):
     assert right > 0.96 and recall > 0.8
 
 
+def test_toxicity_fit_against_a_dense_one():
+    """Features by slices of the text, counts and steps over a dense matrix."""
+    r = random.Random(7)
+    texts = [" ".join(r.choice(["vile", "rotten", "scum"] if i % 3 == 0 and r.random() < 0.4 else ["calm", "river", "stone", "meadow", "über"]) for _ in range(30)) for i in range(90)]
+    toxic = np.array([i % 3 == 0 for i in range(90)], float)
+
+    def grams(text):
+        b = b" " + text.lower().encode() + b" "
+        return {((int.from_bytes(b[i : i + n], "big") + n) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.HASH_BITS) for n in toxicity.SIZES for i in range(len(b) - n + 1)}
+
+    sets = [grams(x) for x in texts]
+    assert [sorted(x) for x in sets] == [toxicity.features(x.encode()).tolist() for x in texts]
+    every = sorted(set().union(*sets))
+    x = np.array([[f in s for f in every] for s in sets], float)
+    a, b = toxic @ x, (1 - toxic) @ x
+    used = a + b >= min(toxicity.LEAST_TEXTS, max(1, int(toxic.sum()) // 10))
+    ratio = (np.log((a + 1) / (toxic.sum() + 2)) - np.log((b + 1) / ((1 - toxic).sum() + 2)))[used]
+    z = np.hstack([x[:, used] * ratio, np.ones((90, 1))])
+    w, m, v = np.zeros(z.shape[1]), 0.0, 0.0
+    for t in range(1, toxicity.STEPS + 1):
+        g = z.T @ (1 / (1 + np.exp(-z @ w)) - toxic) / 90 + toxicity.L2 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    sizes = np.cumsum([0] + [len(s) for s in sets])
+    model = toxicity.fit_model(np.concatenate([toxicity.features(t.encode()) for t in texts]).astype(np.int32), sizes, toxic.astype(np.int64))
+    want = np.zeros(1 << toxicity.HASH_BITS)
+    want[np.array(every)[used]] = w[:-1] * ratio
+    assert np.allclose(model.weights, want, atol=1e-4) and math.isclose(model.bias, w[-1], abs_tol=1e-4)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Repeated doc_ids count once, and bytes are bounded; the rest of the rows is not learned from."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"vile scum number {i} " * 5 if i % 2 else f"calm river number {i} " * 5) for i in ids for _ in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    all_, some, none = (toxicity.fit(docs, labels, sample_bytes=n) for n in (1 << 20, 1500, 10))
+    assert np.count_nonzero(all_.weights) and np.count_nonzero(some.weights) and not np.array_equal(all_.weights, some.weights)
+    assert not np.count_nonzero(none.weights)
+    once = toxicity.fit(docs.dropDuplicates(["doc_id"]), labels)
+    assert np.allclose(once.weights, all_.weights)
+
+
 def test_toxicity_without_labels(docs, labels):
     got = toxicity.score_toxicity(docs, labels.limit(0)).collect()
     assert {r.predicted for r in got} == {0}
