@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,46 +28,77 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def ratios(pairs: Iterable[tuple[str, str]]) -> dict[tuple[str, str], float]:
+    """The ratio of each distinct pair. What a matcher learns of a second text serves all pairs that have it."""
+    found, matcher, last = {}, SequenceMatcher(None), None
+    for a, b in sorted(set(pairs), key=lambda x: x[1]):
+        if not a or not b:
+            found[a, b] = float(a == b)
+            continue
+        if b != last:
+            matcher.set_seq2(b)
+            last = b
+        matcher.set_seq1(a)
+        found[a, b] = matcher.ratio()
+    return found
+
+
+word_ratio = lru_cache(1 << 17)(ratio)
+
+
+@lru_cache(1 << 17)
 def token_parts(token: str) -> tuple[str, str, str]:
     inner = [i for i, ch in enumerate(token) if ch.isalnum()]
     return (token[: inner[0]], token[inner[0] : inner[-1] + 1], token[inner[-1] + 1 :]) if inner else (token, "", "")
 
 
+@lru_cache(1 << 17)
 def plain(core: str) -> str:
     return clean(core).lower()
 
 
-def token_cores(text: str) -> list[str]:
-    return [plain(c) for c in (token_parts(t)[1] for t in text.split()) if c]
+def meaning(core: str) -> str:
+    """What two words share if one is taken for the other."""
+    core = plain(core)
+    return SYNONYMS.get(core, core)
 
 
-def same_word(a: str, b: str) -> bool:
-    a, b = plain(a), plain(b)
-    return a == b or SYNONYMS.get(a, a) == SYNONYMS.get(b, b)
+def token_cores(text: str) -> list[str]:
+    return [plain(c) for c in (token_parts(t)[1] for t in text.split()) if c]
 
 
 def longest_run(cue: list[str], window: list[str]) -> tuple[int, int]:
     """(length, place in the window) of the longest common run; a word found as it is hides its synonyms as starts."""
-    alike = [[same_word(c, w) for w in window] for c in cue]
-    length = [[0] * (len(window) + 1) for _ in range(len(cue) + 1)]
+    if not cue or not window:
+        return 0, -1
+    number: dict[str, int] = {}
+    ids = [np.array([number.setdefault(meaning(w), len(number)) for w in ws]) for ws in (cue, window)]
+    alike = ids[0][:, None] == ids[1]
+    length = np.zeros((len(cue) + 1, len(window) + 1), np.int64)
     for i in range(len(cue) - 1, -1, -1):
-        for j in range(len(window) - 1, -1, -1):
-            length[i][j] = length[i + 1][j + 1] + 1 if alike[i][j] else 0
-    best = (0, -1)
-    for i, c in enumerate(cue):
-        exact = [j for j, w in enumerate(window) if w == c]
-        for j in exact or [j for j in range(len(window)) if alike[i][j]]:
-            if length[i][j] > best[0]:
-                best = (length[i][j], j)
+        length[i, :-1] = np.where(alike[i], length[i + 1, 1:] + 1, 0)
+    best, places = (0, -1), {}
+    for j, w in enumerate(window):
+        places.setdefault(w, []).append(j)
+    for i in np.flatnonzero(length[:-1].max(axis=1) > 0).tolist():
+        exact = places.get(cue[i])
+        starts = length[i, exact] if exact else length[i, :-1]
+        k = int(starts.argmax())
+        if starts[k] > best[0]:
+            best = (int(starts[k]), exact[k] if exact else k)
     return best
 
 
-def best_match(word: str, candidates: list[str]) -> tuple[str, float]:
-    found, score = "", 0.0
+def best_match(word: str, candidates: list[str], least: float = 0.0) -> tuple[str, float]:
+    """The first of the candidates most like a word, and how much; none if nothing reaches `least`."""
+    found, score, own = "", 0.0, plain(word)
     for c in candidates:
-        s = ratio(plain(word), plain(c))
-        if s > score:
-            found, score = c, s
+        other = plain(c)
+        most = 2 * min(len(own), len(other)) / max(1, len(own) + len(other)) if own and other else 1.0
+        if most > score and most >= least:
+            s = word_ratio(own, other)
+            if s > score:
+                found, score = c, s
     return found, score
 
 
@@ -95,13 +128,15 @@ SCORES = _struct(jaccard=DOUBLE, seq=DOUBLE, run=INT, run_start=INT, cue_cores=I
 @F.pandas_udf(SCORES)
 def text_scores(cue: pd.Series, window: pd.Series) -> pd.DataFrame:
     """What a cue's text has in common with that of a window of segments."""
-    out = []
-    for c, w in zip(cue, window, strict=True):
-        c, w = c or "", w or ""
-        a, b = {plain(x) for x in c.split()}, {plain(x) for x in w.split()}
-        cc, wc = token_cores(c), token_cores(w)
-        out.append((len(a & b) / len(a | b) if a and b else 0.0, ratio(clean(c), clean(w)), *longest_run(cc, wc), len(cc), len(wc)))
-    return pd.DataFrame(out, columns=SCORES.names)
+    pairs = [(c or "", w or "") for c, w in zip(cue, window, strict=True)]
+    words = {x: ({plain(y) for y in x.split()}, token_cores(x), clean(x)) for x in {y for pair in pairs for y in pair}}
+    seq = ratios((words[c][2], words[w][2]) for c, w in pairs)
+    found: dict[tuple[str, str], tuple] = {}
+    for pair in pairs:
+        if pair not in found:
+            (a, cc, ca), (b, wc, cb) = (words[x] for x in pair)
+            found[pair] = (len(a & b) / len(a | b) if a and b else 0.0, seq[ca, cb], *longest_run(cc, wc), len(cc), len(wc))
+    return pd.DataFrame([found[x] for x in pairs], columns=SCORES.names)
 
 
 @F.pandas_udf(_struct(word=STRING, score=DOUBLE))
@@ -140,6 +175,7 @@ def correct_words(cue: str, transcript: str) -> tuple[str, float, bool, list[dic
     a, b = ({plain(c) for c in cs if c} for cs in ([token_parts(t)[1] for t in cue.split()], said))
     shared = len(a & b) / len(a | b) if a and b else 0.0
     careful = shared < LOW_OVERLAP
+    meanings = {meaning(s) for s in said}
     out, changes, kept, nth = [], [], [], 0
 
     def put(core: str, new: str, reason: str, score: float) -> str:
@@ -151,7 +187,7 @@ def correct_words(cue: str, transcript: str) -> tuple[str, float, bool, list[dic
         lead, core, trail = token_parts(token)
         if not core or careful:
             word = core
-            near = best_match(core, said) if core and said else ("", 0.0)
+            near = best_match(core, said, CAREFUL_TYPO) if core and said else ("", 0.0)
             if core and near[1] >= CAREFUL_TYPO:
                 word = put(core, near[0], "fuzzy-conservative", near[1])
             elif not core or said:
@@ -159,7 +195,7 @@ def correct_words(cue: str, transcript: str) -> tuple[str, float, bool, list[dic
             nth = min(nth + 1, len(said))
             out.append(lead + word + trail)
             continue
-        near = ("", 1.0) if any(same_word(core, s) for s in said) else best_match(core, said)
+        near = ("", 1.0) if meaning(core) in meanings else best_match(core, said, TYPO)
         if near[1] >= SAME_MEANING or not said:
             if said:
                 kept.append(core)

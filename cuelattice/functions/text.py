@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +12,9 @@ from pyspark.sql import types as T
 #: White space as the caption tools see it: Unicode's, and the four separator controls.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
+#: The same, one by one, for what trims.
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 # Words taken for each other when captions are compared.
 SYNONYMS = {
     "yeah": "yes",
@@ -31,7 +36,7 @@ SYNONYMS = {
     "tho": "though",
     "through": "thru",
 }
-# Extensions that uploads may have, and those of the client's wider check.
+# Extensions that uploads may have.
 UPLOAD_EXTENSIONS = (".srt", ".vtt", ".ass", ".ssa", ".sbv", ".txt")
 
 
@@ -49,8 +54,13 @@ def normalize_text(c: Column) -> Column:
     return collapse_space(_nfkc(c))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{SPACE}+\z|\A{SPACE}+", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def tokens(c: Column) -> Column:
@@ -109,7 +119,7 @@ def universal_newlines(c: Column) -> Column:
 
 def clean_lines(c: Column) -> Column:
     """Line ends as line feeds, no white space at the end of a line, at most one empty line in a row."""
-    trimmed = F.transform(F.split(universal_newlines(c), "\n", -1), lambda x: F.regexp_replace(x, SPACE + r"+\z", ""))
+    trimmed = F.transform(F.split(universal_newlines(c), "\n", -1), lambda x: F.rtrim(x, F.lit(SPACE_CHARS)))
     return F.regexp_replace(F.array_join(trimmed, "\n"), "\n{3,}", "\n\n")
 
 
@@ -134,7 +144,7 @@ def is_timing(line: Column) -> Column:
 
 def two_line_cap(c: Column) -> Column:
     """Captions cut to two lines of text."""
-    cut = F.transform(blocks(c), lambda b: F.when(F.size(lines(b)) > 4, F.array_join(F.slice(lines(b), 1, 4), "\n")).otherwise(b))
+    cut = F.transform(blocks(c), lambda b: let(lines(b), lambda p: F.when(F.size(p) > 4, F.array_join(F.slice(p, 1, 4), "\n")).otherwise(b)))
     return F.concat(F.array_join(cut, "\n\n"), F.lit("\n"))
 
 
@@ -189,8 +199,8 @@ def password_ok(password: Column, again: Column) -> Column:
 
 def letter_profile(text: Column) -> Column:
     """struct<ascii, other>: letters and digits inside and outside ASCII."""
-    inside = F.regexp_count(text, F.lit("[A-Za-z0-9]"))
-    return F.struct(inside.cast("long").alias("ascii"), (F.regexp_count(text, F.lit(r"[\p{L}\p{Nd}]")) - inside).cast("long").alias("other"))
+    letters = F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", "")
+    return let(letters, lambda x: let(F.length(F.regexp_replace(x, "[^A-Za-z0-9]+", "")).cast("long"), lambda n: F.struct(n.alias("ascii"), (F.length(x) - n).cast("long").alias("other"))))
 
 
 def generated_captions(language: Column) -> Column:

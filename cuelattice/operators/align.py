@@ -17,14 +17,18 @@ WEAK, VERY_WEAK, CLOSE, PHRASE = 0.35, 0.25, 2.0, 0.4
 MATCH = "struct<i:int,j:int,token_start:int,token_end:int,score:double,method:string>"
 
 
-def _pairs(cues: DataFrame, all_spans: DataFrame, width: float, longest: int) -> DataFrame:
-    """Cues with all spans whose first segment lies in the band; cues without any, with all spans of their medium.
+def _windows(all_spans: DataFrame) -> DataFrame:
+    return all_spans.select("media_id", "i", "j", "n", F.col("text").alias("window"), F.col("start_s").alias("w0"), F.col("end_s").alias("w1"), F.col("center").alias("wc"))
 
-    The band is a residual of the join on media_id, and so is "no segment in the band" (distance of the nearest one).
-    """
-    s = all_spans.filter(F.col("n") <= longest).select("media_id", "i", "j", "n", F.col("text").alias("window"), F.col("start_s").alias("w0"), F.col("end_s").alias("w1"), F.col("center").alias("wc"))
-    gap = F.abs(F.col("wc") - (F.col("start_s") + F.col("end_s")) / 2)
-    return cues.join(s, "media_id").withColumn("gap", gap).filter((F.col("gap") <= width) | (F.col("nearest") > width))
+
+def _pairs(cues: DataFrame, all_spans: DataFrame, width: float, longest: int) -> DataFrame:
+    """Cues with all spans whose first segment lies in the band, joined by buckets of time; cues that have no segment in it, with all spans of their medium."""
+    s, center = _windows(all_spans.filter(F.col("n") <= longest)), (F.col("start_s") + F.col("end_s")) / 2
+    bucket = lambda c: F.floor(c / width).cast("long")
+    gap = F.abs(F.col("wc") - center)
+    near = cues.filter(F.col("nearest") <= width).withColumn("bucket", F.explode(F.array(*[bucket(center) + k for k in (-1, 0, 1)])))
+    inside = near.join(s.withColumn("bucket", bucket(F.col("wc"))), ["media_id", "bucket"]).drop("bucket").withColumn("gap", gap).filter(F.col("gap") <= width)
+    return inside.unionByName(cues.filter(F.col("nearest") > width).join(s, "media_id").withColumn("gap", gap))
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
@@ -58,7 +62,7 @@ def best_windows(cues: DataFrame, segments: DataFrame) -> DataFrame:
     weak = rows.join(first.filter(F.col("match.score") < WEAK), key)
     # Later passes: score what any of them may ask for once, then go through the passes in order.
     most = LATER_PASSES[-1]
-    again = _scored(_pairs(weak.withColumn("band", F.col("nearest")), spans(segments, most[1]), most[0], most[1]).unionByName(_far_pairs(weak, spans(segments, most[1]))))
+    again = _scored(_pairs(weak, spans(segments, most[1]), most[0], most[1]).unionByName(_far_pairs(weak, spans(segments, most[1]))))
     inside = [((F.col("gap") <= w) | (F.col("nearest") > w)) & (F.col("n") <= k) for w, k in LATER_PASSES]
     later = again.groupBy(*key).agg(*[_first_best(c, "expanded").alias(f"p{i}") for i, c in enumerate(inside)], F.first("match").alias("match"))
     best = F.col("match")
@@ -82,10 +86,8 @@ def best_windows(cues: DataFrame, segments: DataFrame) -> DataFrame:
 def _far_pairs(weak: DataFrame, all_spans: DataFrame) -> DataFrame:
     """What a narrow pass falls back to: all spans, for cues whose nearest segment lies outside the first of the later bands."""
     most = LATER_PASSES[-1]
-    far = weak.withColumn("band", F.col("nearest")).filter((F.col("nearest") > LATER_PASSES[0][0]) & (F.col("nearest") <= most[0]))
-    s = all_spans.select("media_id", "i", "j", "n", F.col("text").alias("window"), F.col("start_s").alias("w0"), F.col("end_s").alias("w1"), F.col("center").alias("wc"))
-    gap = F.abs(F.col("wc") - (F.col("start_s") + F.col("end_s")) / 2)
-    return far.join(s, "media_id").withColumn("gap", gap).filter(F.col("gap") > most[0])
+    far = weak.filter((F.col("nearest") > LATER_PASSES[0][0]) & (F.col("nearest") <= most[0]))
+    return far.join(_windows(all_spans), "media_id").withColumn("gap", F.abs(F.col("wc") - (F.col("start_s") + F.col("end_s")) / 2)).filter(F.col("gap") > most[0])
 
 
 def refined_times(parts: Column, token_start: Column, token_end: Column) -> Column:

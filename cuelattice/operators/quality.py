@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, blocks, clean_lines, is_timing, lines, two_line_cap
+from ..functions.text import blocks, clean_lines, is_timing, let, lines, strip, two_line_cap
 
 
 def _head_ok(parts: Column, least: int) -> Column:
@@ -13,22 +13,26 @@ def _head_ok(parts: Column, least: int) -> Column:
 
 
 def _text_lines(parts: Column) -> Column:
-    return F.filter(F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))), lambda x: F.regexp_replace(x, SPACE, "") != "")
+    return F.filter(F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))), lambda x: strip(x) != "")
 
 
 def _issues(parts: Column, number: Column, max_chars: int, max_lines: int) -> Column:
     """Issues of one block in the order of the rules."""
-    texts = _text_lines(parts)
     block = F.concat(F.lit("Block "), number.cast("string"))
-    none = F.when(F.size(texts) == 0, F.array(F.concat(block, F.lit(" has no text.")))).otherwise(F.array().cast("array<string>"))
-    many = F.when(F.size(texts) > max_lines, F.array(F.concat(block, F.lit(" exceeds max lines ("), F.size(texts).cast("string"), F.lit(f" > {max_lines}).")))).otherwise(F.array().cast("array<string>"))
-    long = F.transform(F.filter(texts, lambda x: F.length(x) > max_chars), lambda x: F.concat(block, F.lit(" line exceeds max chars ("), F.length(x).cast("string"), F.lit(f" > {max_chars}).")))
-    return F.when(_head_ok(parts, 2), F.concat(none, many, long)).otherwise(F.array(F.concat(block, F.lit(" has invalid header/timing."))))
+    nothing = F.array().cast("array<string>")
+
+    def found(texts: Column) -> Column:
+        none = F.when(F.size(texts) == 0, F.array(F.concat(block, F.lit(" has no text.")))).otherwise(nothing)
+        many = F.when(F.size(texts) > max_lines, F.array(F.concat(block, F.lit(" exceeds max lines ("), F.size(texts).cast("string"), F.lit(f" > {max_lines}).")))).otherwise(nothing)
+        long = F.transform(F.filter(texts, lambda x: F.length(x) > max_chars), lambda x: F.concat(block, F.lit(" line exceeds max chars ("), F.length(x).cast("string"), F.lit(f" > {max_chars}).")))
+        return F.concat(none, many, long)
+
+    return F.when(_head_ok(parts, 2), let(_text_lines(parts), found)).otherwise(F.array(F.concat(block, F.lit(" has invalid header/timing."))))
 
 
 def validate(files: DataFrame, max_chars: int = 42, max_lines: int = 2) -> DataFrame:
     """All columns of files (content) and issues array<string>, valid boolean. Row by row; nothing is shuffled."""
-    issues = F.flatten(F.transform(blocks(F.col("content")), lambda b, i: _issues(lines(b), i + 1, max_chars, max_lines)))
+    issues = F.flatten(F.transform(blocks(F.col("content")), lambda b, i: let(lines(b), lambda parts: _issues(parts, i + 1, max_chars, max_lines))))
     return files.withColumn("issues", issues).withColumn("valid", F.size("issues") == 0)
 
 
@@ -48,13 +52,15 @@ def timing_rules(cues: DataFrame, least: float | None = None, most: float | None
 
 def counters(files: DataFrame) -> DataFrame:
     """n_cues, n_long_lines and up to five findings of each file, as the sync summary has them."""
-    cleaned = files.withColumn("__blocks", blocks(clean_lines(F.col("content"))))
-    cues = F.filter(F.transform("__blocks", lines), lambda p: _head_ok(p, 3))
-    long = F.filter(F.flatten(F.transform(cues, _text_lines)), lambda x: F.length(x) > 42)
     finding = lambda x: F.concat(F.lit("Long line ("), F.length(x).cast("string"), F.lit(" chars): "), F.substring(x, 1, 60), F.lit("..."))
-    return cleaned.select(
-        *files.columns, F.size(cues).cast("long").alias("n_cues"), F.size(long).cast("long").alias("n_long_lines"), F.transform(F.slice(long, 1, 5), finding).alias("findings")
-    ).drop("__blocks")
+
+    def counted(cues: Column) -> Column:
+        long = F.filter(F.flatten(F.transform(cues, _text_lines)), lambda x: F.length(x) > 42)
+        return let(long, lambda x: F.struct(F.size(cues).cast("long").alias("n_cues"), F.size(x).cast("long").alias("n_long_lines"), F.transform(F.slice(x, 1, 5), finding).alias("findings")))
+
+    parts = F.transform(blocks(clean_lines(F.col("content"))), lines)
+    found = files.select(*files.columns, let(F.filter(parts, lambda p: _head_ok(p, 3)), counted).alias("__found"))
+    return found.select(*files.columns, "__found.*")
 
 
 def corrected_content(content: Column, enforce: bool = True) -> Column:

@@ -1,16 +1,23 @@
 """Relations between cues and transcript segments on the time line of a medium.
 
 segments: media_id, seg_idx, start_s, end_s, text. cues: media_id, cue_idx, start_s, end_s, text. Every join has
-media_id as its equality key; time conditions are residual, and the band join adds a time bucket for long media.
+media_id and a time bucket as its equality key, and the exact time conditions as residuals; the nearest segment is
+found by one sorted pass. So a medium of many segments never meets all its cues.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap
 
+#: Seconds of a bucket of the overlap join, and the buckets from which an interval counts as wide and is joined by its medium.
+OVERLAP_BUCKET, WIDE = 16.0, 64
+
 
 def _center(start: Column, end: Column) -> Column:
     return (start + end) / 2
@@ -73,18 +80,39 @@ def spans(segments: DataFrame, longest: int) -> DataFrame:
 
 
 def nearest_segment(cues: DataFrame, segments: DataFrame) -> DataFrame:
-    """(media_id, cue_idx, seg_idx, distance): the segment whose center is nearest; of equals, the first."""
-    c = cues.select("media_id", "cue_idx", _center(F.col("start_s"), F.col("end_s")).alias("c"))
-    s = segments.select("media_id", "seg_idx", _center(F.col("start_s"), F.col("end_s")).alias("s"))
-    best = F.min(F.struct(F.abs(F.col("s") - F.col("c")).alias("distance"), "seg_idx")).alias("b")
-    return c.join(s, "media_id").groupBy("media_id", "cue_idx").agg(best).select("media_id", "cue_idx", "b.seg_idx", "b.distance")
+    """(media_id, cue_idx, seg_idx, distance): the segment whose center is nearest; of equals, the first.
+
+    Cues and the centers of segments are sorted together; the last segment behind a cue and the first ahead of it compete.
+    """
+    c = cues.select("media_id", _center(F.col("start_s"), F.col("end_s")).alias("c"), "cue_idx", F.lit(None).cast(segments.schema["seg_idx"].dataType).alias("seg_idx"))
+    s = segments.groupBy("media_id", _center(F.col("start_s"), F.col("end_s")).alias("c")).agg(F.min("seg_idx").alias("seg_idx"))
+    both = c.unionByName(s.select("media_id", "c", F.lit(None).cast(cues.schema["cue_idx"].dataType).alias("cue_idx"), "seg_idx"))
+    seen = F.when(F.col("seg_idx").isNotNull(), F.struct("c", "seg_idx"))
+    # segments ahead of cues of the same center, in either direction
+    order = F.col("seg_idx").isNull()
+    around = both.select("*", F.last(seen, True).over(Window.partitionBy("media_id").orderBy("c", order)).alias("a"), F.last(seen, True).over(Window.partitionBy("media_id").orderBy(F.desc("c"), order)).alias("b"))
+    apart = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col(x)["c"] - F.col("c")).alias("distance"), F.col(x)["seg_idx"].alias("seg_idx")))
+    found = around.filter("cue_idx is not null").select("media_id", "cue_idx", F.least(apart("a"), apart("b")).alias("n")).filter("n is not null")
+    return found.select("media_id", "cue_idx", "n.seg_idx", "n.distance")
+
+
+def _overlapping(cues: DataFrame, segments: DataFrame, unit: float) -> DataFrame:
+    """Pairs of cues and segments (s0, s1) that share time: by buckets, each pair in the first bucket both have; wide ones by medium."""
+    bucket = lambda t: F.floor(t / unit).cast("long")
+    c = cues.withColumn("c_first", bucket(F.col("start_s"))).withColumn("c_last", bucket(F.col("end_s")))
+    s = segments.withColumn("s_first", bucket(F.col("s0"))).withColumn("s_last", bucket(F.col("s1")))
+    wide = lambda x: F.col(f"{x}_last") - F.col(f"{x}_first") >= WIDE
+    dealt = lambda df, x: df.filter(~wide(x) & (F.col(f"{x}_last") >= F.col(f"{x}_first"))).withColumn("bucket", F.explode(F.sequence(f"{x}_first", f"{x}_last")))
+    near = dealt(c, "c").join(dealt(s, "s"), ["media_id", "bucket"]).filter(F.col("bucket") == F.greatest("c_first", "s_first")).drop("bucket")
+    far = c.filter(wide("c")).join(s, "media_id").unionByName(c.filter(~wide("c")).join(s.filter(wide("s")), "media_id"))
+    shared = overlap(F.col("s0"), F.col("s1"), F.col("start_s"), F.col("end_s")) > 0
+    return near.unionByName(far).filter(shared).drop("c_first", "c_last", "s_first", "s_last")
 
 
-def overlapping_text(cues: DataFrame, segments: DataFrame) -> DataFrame:
+def overlapping_text(cues: DataFrame, segments: DataFrame, unit: float = OVERLAP_BUCKET) -> DataFrame:
     """(media_id, cue_idx, ref_text, n_segments): texts of the segments that share time with a cue, in order; none is empty."""
     s = segments.select("media_id", "seg_idx", F.col("start_s").alias("s0"), F.col("end_s").alias("s1"), F.col("text").alias("t"))
-    shared = overlap(F.col("s0"), F.col("s1"), F.col("start_s"), F.col("end_s")) > 0
-    pairs = cues.select("media_id", "cue_idx", "start_s", "end_s").join(s, "media_id").filter(shared)
+    pairs = _overlapping(cues.select("media_id", "cue_idx", "start_s", "end_s"), s, unit)
     texts = F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("seg_idx", "t"))))
     found = pairs.groupBy("media_id", "cue_idx").agg(F.array_join(F.transform(texts, lambda x: x["t"]), " ").alias("ref_text"), F.count(F.lit(1)).alias("n_segments"))
     return cues.select("media_id", "cue_idx").join(found, ["media_id", "cue_idx"], "left").select("media_id", "cue_idx", F.coalesce("ref_text", F.lit("")).alias("ref_text"), F.coalesce("n_segments", F.lit(0)).alias("n_segments"))
@@ -92,11 +120,18 @@ def overlapping_text(cues: DataFrame, segments: DataFrame) -> DataFrame:
 
 def locate_spans(cues: DataFrame, segments: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """(media_id, cue_idx, i, j) of cues that start with a segment and end with that or a later one; first ones win."""
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= tolerance
-    s = segments.select("media_id", "seg_idx", F.col("start_s").alias("s0"), F.col("end_s").alias("s1"))
-    pairs = cues.select("media_id", "cue_idx", "start_s", "end_s").join(s, "media_id")
-    first = pairs.filter(near("s0", "start_s")).groupBy("media_id", "cue_idx").agg(F.min("seg_idx").alias("i"))
-    last = pairs.filter(near("s1", "end_s")).join(first, ["media_id", "cue_idx"]).filter("seg_idx >= i")
+    unit = max(1e-3, 2 * tolerance)
+    bucket = lambda t: F.floor(t / unit).cast("long")
+
+    def near(left: DataFrame, time: str, other: str) -> DataFrame:
+        """Rows of left with the segments whose time `other` is that of `time`."""
+        s = segments.select("media_id", "seg_idx", F.col(other).alias("at"), bucket(F.col(other)).alias("bucket"))
+        c = left.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col(time) - tolerance), bucket(F.col(time) + tolerance)))))
+        return c.join(s, ["media_id", "bucket"]).filter(F.abs(F.col("at") - F.col(time)) <= tolerance).drop("bucket", "at")
+
+    own = cues.select("media_id", "cue_idx", "start_s", "end_s")
+    first = near(own, "start_s", "start_s").groupBy("media_id", "cue_idx").agg(F.min("seg_idx").alias("i"), F.first("end_s").alias("end_s"))
+    last = near(first, "end_s", "end_s").filter("seg_idx >= i")
     return last.groupBy("media_id", "cue_idx", "i").agg((F.min("seg_idx") + 1).alias("j")).select("media_id", "cue_idx", "i", "j")
 
 
@@ -126,36 +161,43 @@ def renumbered(cues: DataFrame) -> DataFrame:
     return cues.withColumn("index", F.row_number().over(Window.partitionBy("media_id").orderBy("start_s", "end_s", "pos")))
 
 
-OUT = "array<struct<start_s:double,end_s:double,text:string,pos:bigint,locked:boolean>>"
-
-
 def enforce_constraints(cues: DataFrame, least: float = 0.8, most: float = 8.0, ends: DataFrame | None = None, respect_locks: bool = False) -> DataFrame:
     """Durations between least and most seconds and no overlaps, by one pass over the cues of a medium in time order.
 
     cues: media_id, start_s, end_s, text, pos and, for respect_locks, locked. Locked cues keep their times. `ends`
     (media_id, media_end) clamps; what starts at an end or lasts no time after the clamp goes. The pass depends on the
-    cue put out before, so the cues of one medium are folded as one array.
+    cue put out before: rows come sorted, and all that a task carries along is the end of that one.
     """
     locked = F.coalesce("locked", F.lit(False)) if respect_locks else F.lit(False)
-    rows = cues.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s", "pos", "text", locked.alias("locked")))).alias("xs"))
-    rows = rows.join(ends, "media_id", "left") if ends is not None else rows.withColumn("media_end", F.lit(None).cast("double"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = F.col("media_end")
-        start = F.when(x["locked"], x["start_s"]).otherwise(F.greatest(acc["prev"], F.lit(0.0), x["start_s"]))
-        stop = F.greatest(start + 1e-3, x["end_s"])
-        length = stop - start
-        stop = F.when(x["locked"], x["end_s"]).when(length < least, start + least).when(length > most, start + most).otherwise(stop)
-        clamped = F.coalesce(stop > end, F.lit(False))
-        final = F.when(clamped, end).otherwise(stop)
-        late = F.coalesce(start >= end, F.lit(False))
-        nothing = clamped & F.when(x["locked"], final <= start).otherwise(final - start < 0.001)
-        prev = F.when(late, end).otherwise(final)
-        cue = F.array(F.struct(start.alias("start_s"), final.alias("end_s"), x["text"].alias("text"), x["pos"].alias("pos"), x["locked"].alias("locked")))
-        return F.struct(prev.alias("prev"), F.when(late | nothing, acc["out"]).otherwise(F.concat(acc["out"], cue)).alias("out"))
-
-    empty = F.struct(F.lit(0.0).alias("prev"), F.array().cast(OUT).alias("out"))
-    return rows.select("media_id", F.explode(F.aggregate("xs", empty, step, lambda a: a["out"])).alias("x")).select("media_id", "x.*")
+    rows = cues.select("media_id", "start_s", "end_s", "text", F.col("pos").cast("long").alias("pos"), locked.alias("locked"))
+    rows = rows.join(ends.select("media_id", "media_end"), "media_id", "left") if ends is not None else rows.withColumn("media_end", F.lit(None).cast("double"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        medium, prev = None, 0.0
+        for batch in batches:
+            kept, starts, stops = [], [], []
+            columns = (batch.column(x).to_pylist() for x in ("media_id", "start_s", "end_s", "locked", "media_end"))
+            for k, (media_id, start, stop, is_locked, end) in enumerate(zip(*columns, strict=True)):
+                if k == 0 and medium is None or media_id != medium:
+                    medium, prev = media_id, 0.0
+                if not is_locked:
+                    start = max(prev, 0.0, start)
+                    stop = max(start + 1e-3, stop)
+                    stop = start + least if stop - start < least else start + most if stop - start > most else stop
+                clamped = end is not None and stop > end
+                final = end if clamped else stop
+                late = end is not None and start >= end
+                prev = end if late else final
+                if not late and not (clamped and (final <= start if is_locked else final - start < 0.001)):
+                    kept.append(k)
+                    starts.append(start)
+                    stops.append(final)
+            some = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column("media_id"), pa.array(starts, pa.float64()), pa.array(stops, pa.float64()), *(some.column(x) for x in ("text", "pos", "locked"))], names=["media_id", "start_s", "end_s", "text", "pos", "locked"])
+
+    kind = cues.schema["media_id"].dataType.simpleString()
+    times = rows.withColumns({x: F.col(x).cast("double") for x in ("start_s", "end_s", "media_end")})
+    return times.repartition("media_id").sortWithinPartitions("media_id", "start_s", "end_s", "pos").mapInArrow(run, f"media_id {kind}, start_s double, end_s double, text string, pos long, locked boolean")
 
 
 def srt_text(cues: DataFrame) -> DataFrame:

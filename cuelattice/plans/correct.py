@@ -22,7 +22,9 @@ def same_language(cues: DataFrame, segments: DataFrame, languages: DataFrame | N
     cues may have a language; languages (media_id, language) are those of the transcripts.
     """
     text = lambda order: F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), " "), 1, SAMPLE_CHARS)
-    said = segments.groupBy("media_id").agg(text("seg_idx").alias("said"))
+    ahead = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("media_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    opening = segments.select("media_id", "seg_idx", "text", ahead.alias("ahead")).filter(F.col("ahead") < SAMPLE_CHARS)
+    said = opening.groupBy("media_id").agg(text("seg_idx").alias("said"))
     nth = F.row_number().over(Window.partitionBy("media_id").orderBy("cue_idx"))
     shown = cues.withColumn("nth", nth).filter(F.col("nth") <= SAMPLE_CUES)
     own = language_code(F.col("language")) if "language" in cues.columns else F.lit(None).cast("string")

@@ -251,7 +251,7 @@ def generate_captions(spark, d):
     FROM cues c LEFT JOIN segments s ON s.media_id = c.media_id AND least(s.en, c.en) - greatest(s.st, c.st) > 0 GROUP BY 1, 2
 """)
 def overlap_join(spark, d):
-    x = timeline.overlapping_text(_cues(spark, d), _segments(spark, d))
+    x = timeline.overlapping_text(_cues(spark, d), _segments(spark, d), unit=16_000)
     return x.select("media_id", "cue_idx", "n_segments", F.md5(F.col("ref_text").cast("binary")).alias("ref_md5"))
 
 
