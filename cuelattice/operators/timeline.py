@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import overlap
+from ..functions.text import collapse_space, finite, language_code, lines, overlap, srt_time
 
 #: Seconds of a bucket of the overlap join, and the buckets from which an interval counts as wide and is joined by its medium.
 OVERLAP_BUCKET, WIDE = 16.0, 64
@@ -25,12 +25,10 @@ def _center(start: Column, end: Column) -> Column:
 
 def normalized_segments(transcripts: DataFrame, clean=None) -> DataFrame:
     """Segments of transcripts (media_id, segments): repaired times, cleaned text, numbered after empty ones are dropped."""
-    from ..functions.text import collapse_space
-
     clean = clean or collapse_space
     s = transcripts.select("media_id", F.posexplode("segments").alias("pos", "x"))
     zero = F.lit(0.0)
-    start = F.when(F.isnan("x.start") | (F.abs("x.start") == float("inf")), zero).otherwise(F.coalesce("x.start", zero))
+    start = finite(F.coalesce("x.start", zero), zero)
     s = s.select("media_id", "pos", start.alias("start_s"), F.coalesce("x.end", zero).alias("end_s"), clean(F.col("x.text")).alias("text"))
     s = _repaired(s).filter((F.col("text") != "") | (F.col("end_s") > F.col("start_s")))
     nth = F.row_number().over(Window.partitionBy("media_id").orderBy("pos")) - 1
@@ -39,22 +37,18 @@ def normalized_segments(transcripts: DataFrame, clean=None) -> DataFrame:
 
 def _repaired(rows: DataFrame) -> DataFrame:
     """Ends that aren't finite become starts; ends ahead of starts come a millisecond behind them."""
-    end = F.when(F.isnan("end_s") | (F.abs("end_s") == float("inf")), F.col("start_s")).otherwise(F.col("end_s"))
-    return rows.withColumn("end_s", end).withColumn("end_s", F.when(F.col("end_s") < F.col("start_s"), F.col("start_s") + 1e-3).otherwise(F.col("end_s")))
+    return rows.withColumn("end_s", finite(F.col("end_s"), F.col("start_s"))).withColumn("end_s", F.when(F.col("end_s") < F.col("start_s"), F.col("start_s") + 1e-3).otherwise(F.col("end_s")))
 
 
 def normalized_cues(loose: DataFrame, clean=None) -> DataFrame:
     """Cues of any of three time conventions: seconds, then milliseconds, then plain start and end, by which pair is there."""
-    from ..functions.text import collapse_space, language_code
-
     clean = clean or collapse_space
 
     def time(which: str) -> Column:
         has = lambda u: F.col(f"start_{u}").isNotNull() & F.col(f"end_{u}").isNotNull()
         return F.when(has("s"), F.col(f"{which}_s")).when(has("ms"), F.col(f"{which}_ms") / 1000).otherwise(F.coalesce(F.col(which), F.lit(0.0)))
 
-    start = time("start")
-    start = F.when(F.isnan(start) | (F.abs(start) == float("inf")), F.lit(0.0)).otherwise(start)
+    start = finite(time("start"), F.lit(0.0))
     return _repaired(loose.select("media_id", "cue_idx", start.alias("start_s"), time("end").alias("end_s"), clean(F.col("text")).alias("text"), language_code(F.col("language")).alias("language")))
 
 
@@ -202,8 +196,6 @@ def enforce_constraints(cues: DataFrame, least: float = 0.8, most: float = 8.0,
 
 def srt_text(cues: DataFrame) -> DataFrame:
     """(media_id, content): one SRT text per medium."""
-    from ..functions.text import lines, srt_time
-
     line = F.concat_ws("\n", F.col("index").cast("string"), F.concat(srt_time(F.col("start_s")), F.lit(" --> "), srt_time(F.col("end_s"))), F.array_join(lines(F.coalesce("text", F.lit(""))), "\n"))
     one = F.concat(F.regexp_replace(line, "\n$", ""), F.lit("\n"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", one.alias("x")))), lambda v: v["x"]), "\n")

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import SAME_MEANING, corrected, seq_ratio
-from ..functions.text import language_code, letter_profile
+from ..functions.text import language_code, letter_profile, normalize_text
 from ..lineage import cut
 from ..operators.align import best_windows, refined_times, span_parts
-from ..operators.timeline import enforce_constraints, keep_first, locate_spans, media_end, overlapping_text, renumbered, uncovered_runs
+from ..operators.timeline import enforce_constraints, keep_first, locate_spans, media_end, normalized_cues, normalized_segments, overlapping_text, renumbered, uncovered_runs
 
 #: Texts this alike are one, as far as the language guard can tell.
 SCRIPT_GAP = 0.6
@@ -62,6 +62,19 @@ def correct(cues: DataFrame, segments: DataFrame, languages: DataFrame | None =
     return clamped.unionByName(rest)
 
 
+def correct_inputs(transcripts: DataFrame, loose_cues: DataFrame) -> DataFrame:
+    """`correct` from transcripts (media_id, language, segments) and cues of any time convention, both normalised (NFKC) first."""
+    segments = cut(normalized_segments(transcripts, normalize_text))
+    cues = cut(normalized_cues(loose_cues, normalize_text))
+    return correct(cues, segments, transcripts.select("media_id", "language"))
+
+
+def mean_audio_score(text: Column, embeddings: Column) -> Column:
+    """The mean of the scores against each of several stretches of sound; without any, null."""
+    total = F.aggregate(embeddings, F.lit(0.0), lambda acc, e: acc + audio_score(text))
+    return F.when(F.size(embeddings) > 0, total / F.size(embeddings))
+
+
 def audio_score(text: Column) -> Column:
     """A stand-in for how well a text fits the sound: longer texts fit better, up to a point."""
     return F.when(F.coalesce(text, F.lit("")) == "", 0.4).otherwise(F.least(F.lit(0.9), F.lit(0.5) + F.least(F.length(text), F.lit(60)) / 200.0))

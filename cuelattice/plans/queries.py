@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import align, catalog, quality, reposition, timeline
+from ..schemas import FOREIGN_KEYS
+from ..sources.files import caption_files
 from . import correct as plans
+from . import files as routes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -383,9 +386,35 @@ def language_guard(spark, d):
     return plans.same_language(flat(_cues(spark, d)), flat(_segments(spark, d)))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 7 <> 0)")
 def orphans(spark, d):
-    return catalog.orphans(_t(spark, d, "customer"), "c_custkey", _t(spark, d, "orders"), "o_custkey").select("c_custkey", "c_name")
+    return catalog.orphans(_t(spark, d, "orders"), "o_custkey", _t(spark, d, "customer").filter("c_custkey % 7 <> 0"), "c_custkey").select("o_orderkey", "o_custkey")
+
+
+CATALOG_SQL = """
+    users AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 11 <> 0), videos AS (SELECT o_orderkey AS id, o_custkey AS user_id FROM orders WHERE o_orderkey % 5 <> 0),
+    jobs AS (SELECT event_id AS id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS user_id, event_id % 1000 AS video_id, event_id * 3 AS subtitle_id FROM events),
+    subtitles AS (SELECT o_orderkey * 2 AS id, o_orderkey AS video_id, o_custkey AS user_id, o_orderkey AS job_id FROM orders)
+"""
+
+
+@query(f"WITH {CATALOG_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS child, '{k}' AS \"column\", '{p}' AS parent, count(*) AS n FROM {c} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT id FROM {p})" for c, k, p in FOREIGN_KEYS))
+def broken_references(spark, d):
+    orders, e = _t(spark, d, "orders"), F.col("event_id")
+    tables = {
+        "users": _t(spark, d, "customer").filter("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("id")),
+        "videos": orders.filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id")),
+        "jobs": _t(spark, d, "events").select(e.alias("id"), F.when(e % 4 != 0, F.col("user_id")).alias("user_id"), (e % 1000).alias("video_id"), (e * 3).alias("subtitle_id")),
+        "subtitles": orders.select((F.col("o_orderkey") * 2).alias("id"), F.col("o_orderkey").alias("video_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("job_id")),
+    }
+    return catalog.broken_references(tables)
+
+
+@query("SELECT 'job-' || event_id AS job_id, CASE event_type WHEN 'view' THEN 'QUEUED' ELSE 'COMPLETED' END AS status, event_type AS message, 'out-' || event_id || '.srt' AS files FROM events WHERE event_id = 7")
+def job_reply(spark, d):
+    e = F.col("event_id").cast("string")
+    jobs = _t(spark, d, "events").select(F.concat(F.lit("job-"), e).alias("job_id"), F.when(F.col("event_type") == "view", "pending").otherwise("complete").alias("status"), F.col("event_type").alias("message"), F.array(F.concat(F.lit("out-"), e, F.lit(".srt"))).alias("result_files"))
+    return catalog.job_reply(jobs, "job-7").select("job_id", "status", "message", F.array_join("result_files", ",").alias("files"))
 
 
 @query("""
@@ -397,7 +426,184 @@ def job_status_rollup(spark, d):
     return catalog.status_rollup(jobs, "user_id")
 
 
-# What rests on the sequence ratio has no SQL; tests hold it against plain Python.
+# Files of many blocks: each line of a document is a caption, some with three lines, under CRLF line ends and blank lines of spaces.
+
+TIMING = "00:00:01,000 --> 00:00:04,500"
+MANY_SQL = f"""
+    many AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda v, i: i || chr(13) || chr(10) || CASE WHEN i % 5 = 0 THEN 'no timing' ELSE '{TIMING}' END || chr(13) || chr(10) || v || CASE WHEN i % 3 = 0 THEN '  ' || chr(13) || chr(10) || v || chr(13) || chr(10) || 'last' ELSE '' END), chr(13) || chr(10) || '  ' || chr(13) || chr(10)) AS content FROM documents),
+    read AS (SELECT doc_id, regexp_replace(content, '\\r\\n?', chr(10), 'g') AS content FROM many),
+    clean AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(content, chr(10)), lambda v: regexp_replace(v, '\\s+$', '')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g') AS content FROM read)
+"""
+BLOCKS_SQL = "regexp_split_to_array(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n')"
+
+
+def _many(spark: SparkSession, d: str) -> DataFrame:
+    def block(v, i):
+        timing = F.when((i + 1) % 5 == 0, "no timing").otherwise(TIMING)
+        more = F.when((i + 1) % 3 == 0, F.concat(F.lit("  \r\n"), v, F.lit("\r\nlast"))).otherwise("")
+        return F.concat((i + 1).cast("string"), F.lit("\r\n"), timing, F.lit("\r\n"), v, more)
+
+    return _t(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), block), "\r\n  \r\n").alias("content"))
+
+
+@query(f"""
+    WITH {MANY_SQL}, bl AS (SELECT doc_id, unnest({BLOCKS_SQL}) AS b, generate_subscripts({BLOCKS_SQL}, 1) AS n FROM read),
+    p AS (SELECT doc_id, n, {LINES} AS ls FROM bl),
+    x AS (SELECT doc_id, n, ls, len(ls) >= 2 AND (contains(ls[1], '-->') OR contains(ls[2], '-->')) AS ok, list_filter(ls[3:], lambda v: regexp_matches(v, '\\S')) AS tx FROM p),
+    i AS (SELECT doc_id, n, CASE WHEN NOT ok THEN ['Block ' || n || ' has invalid header/timing.'] ELSE
+        list_concat(list_concat(CASE WHEN len(tx) = 0 THEN ['Block ' || n || ' has no text.'] ELSE [] END,
+        CASE WHEN len(tx) > 2 THEN ['Block ' || n || ' exceeds max lines (' || len(tx) || ' > 2).'] ELSE [] END),
+        list_transform(list_filter(tx, lambda v: length(v) > 42), lambda v: 'Block ' || n || ' line exceeds max chars (' || length(v) || ' > 42).')) END AS iss FROM x)
+    SELECT doc_id, CAST(sum(len(iss)) AS BIGINT) AS n_issues, sum(len(iss)) = 0 AS valid, md5(array_to_string(flatten(list(iss ORDER BY n)), '|')) AS issues_md5 FROM i GROUP BY doc_id
+""")
+def validate_many_blocks(spark, d):
+    v = quality.validate(_many(spark, d).withColumn("content", routes.uploaded(F.col("content"))))
+    return v.select("doc_id", F.size("issues").cast("long").alias("n_issues"), "valid", F.md5(F.array_join("issues", "|").cast("binary")).alias("issues_md5"))
+
+
+@query(f"""
+    WITH {MANY_SQL}, bl AS (SELECT doc_id, unnest({BLOCKS_SQL}) AS b, generate_subscripts({BLOCKS_SQL}, 1) AS n FROM clean),
+    p AS (SELECT doc_id, n, b, {LINES} AS ls FROM bl),
+    c AS (SELECT doc_id, n, len(ls) >= 3 AND (contains(ls[1], '-->') OR contains(ls[2], '-->')) AS cue, list_filter(ls[3:], lambda v: regexp_matches(v, '\\S') AND length(v) > 42) AS long, CASE WHEN len(ls) > 4 THEN array_to_string(ls[1:4], chr(10)) ELSE b END AS capped FROM p),
+    f AS (SELECT doc_id, count(*) FILTER (WHERE cue) AS n_cues, flatten(list(long ORDER BY n) FILTER (WHERE cue)) AS long, string_agg(capped, chr(10) || chr(10) ORDER BY n) || chr(10) AS corrected FROM c GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN n_cues ELSE -1 END AS n_cues, CASE WHEN doc_id % 4 <> 0 THEN CAST(coalesce(len(long), 0) AS BIGINT) ELSE -1 END AS n_long_lines,
+        CASE WHEN doc_id % 4 <> 0 THEN md5(coalesce(array_to_string(list_transform(long[1:5], lambda v: 'Long line (' || length(v) || ' chars): ' || substr(v, 1, 60) || '...'), '|'), '')) ELSE 'none' END AS findings_md5,
+        'temp_' || substr(sha256(corrected), 1, 32) || '_postfix.srt' AS name, md5(corrected) AS content_md5 FROM f
+""")
+def quality_check(spark, d):
+    """The whole route of an upload: counted, cleaned, capped, through the last hook, named."""
+    x = routes.quality_check(_many(spark, d), with_video=F.col("doc_id") % 4 != 0)
+    x = routes.post_fix(x.drop("content", "name").withColumnRenamed("corrected", "content"))
+    count = lambda c: F.coalesce(c, F.lit(-1).cast("long")).alias(c)
+    return x.select("doc_id", count("n_cues"), count("n_long_lines"), F.coalesce(F.md5(F.array_join("findings", "|").cast("binary")), F.lit("none")).alias("findings_md5"), "name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+GENERATED_SQL = "'1' || chr(10) || '00:00:00,000 --> 00:00:02,000' || chr(10) || 'Generated subtitle line 1 (' || l || ')' || s || chr(10) || chr(10) || '2' || chr(10) || '00:00:02,500 --> 00:00:05,000' || chr(10) || 'Generated subtitle line 2 (' || l || ')' || s || chr(10)"
+
+
+@query(f"""
+    WITH v AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'en' ELSE lang END AS l, CASE doc_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['fr'] WHEN 2 THEN ['de', 'es'] ELSE ['ja'] END AS t FROM documents),
+    x AS (SELECT doc_id, l, unnest(list_concat([''], t)) AS t, generate_subscripts(list_concat([''], t), 1) - 1 AS nth FROM v),
+    c AS (SELECT doc_id, nth, l, t, CASE WHEN nth = 0 THEN '' ELSE ' [' || t || ']' END AS s FROM x), g AS (SELECT doc_id, nth, l, t, {GENERATED_SQL} AS content FROM c)
+    SELECT doc_id AS media_id, nth, CASE WHEN nth = 0 THEN l ELSE t END AS language, 'temp_' || substr(sha256(content), 1, 32) || CASE WHEN nth = 0 THEN '_generated_' || l ELSE '_translated_' || t END || '.srt' AS name, md5(content) AS content_md5 FROM g
+""")
+def generate_and_translate(spark, d):
+    i = F.col("doc_id")
+    wanted = F.when(i % 4 == 1, "fr").when(i % 4 == 2, " de, ,es ").when(i % 4 == 3, "ja,")
+    videos = _t(spark, d, "documents").select(i.alias("media_id"), F.when(i % 3 != 0, F.col("lang")).otherwise("").alias("language"), wanted.alias("translate_to"))
+    return routes.generate(videos).select("media_id", F.col("nth").cast("long").alias("nth"), "language", "name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(f"""
+    WITH {FILES_SQL}, v AS (SELECT doc_id, content, CASE doc_id % 4 WHEN 0 THEN 'clip_top.mp4' WHEN 1 THEN 'clip_bottom.mp4' WHEN 2 THEN 'Top_and_Bottom.mp4' END AS video, CASE WHEN doc_id % 2 = 0 THEN 'srt' ELSE 'vtt' END AS fmt FROM files WHERE doc_id % 4 <> 3),
+    p AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'bottom' ELSE 'top' END AS position, string_split(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), chr(10)) AS ls FROM v),
+    m AS (SELECT doc_id, fmt, position, CASE WHEN fmt = 'srt' THEN array_to_string(list_concat(list_concat(ls[1:2], ['NOTE: position=' || position]), ls[3:]), chr(10)) || chr(10)
+        ELSE array_to_string(list_transform(string_split(content, chr(10)), lambda v: CASE WHEN NOT contains(v, '-->') THEN v WHEN contains(v, 'line:') THEN regexp_replace(v, 'line:\\s*\\d+', 'line:0', 'g') ELSE trim(v) || ' line:0' END), chr(10)) || CASE WHEN ends_with(content, chr(10)) THEN '' ELSE chr(10) END END AS moved FROM p)
+    SELECT doc_id || '.' || fmt AS path, position, CASE WHEN doc_id % 5 = 0 THEN 'out/' || doc_id ELSE 'temp_' || substr(sha256(moved), 1, 32) || '_repositioned.' || fmt END AS name, md5(moved) AS content_md5 FROM m
+""")
+def reposition_files(spark, d):
+    i = F.col("doc_id")
+    video = F.when(i % 4 == 0, "clip_top.mp4").when(i % 4 == 1, "clip_bottom.mp4").when(i % 4 == 2, "Top_and_Bottom.mp4")
+    path = F.concat(i.cast("string"), F.when(i % 2 == 0, ".srt").otherwise(".vtt"))
+    files = _files(spark, d).select(path.alias("path"), video.alias("video"), "content", F.when(i % 5 == 0, F.concat(F.lit("out/"), i.cast("string"))).alias("out"))
+    return routes.reposition_files(files, F.col("out")).select("path", "position", "name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(f"""
+    WITH {NAMES_SQL}, f AS (SELECT doc_id, 'in/' || doc_id || '-' || name AS path, lower(regexp_extract(name, '[^/](\\.[^./]+)$', 1)) AS e, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS content FROM n)
+    SELECT path, regexp_extract(path, '([^/]+)\\.[^./]+$', 1) AS media_id, CASE WHEN e = '.srt' THEN 'srt' WHEN e = '.vtt' THEN 'vtt' WHEN e IN ('.ass', '.ssa') THEN 'ass/ssa' WHEN e = '.sbv' THEN 'sbv' WHEN regexp_matches(trim(string_split(content, chr(10))[1]), '^\\d+$') THEN 'srt-txt' ELSE 'plain' END AS fmt, md5(content) AS content_md5
+    FROM f WHERE e IN ('.srt', '.vtt', '.ass', '.ssa', '.sbv', '.txt')
+""")
+def uploads(spark, d):
+    """What the scan of a folder makes of its files; these are rows as it reads them, some with a byte that isn't UTF-8."""
+    stray = F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("FF"))).otherwise(F.lit("").cast("binary"))
+    raw = _names(spark, d).select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit("-"), "name").alias("path"), F.concat(F.col("text").cast("binary"), stray).alias("content"))
+    return caption_files(raw).select("path", "media_id", "fmt", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(f"""
+    WITH {SEGMENTS_SQL}, o AS (SELECT media_id, seg_idx AS pos, CASE WHEN seg_idx % 5 = 0 THEN 0 ELSE st / 1000.0 END AS s, CASE seg_idx % 7 WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN seg_idx % 5 = 0 THEN 0 ELSE st / 1000.0 END ELSE en / 1000.0 END AS e, CASE WHEN seg_idx % 7 IN (0, 1) THEN '' ELSE trim(regexp_replace(txt, '\\s+', ' ', 'g')) END AS t FROM segments),
+    r AS (SELECT media_id, pos, s, CASE WHEN e < s THEN s + 1e-3 ELSE e END AS e, t FROM o)
+    SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY pos) - 1 AS INTEGER) AS seg_idx, CAST(round(s * 1000) AS BIGINT) AS start_ms, CAST(round(e * 1000) AS BIGINT) AS end_ms, md5(t) AS text_md5 FROM r WHERE t <> '' OR e > s
+""")
+def normalized_segments(spark, d):
+    i, s = F.col("seg_idx"), _segments(spark, d, 1000.0)
+    start = F.when(i % 10 == 0, F.lit(None).cast("double")).when(i % 5 == 0, F.lit(float("nan"))).otherwise(F.col("start_s"))
+    end = F.when(i % 7 == 0, F.lit(None).cast("double")).when(i % 7 == 1, F.lit(float("inf"))).otherwise(F.col("end_s"))
+    shown = F.when(i % 7 == 0, F.lit(None).cast("string")).when(i % 7 == 1, F.lit(" \t ")).otherwise(F.concat(F.lit("  "), F.col("text"), F.lit("\n")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", start.alias("start"), end.alias("end"), shown.alias("text")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+    x = timeline.normalized_segments(s.groupBy("media_id").agg(parts.alias("segments")), text.normalize_text)
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    return x.select("media_id", "seg_idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"""
+    WITH {SEGMENTS_SQL}, o AS (SELECT media_id, cue_idx, CASE WHEN cue_idx % 8 = 7 THEN 0 ELSE st END AS s, CASE WHEN cue_idx % 8 = 7 THEN 0 WHEN cue_idx % 9 = 8 THEN st - 5 ELSE en END AS e, trim(regexp_replace(txt, '\\s+', ' ', 'g')) AS t FROM cues)
+    SELECT media_id, cue_idx, s AS start_ms, CASE WHEN e < s THEN s + 1 ELSE e END AS end_ms, md5(t) AS text_md5, CASE WHEN cue_idx % 2 = 0 THEN 'en' END AS language FROM o
+""")
+def normalized_cues(spark, d):
+    """Times in seconds, in milliseconds and plain, by the number of the cue."""
+    c, i = _cues(spark, d, 1000.0), F.col("cue_idx")
+    none = F.lit(None).cast("double")
+    end = F.when(i % 9 == 8, F.col("start_s") - 0.005).otherwise(F.col("end_s"))
+    use = F.when(i % 8 == 7, "none").when(i % 3 == 0, "s").when(i % 3 == 1, "ms").otherwise("plain")
+    times = {f"{which}{unit}": F.when(use == kind, value * factor).otherwise(other) for kind, unit, factor, other in (("s", "_s", 1, none), ("ms", "_ms", 1000, none), ("plain", "", 1, none)) for which, value in (("start", F.col("start_s")), ("end", end))}
+    loose = c.select("media_id", "cue_idx", *[v.alias(k) for k, v in times.items()], F.concat(F.lit(" "), "text").alias("text"), F.when(i % 2 == 0, " EN ").otherwise(" ").alias("language"))
+    x = timeline.normalized_cues(loose, text.normalize_text)
+    ms = lambda v: F.rint(F.col(v) * 1000).cast("long")
+    return x.select("media_id", "cue_idx", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "language")
+
+
+@query(f"""
+    WITH {MANY_SQL}, bl AS (SELECT doc_id, unnest({BLOCKS_SQL}) AS b, generate_subscripts({BLOCKS_SQL}, 1) - 1 AS n FROM read), p AS (SELECT doc_id, n, {LINES} AS ls FROM bl)
+    SELECT doc_id AS media_id, n AS cue_idx, 1000 AS start_ms, 4500 AS end_ms, md5(array_to_string(ls[3:], chr(10))) AS text_md5 FROM p WHERE contains(ls[2], '-->')
+""")
+def cue_table(spark, d):
+    x = quality.cue_table(_many(spark, d).withColumnRenamed("doc_id", "media_id"))
+    ms = lambda v: F.rint(F.col(v) * 1000).cast("int")
+    return x.select("media_id", F.col("cue_idx").cast("long").alias("cue_idx"), ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"""
+    WITH {SEGMENTS_SQL} SELECT media_id, cue_idx, array_to_string(list_filter([CASE WHEN en - st < 800 THEN 'too short' END, CASE WHEN en - st > 2000 THEN 'too long' END, CASE WHEN length(txt) * 1000 > 90 * (en - st) THEN 'too fast' END], lambda v: v IS NOT NULL), ',') AS breaks FROM cues
+""")
+def timing_rules(spark, d):
+    return quality.timing_rules(_cues(spark, d), 800, 2000, 0.09).select("media_id", "cue_idx", F.array_join("rule_breaks", ",").alias("breaks"))
+
+
+@query("""
+    SELECT doc_id, lower(trim(lang)) AS code, array_to_string(list_filter(list_transform(string_split(' ' || lang || ' ,, ' || source || ',', ','), lambda v: trim(v)), lambda v: v <> ''), '|') AS listed,
+        doc_id % 3 <> 0 AND regexp_matches(source, '[a-z]') AND length(source) + 3 >= 8 AS password, coalesce(TRY_CAST(CASE WHEN doc_id % 2 = 0 THEN lang ELSE n_chars || '.5' END AS DOUBLE), 0) AS number FROM documents
+""")
+def form_fields(spark, d):
+    """A language, a comma list, a password typed twice and a number, as forms send them."""
+    i, password = F.col("doc_id"), F.concat("source", F.lit("A1!"))
+    again = F.when(i % 3 == 0, F.lit("other")).otherwise(password)
+    number = F.when(i % 2 == 0, F.col("lang")).otherwise(F.concat(F.col("n_chars").cast("string"), F.lit(".5")))
+    listed = F.array_join(text.comma_list(F.concat(F.lit(" "), "lang", F.lit(" ,, "), "source", F.lit(","))), "|")
+    return _t(spark, d, "documents").select("doc_id", text.language_code(F.concat(F.lit(" "), F.upper("lang"))).alias("code"), listed.alias("listed"), text.password_ok(password, again).alias("password"), text.safe_double(number).alias("number"))
+
+
+@query("""
+    SELECT conv_id, turn, round(CASE WHEN turn % 4 > 0 THEN CASE WHEN coalesce(text, '') = '' THEN 0.4 ELSE least(0.9, 0.5 + least(length(text), 60) / 200.0) END END, 6) AS score FROM conversations
+""")
+def mean_audio_score(spark, d):
+    sound = F.array_repeat(F.array(F.lit(0.5)), (F.col("turn") % 4).cast("int"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.round(plans.mean_audio_score(F.col("text"), sound), 6).alias("score"))
+
+
+@query(f"""
+    WITH {SEGMENTS_SQL}, x AS (SELECT media_id, cue_idx, txt, CASE WHEN cue_idx % 3 = 0 THEN '' WHEN cue_idx % 3 = 1 THEN 'other words' ELSE txt END AS ref, en - st AS len FROM cues)
+    SELECT media_id, cue_idx, ref <> '' AND (trim(txt) = '' OR ref <> txt OR len < 600 OR len > 9000) AS wrong FROM x
+""")
+def problematic(spark, d):
+    i = F.col("cue_idx")
+    ref = F.when(i % 3 == 0, "").when(i % 3 == 1, "other words").otherwise(F.col("text"))
+    alike = F.when(ref == F.col("text"), 1.0).otherwise(0.0)
+    return _cues(spark, d, 1000.0).select("media_id", "cue_idx", plans.problematic(F.col("text"), ref, alike, F.rint((F.col("end_s") - F.col("start_s")) * 1000) / 1000).alias("wrong"))
+
+
+# What rests on the sequence ratio has no SQL; tests hold it against plain Python (tests/test_alignment.py).
 
 
 @query()
@@ -438,6 +644,16 @@ def correct(spark, d):
     return plans.correct(_cues(spark, d, 1000.0), _segments(spark, d, 1000.0)).drop("meta")
 
 
+@query()
+def correct_inputs(spark, d):
+    """`correct` from what is uploaded: segments nested in transcripts, cues in milliseconds, text as it was typed."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", F.col("start_s").alias("start"), F.col("end_s").alias("end"), F.concat(F.lit(" "), "text").alias("text")))), lambda x: x.dropFields("seg_idx"))
+    transcripts = _segments(spark, d, 1000.0).groupBy("media_id").agg(F.lit("en").alias("language"), parts.alias("segments"))
+    none = F.lit(None).cast("double")
+    loose = _cues(spark, d).select("media_id", "cue_idx", none.alias("start"), none.alias("end"), none.alias("start_s"), none.alias("end_s"), F.col("start_s").cast("double").alias("start_ms"), F.col("end_s").cast("double").alias("end_ms"), "text", F.lit(" EN").alias("language"))
+    return plans.correct_inputs(transcripts, loose).drop("meta")
+
+
 @query()
 def correct_with_audio(spark, d):
     return plans.correct_with_audio(_cues(spark, d, 1000.0), _segments(spark, d, 1000.0)).drop("meta")
