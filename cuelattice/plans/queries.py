@@ -614,11 +614,11 @@ def seq_ratio(spark, d):
 
 @query()
 def fuzzy_best(spark, d):
-    """The word of the first turn of its conversation that is most like a user's first word."""
+    """For every word that users say, the word of the first turn of its conversation that is most like it."""
     c = _t(spark, d, "conversations")
     first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
-    rows = c.filter("role = 'user'").join(first, "conv_id").select("conv_id", "turn", F.get(text.tokens(F.col("text")), F.lit(0)).alias("word"), text.tokens(F.col("first")).alias("candidates"))
-    return rows.select("conv_id", "turn", similarity.fuzzy_best("word", "candidates").alias("b")).select("conv_id", "turn", F.col("b.word").alias("best"), F.col("b.score").alias("score"))
+    rows = c.filter("role = 'user'").join(first, "conv_id").select("conv_id", "turn", F.posexplode(text.tokens(F.col("text"))).alias("nth", "word"), text.tokens(F.col("first")).alias("candidates"))
+    return rows.select("conv_id", "turn", "nth", similarity.fuzzy_best("word", "candidates").alias("b")).select("conv_id", "turn", "nth", F.col("b.word").alias("best"), F.col("b.score").alias("score"))
 
 
 @query()

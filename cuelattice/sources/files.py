@@ -39,10 +39,14 @@ def artifact_name(content: Column, kind: str, language: Column | None = None) ->
 
 
 def write_artifacts(files: DataFrame, path: str) -> None:
-    """One text per row (name, content), in a folder by name."""
-    files.select("name", F.col("content").alias("value")).write.partitionBy("name").mode("overwrite").option("lineSep", "").text(path)
+    """One text per row (name, content), in a folder by name. A text ends with a line feed, which is added where it has none.
+
+    Only names that are written anew are replaced; other artifacts stay.
+    """
+    rows = files.select("name", F.regexp_replace("content", r"\n\z", "").alias("value"))
+    rows.write.partitionBy("name").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
 
 
 def read_artifact(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The content of one artifact by its exact name; the name is compared, never made part of a path."""
-    return spark.read.option("wholetext", "true").text(path).filter(F.col("name") == name).select(F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).filter(F.col("name") == name).select(F.col("value").alias("content"))
