@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, sole_cache
 
 #: The byte-level pattern that splits text ahead of the merges (fixed values of the public vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -318,6 +318,7 @@ def shared(spark: SparkSession, vocabulary: str) -> tuple[str, Broadcast]:
 
 def in_worker(name: str, tables: Broadcast, specials: bool = True) -> ByteBpe:
     """The vocabulary in a worker process, which keeps one and the chunks it has encoded."""
+    sole_cache("bpe", _WORKERS.clear)
     if (name, specials) not in _WORKERS:
         _WORKERS.clear()
         _WORKERS[name, specials] = ByteBpe(*tables.value, specials)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def sole_cache(name: str, clear: Callable[[], None]) -> None:
+    """In a worker, which serves many stages: what other operators keep there is let go before this one fills its own."""
+    for other in [x for x in _KEPT if x != name]:
+        _KEPT.pop(other)()
+    _KEPT[name] = clear
+
+
 def partitions_for(rows: int, each: int) -> int:
     """How many partitions hold `rows` at about `each` rows a partition."""
     return max(1, -(-rows // each))

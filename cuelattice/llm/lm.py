@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, release, text_bytes
+from .common import cut, pieces, release, sole_cache, text_bytes
 
 #: Bytes of the longest context.
 ORDER = 5
@@ -371,6 +371,7 @@ def lm_scores(docs: DataFrame, contexts: int | None = None, common_words: int =
     end_log, share_log = float(np.log10(n_train + 1)), float(np.log10(train_tokens + kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("lm", lambda: None)
         known, model = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in pieces(batches, limit=PIECE):

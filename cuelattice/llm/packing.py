@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions_for, pieces, text_bytes
+from .common import cut, partitions_for, pieces, sole_cache, text_bytes
 
 #: Items that one task packs; bounds its memory.
 PART_ITEMS = 50_000
@@ -63,6 +63,7 @@ _COMPILED: dict[int, WordTokens] = {}
 
 
 def compiled(description: str) -> WordTokens:
+    sole_cache("packing", _COMPILED.clear)
     key = hash(description)
     if key not in _COMPILED:
         _COMPILED.clear()

@@ -4,17 +4,19 @@ Each round of recompression names maximal runs of one symbol, then pairs of a sy
 right class; the class is a bit of the name, and a name is a hash of its parts, so all tasks give equal strings equal
 names without asking each other. Whether a symbol comes out depends on a bounded stretch of words only, which is kept
 with it. A symbol whose stretch lies within a window is found in every occurrence of that window, at the same place.
-So each window names one of its symbols (the one of least hash) as its anchor, and only anchors are shuffled, one for
-each stretch of consecutive windows that share it: with the stretch's symbol, and the name of its whole text.
+So each window names one of its symbols (the one of least hash) as its anchor. Spark gathers the anchors' names of all
+documents, one for each stretch of consecutive windows that share it, and those that one document has alone are done with.
 
-Anchors that one document has alone are done with. Of the others, stretches of equal text are settled by the least
-document that has them. Where texts of one anchor differ, one document of each text is looked at window by window.
+Names only reveal what may repeat. It is verified on the words: stretches of one anchor are equal if a 128-bit
+cryptographic digest of their words is, which doesn't depend on names. Stretches of equal words are settled by the
+least document that has them. Where the words of one anchor differ, one document of each text is looked at window by window.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, text_bytes
+from .common import cut, pieces, release, sole_cache, text_bytes
 
 WINDOW = 50
 #: Rounds of recompression; symbols then hold two to three words on average.
@@ -31,8 +33,8 @@ ROUNDS = 3
 CACHE_WORDS = 600_000
 
 FAR = np.int64(1) << 40
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _BASES]
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 class _Names(dict):
@@ -52,29 +54,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse, modulo 2^64."""
-    if len(_powers[which][0]) < n:
-        base = _BASES[which]
-        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[which] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[which]
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            some = np.full(n, base, np.uint64)
+            some[0] = 1
+            _powers[k] = np.multiply.accumulate(some)
+    return _powers
 
 
 class Hashes:
-    """Hashes of any stretch of a word sequence, two independent ones."""
+    """Hashes of any stretch of a sequence of names, to tell anchors apart."""
 
     def __init__(self, names: np.ndarray):
-        self.sums, self.down = [], []
-        for k in (0, 1):
-            up, down = _power(k, len(names) + 1)
-            own = names if not k else mix(names ^ np.uint64(0xA0761D6478BD642F))
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up[: len(names)], dtype=np.uint64)]))
-            self.down.append(down)
+        up, self.down = _power(len(names) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(names * up[: len(names)], dtype=np.uint64)])
 
-    def of(self, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[k][b] - self.sums[k][a]) * self.down[k][a] + (b - a).astype(np.uint64))
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
+
+
+def digests(texts: list[list[bytes]], of: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of a digest of the words first:stop of text `of`, for each of many such stretches, in the order of texts."""
+    out = []
+    for i, a, b in zip(*_runs(of), strict=True):
+        sizes = np.fromiter(map(len, texts[i]), np.int64, len(texts[i])) + 1
+        ends = np.cumsum(sizes)
+        whole = memoryview(b" ".join(texts[i]))
+        from_, to = (ends - sizes)[first[a:b]].tolist(), (ends - 1)[stop[a:b] - 1].tolist()
+        out += [blake2b(whole[x:y], digest_size=16).digest() for x, y in zip(from_, to, strict=True)]
+    return np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
+
+
+def _runs(of: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """The runs of equal numbers: number, first and end."""
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    return of[first].tolist(), first.tolist(), [*first[1:].tolist(), len(of)][: len(first)]
 
 
 def symbols(names: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +151,8 @@ def sequence(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(texts: list[list[bytes]], window: int = WINDOW, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Stretches of windows of one anchor: text (its number), key, a, b (hashes of the stretch), first and last window."""
+    """Stretches of windows of one anchor: text (its number), key, first and last window, place (of the anchor in the stretch)."""
+    sole_cache("substring", _NAMES.clear)
     names, starts = sequence(texts)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     counts = np.maximum(0, lengths - window + 1)
@@ -143,7 +160,7 @@ def anchors(texts: list[list[bytes]], window: int = WINDOW, rounds: int = ROUNDS
     p = starts[text] + np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     if not len(p):
         none = np.zeros(0, np.int64)
-        return {"text": none, "key": none, "a": none, "b": none, "first": none, "last": none}
+        return {"text": none, "key": none, "first": none, "last": none, "place": none}
     name, at, low, high = symbols(names, rounds)
     ok = (name != 0) & (low >= 0) & (high < FAR) & (high - low <= window)
     name, at, low, high = name[ok], at[ok], low[ok], high[ok]
@@ -154,48 +171,45 @@ def anchors(texts: list[list[bytes]], window: int = WINDOW, rounds: int = ROUNDS
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     last = np.concatenate([first[1:], [len(p)]]) - 1
     p1, p2, of, anchor = p[first], p[last], text[first], anchor[first]
-    hashes = Hashes(names)
     own = anchor < 0
     at_ = np.where(own, 0, anchor)
     if len(name):
         lo, hi, place = np.where(own, p1, low[at_]), np.where(own, p1 + window, high[at_]), np.where(own, p1, at[at_])
     else:
         lo, hi, place = p1, p1 + window, p1
-    key = mix(hashes.of(0, lo, hi) ^ mix((place - lo).astype(np.uint64) + own.astype(np.uint64) * np.uint64(1 << 32)))
-    shape = mix((place - p1).astype(np.uint64) + np.uint64(0x1000003))
-    return {
-        "text": of,
-        "key": key.view(np.int64),
-        "a": (hashes.of(0, p1, p2 + window) ^ shape).view(np.int64),
-        "b": (hashes.of(1, p1, p2 + window) ^ shape).view(np.int64),
-        "first": p1 - starts[of],
-        "last": p2 - starts[of],
-    }
+    key = mix(Hashes(names).of(lo, hi) ^ mix((place - lo).astype(np.uint64) + own.astype(np.uint64) * np.uint64(1 << 32)))
+    return {"text": of, "key": key.view(np.int64), "first": p1 - starts[of], "last": p2 - starts[of], "place": place - p1}
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _key_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, limit=2 << 20):
         found = anchors([x.split() for x in batch.column("t").to_pylist()], window)
+        yield pa.RecordBatch.from_arrays([pa.array(found["key"]), batch.column("doc_id").take(pa.array(found["text"]))], names=["key", "doc_id"])
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The stretches with the digest of their words (a, b), into which the anchor's place goes."""
+    for batch in pieces(batches, limit=2 << 20):
+        texts = [x.split() for x in batch.column("t").to_pylist()]
+        found = anchors(texts, window)
         rows = pa.array(found["text"])
+        words = digests(texts, found["text"], found["first"], found["last"] + window) ^ mix(found["place"].astype(np.uint64) + np.uint64(0x1000003)).view(np.int64)[:, None]
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(found[x]) for x in ("key", "a", "b")), batch.column("doc_id").take(rows), batch.column("th").take(rows), *(pa.array(found[x].astype(np.int32)) for x in ("first", "last"))],
+            [pa.array(found["key"]), *(pa.array(np.ascontiguousarray(words[:, k])) for k in (0, 1)), batch.column("doc_id").take(rows), batch.column("th").take(rows), *(pa.array(found[x].astype(np.int32)) for x in ("first", "last"))],
             names=["key", "a", "b", "doc_id", "th", "first", "last"],
         )
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Two hashes of each window of the stretches asked for."""
+    """The digest of the words of each window of the stretches asked for."""
     for batch in pieces(batches, limit=2 << 20):
         texts = [x.split() for x in batch.column("t").to_pylist()]
-        names, starts = sequence(texts)
-        spans = [np.array([(x["first"], x["last"]) for x in xs], np.int64).reshape(-1, 2) for xs in batch.column("spans").to_pylist()]
-        at = np.concatenate([np.unique(np.concatenate([np.arange(a, b + 1) for a, b in s])) if len(s) else np.zeros(0, np.int64) for s in spans])
-        of = np.repeat(np.arange(len(spans)), [sum(1 for _ in s) and len(np.unique(np.concatenate([np.arange(a, b + 1) for a, b in s]))) for s in spans])
-        hashes = Hashes(names)
-        p = starts[of] + at
+        at = [np.unique(np.concatenate([np.arange(x["first"], x["last"] + 1) for x in xs])) for xs in batch.column("spans").to_pylist()]
+        of, first = np.repeat(np.arange(len(texts)), [len(x) for x in at]), np.concatenate(at)
+        words = digests(texts, of, first, first + window)
         rows = pa.array(of)
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(hashes.of(k, p, p + window).view(np.int64)) for k in (0, 1)), batch.column("doc_id").take(rows), batch.column("th").take(rows), pa.array(at.astype(np.int32))],
+            [*(pa.array(np.ascontiguousarray(words[:, k])) for k in (0, 1)), batch.column("doc_id").take(rows), batch.column("th").take(rows), pa.array(first.astype(np.int32))],
             names=["wa", "wb", "doc_id", "th", "first"],
         )
 
@@ -230,13 +244,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     every = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), text_bytes().alias("t"))
-    base, unordered = every.filter(F.col("doc_id").isNotNull()), every.filter(F.col("doc_id").isNull())
+    base = every.filter(F.col("doc_id").isNotNull())
     # Worked out twice rather than kept: the anchors are cheaper to find again than to write.
+    keys = base.select("doc_id", "t").mapInArrow(lambda it: _key_rows(it, window), f"key long, doc_id {kind}")
     each = base.mapInArrow(lambda it: _anchor_rows(it, window), f"key long, a long, b long, doc_id {kind}, th long, first int, last int")
     # Kept apart, so that both sides of the join are plain shuffles and a key of many rows is split.
-    shared = cut(each.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key"))
+    shared = cut(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key"))
     common = cut(each.join(shared, "key"))
     classes = cut(common.groupBy("key", "a", "b").agg(F.min("doc_id").alias("owner")))
+    release(docs.sparkSession)
     several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     owned = common.join(classes, ["key", "a", "b"]).select("key", "doc_id", "th", "first", "last", "owner")
     spans = F.collect_set(F.struct("first", "last")).alias("spans")
@@ -248,6 +264,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     by_window = single.join(owner, ["wa", "wb"]).filter("doc_id > owner").select("doc_id", "th", "first", F.col("first").alias("last"))
     gone = whole.unionByName(by_window).groupBy("doc_id", "th").agg(spans)
     marked = base.join(gone, ["doc_id", "th"], "left").select("doc_id", "t", "spans")
-    marked = marked.unionByName(unordered.select("doc_id", "t", F.lit(None).cast(marked.schema["spans"].dataType).alias("spans")))
+    marked = marked.unionByName(every.filter(F.col("doc_id").isNull()).select("doc_id", "t", F.lit(None).cast(marked.schema["spans"].dataType).alias("spans")))
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     return marked.mapInArrow(lambda it: _kept_rows(it, window, with_text), schema)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, text_bytes
+from .common import pieces, sole_cache, text_bytes
 
 #: Labelled rows that the classifier is fitted on at most: those with the least hashes of their ids.
 SAMPLE_ROWS = 3_000
@@ -138,6 +138,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "__toxicity") -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("toxicity", lambda: None)
         weights, bias = shared.value.weights, shared.value.bias
         for batch in pieces(batches, "text"):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
