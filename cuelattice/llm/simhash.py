@@ -4,7 +4,8 @@ A fingerprint is cut into fewer segments than half the allowed distance would le
 fingerprints within the distance some segment differs by at most one bit. Each segment is indexed once for each of
 its bits, with that bit taken out; equal keys are joined and pairs verified. Only distinct fingerprints take part,
 so copies cost nothing. A key of many fingerprints is cut into blocks and its pairs of blocks are dealt over tasks;
-of each the task returns a spanning forest of its links, never all pairs.
+of each the task returns a spanning forest of its links, never all pairs. Groups by Jaccard similarity, of which no
+distance of fingerprints is certain, are completed by a join on prefixes of shingles.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, text_bytes
+from .common import Membership, cut, pieces, release, sole_cache, text_bytes
 from .graph import connected_components
 
 BITS = 64
@@ -57,32 +58,32 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select("doc_id", text_bytes().alias("t")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-#: (lane, first bit, bits)
-Segment = tuple[int, int, int]
+#: (first bit, bits)
+Segment = tuple[int, int]
 
 
-def segments(count: int, lane: int = 0) -> list[Segment]:
-    """`count` segments of one lane. With distance // 2 + 1 of them, were each to differ by two bits, more than `distance` would."""
+def segments(count: int) -> list[Segment]:
+    """`count` segments of a fingerprint. With distance // 2 + 1 of them, were each to differ by two bits, more than `distance` would."""
     cuts = [BITS * i // count for i in range(count + 1)]
-    return [(lane, a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _mask(bits: int) -> int:
     return (1 << bits) - 1
 
 
-def _segment(lanes: list[str], lane: int, first: int, bits: int) -> Column:
-    return F.shiftrightunsigned(lanes[lane], first).bitwiseAND(F.lit(_mask(bits)).cast("long"))
+def _segment(first: int, bits: int) -> Column:
+    return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit(_mask(bits)).cast("long"))
 
 
-def _variants(value: Column, lane: int, first: int, bits: int) -> list[Column]:
+def _variants(value: Column, first: int, bits: int) -> list[Column]:
     """Keys of a segment's value with one bit taken out, for each of its bits."""
-    return [value.bitwiseAND(F.lit(_mask(bits) & ~(1 << i)).cast("long")) + F.lit((BITS * lane + first + i) << 40).cast("long") for i in range(bits)]
+    return [value.bitwiseAND(F.lit(_mask(bits) & ~(1 << i)).cast("long")) + F.lit((first + i) << 40).cast("long") for i in range(bits)]
 
 
-def _hot_keys(distinct: DataFrame, lanes: list[str], layout: list[Segment], block: int) -> DataFrame:
+def _hot_keys(distinct: DataFrame, layout: list[Segment], block: int) -> DataFrame:
     """(key, blocks) of keys of more than `block` fingerprints, or nearly so; a key's two values are counted for it."""
-    values = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).alias("s"), _segment(lanes, *x).alias("value")) for i, x in enumerate(layout)])).alias("x"))
+    values = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).alias("s"), _segment(*x).alias("value")) for i, x in enumerate(layout)])).alias("x"))
     counts = values.groupBy("x.s", "x.value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block // 2)
     keys = F.array()
     for i, x in reversed(list(enumerate(layout))):
@@ -91,18 +92,18 @@ def _hot_keys(distinct: DataFrame, lanes: list[str], layout: list[Segment], bloc
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints whose lanes are the last axis."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    """Differing bits of fingerprints."""
+    return np.bitwise_count(a ^ b).astype(np.int64)
 
 
 def _verified(a: np.ndarray, b: np.ndarray, bit: np.ndarray, layout: list[Segment], distance: int) -> np.ndarray:
     """Pairs within the distance, each under the first of the keys that it shares only."""
     canonical = np.full(len(a), -1, np.int64)
-    for lane, first, bits in layout:
-        part = ((a[:, lane] ^ b[:, lane]) >> np.uint64(first)) & np.uint64(_mask(bits))
+    for first, bits in layout:
+        part = ((a ^ b) >> np.uint64(first)) & np.uint64(_mask(bits))
         here = (canonical < 0) & (np.bitwise_count(part) <= 1)
         where = np.where(part == 0, 0, np.bitwise_count(part - np.uint64(1)))  # of a single bit: its place
-        canonical = np.where(here, BITS * lane + first + where, canonical)
+        canonical = np.where(here, first + where, canonical)
     return (_apart(a, b) <= distance) & (canonical == bit)
 
 
@@ -134,78 +135,70 @@ def _forest(fps: np.ndarray, bit: int, layout: list[Segment], distance: int) ->
     return root[child], child
 
 
-def _nearest(fps: np.ndarray, bit: int, layout: list[Segment], distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """The forest, and a link of each fingerprint to the nearest in its block; each link once."""
-    best, other = np.full(len(fps), distance + 1), np.zeros(len(fps), np.int64)
-    for a, b in _near_pairs(fps, bit, layout, distance):
-        d = _apart(fps[a], fps[b])
-        for x, y in ((a, b), (b, a)):
-            order = np.lexsort((d, x))
-            first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])] if len(order) else order
-            closer = first[d[first] < best[x[first]]]
-            best[x[closer]], other[x[closer]] = d[closer], y[closer]
-    own = np.flatnonzero(best <= distance)
-    a, b = _forest(fps, bit, layout, distance)
-    both = np.unique(np.concatenate([a * len(fps) + b, np.minimum(own, other[own]) * len(fps) + np.maximum(own, other[own])]))
-    return both // len(fps), both % len(fps)
-
-
-def links(distinct: DataFrame, distance: int = 4, block: int = BLOCK, lanes: list[str] | None = None, layout: list[Segment] | None = None, nearest: bool = False) -> DataFrame:
-    """Links of distinct fingerprints whose components are those of all pairs within the distance that share a key.
-
-    distinct has the lanes of a fingerprint (fp, unless given). The default layout shares a key for all pairs within
-    the distance. Rows (a, b), or (a0, a1, ..., b0, b1, ...) for more lanes. With `nearest`, each fingerprint of a
-    crowded key is also linked to the one nearest to it.
-    """
-    lanes = lanes or ["fp"]
-    layout = layout or segments(distance // 2 + 1)
-    crowded = _nearest if nearest else _forest
-    hot = cut(_hot_keys(distinct, lanes, layout, block))
+def _keyed(batches: Iterator[pa.RecordBatch], columns: list[str], keys: int = 1) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first `keys` of them, so that no key is cut; the last key of a batch waits for the next one."""
+    rest: list[np.ndarray] = []
+    for batch in batches:
+        now = [batch.column(x).to_numpy(zero_copy_only=False) for x in columns]
+        rest.append(np.stack(now))
+        change = np.flatnonzero((rest[-1][:keys, 1:] != rest[-1][:keys, :-1]).any(axis=0)) + 1
+        other = len(rest) > 1 and rest[-1].shape[1] > 0 and (rest[-1][:keys, 0] != rest[-2][:keys, -1]).any()
+        if len(change) or other:
+            rows = np.concatenate(rest, axis=1)
+            tail = (int(change[-1]) if len(change) else 0) + rows.shape[1] - rest[-1].shape[1]
+            rest = [rows[:, tail:]]
+            yield list(rows[:, :tail])
+        elif not rest[-1].shape[1]:
+            rest.pop()
+    if rest:
+        yield list(np.concatenate(rest, axis=1))
+
+
+def _sizes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of sorted keys its place within its key, and the rows of the key."""
+    change = np.zeros(len(keys[0]), bool)
+    for key in keys:
+        change[1:] |= key[1:] != key[:-1]
+    starts = np.concatenate([[0], np.flatnonzero(change)])
+    sizes = np.diff(np.append(starts, len(keys[0])))
+    return np.arange(len(keys[0])) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+
+def links(distinct: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
+    """Rows (a, b): links of distinct fingerprints (fp long) whose components are those of all pairs within the distance."""
+    layout = segments(distance // 2 + 1)
+    hot = cut(_hot_keys(distinct, layout, block))
     n_hot = hot.count()
-    keys = distinct.select(F.explode(F.array(*[k for x in layout for k in _variants(_segment(lanes, *x), *x)])).alias("key"), *lanes)
+    keys = distinct.select(F.explode(F.array(*[k for x in layout for k in _variants(_segment(*x), *x)])).alias("key"), "fp")
     if n_hot:
         keys = keys.join(F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot, "key", "left")
-        own = F.pmod(F.xxhash64(*lanes), F.col("blocks")).cast("int")
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
         other = F.explode(F.when(F.coalesce("blocks", F.lit(1)) > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0))))
         keys = keys.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
-        keys = keys.select("key", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("blocks"), *lanes)
+        keys = keys.select("key", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("blocks"), "fp")
     else:
-        keys = keys.select("key", F.lit(0).cast("long").alias("blocks"), *lanes)
-    names = [f"{side}{i if len(lanes) > 1 else ''}" for side in "ab" for i in range(len(lanes))]
+        keys = keys.select("key", F.lit(0).cast("long").alias("blocks"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted, fingerprints too, so that a task run again gives the same links; the last key of a batch waits for the next one."""
-        rest = None
-        for batch in batches:
-            now = np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "blocks", *lanes)])
-            now = now if rest is None else np.concatenate([rest, now], axis=1)
-            change = np.flatnonzero((now[:2, 1:] != now[:2, :-1]).any(axis=0)) + 1
-            tail = int(change[-1]) if len(change) else 0
-            rest = now[:, tail:]
-            if tail:
-                yield from found(now[:, :tail], np.concatenate([[0], change[:-1]]))
-        if rest is not None and rest.shape[1]:
-            yield from found(rest, np.zeros(1, np.int64))
-
-    def found(rows: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bit, fps = rows[0] >> 40, np.ascontiguousarray(rows[2:].T).view(np.uint64)
-        n = rows.shape[1]
-        sizes = np.diff(np.append(starts, n))
-        few = np.repeat(np.where(sizes <= 16, sizes, 0), sizes)
-        at = np.arange(n) - np.repeat(starts, sizes)
-        pairs = []
+        """Rows come sorted, fingerprints too, so that a task run again gives the same links."""
+        for key, blocks, fp in _keyed(batches, ["key", "blocks", "fp"], 2):
+            if len(key):
+                yield found(key >> 40, fp.view(np.uint64), *_sizes(key, blocks))
+
+    def found(bit: np.ndarray, fps: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        few = np.where(size <= 16, size, 0)
+        pairs = [(fps[:0], fps[:0])]
         for s in range(1, int(few.max(initial=0))):
             i = np.flatnonzero(at + s < few)
             i = i[_verified(fps[i], fps[i + s], bit[i], layout, distance)]
             pairs.append((fps[i], fps[i + s]))
-        for a, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-            x, y = crowded(fps[a : a + size], int(bit[a]), layout, distance)
-            pairs.append((fps[a + x], fps[a + y]))
-        if pairs:
-            sides = [np.concatenate([x[k] for x in pairs]).view(np.int64) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for x in sides for i in range(len(lanes))], names=names)
+        for a in np.flatnonzero((at == 0) & (size > 16)).tolist():
+            own = fps[a : a + size[a]]
+            x, y = _forest(own, int(bit[a]), layout, distance)
+            pairs.append((own[x], own[y]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in pairs]).view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
-    return keys.repartition("key", "blocks").sortWithinPartitions("key", "blocks", *lanes).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return keys.repartition("key", "blocks").sortWithinPartitions("key", "blocks", "fp").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, block: int = BLOCK) -> DataFrame:
@@ -219,14 +212,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, block: i
     rows = cut(fingerprints(docs, width))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(connected_components(links(distinct.select("fp"), distance, block)))
-    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
+    of = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # Least ids are kept apart: both sides of the joins are plain shuffles then, and a root or fingerprint of many rows is split.
+    least = cut(of.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = cut(of.join(least, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Texts as similar as `similar_groups` looks for differ so little in words and neighbours that two lanes seldom differ by more.
-WORD_DISTANCE = 20
+# Groups by similarity. The links of fingerprints come first; a join on prefixes of shingles then finds whatever they miss.
 
 
 def _majority(digests: bytes) -> int:
@@ -238,23 +231,6 @@ def _majority(digests: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def word_fingerprint(words: list[bytes]) -> tuple[int, int]:
-    """A SimHash of the distinct words of a text, and one of its distinct pairs of neighbours."""
-    pairs = {a + b" " + b for a, b in zip(words, words[1:], strict=False)}
-    return _majority(b"".join(map(_WORDS.__getitem__, set(words)))), _majority(b"".join(map(xxhash.xxh3_64_digest, pairs)))
-
-
-class _Digests(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 500_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_digest(word)
-        return out
-
-
-_WORDS = _Digests()
-
-
 def _text_name(words: list[bytes]) -> int:
     """A signed 64-bit name of a word sequence."""
     name = xxhash.xxh3_64_intdigest(b" ".join(words))
@@ -269,115 +245,109 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, whole), np.uint64, len(whole))).view(np.int64)
 
 
+#: Bytes of text that are taken apart at a time.
+PIECE = 1 << 20
 #: Texts from which the frequencies of shingles are estimated, and the frequent shingles whose rank is broadcast (16 bytes
 #: each). They set the order of shingles only; any order gives the same links.
 SAMPLE_TEXTS = 20_000
 RANKED = 200_000
 #: Places by which two texts of one key lie apart in the first round, and how this grows in the next ones.
-REACH = 16
+REACH = 2
 GROWTH = 8
+#: Texts asked for whose ids are broadcast at most (24 bytes each); more are joined by a shuffle.
+ASKED_BROADCAST = 50_000
+#: Parts of many candidates that are verified one after another.
+VERIFY_PARTS = 2
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], columns: list[str], keys: int = 1) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by the first `keys` of them, so that no key is cut; the last key of a batch waits for the next one."""
-    rest: list[np.ndarray] = []
-    for batch in batches:
-        now = [batch.column(x).to_numpy(zero_copy_only=False) for x in columns]
-        rest.append(np.stack(now))
-        change = np.flatnonzero((rest[-1][:keys, 1:] != rest[-1][:keys, :-1]).any(axis=0)) + 1
-        other = len(rest) > 1 and rest[-1].shape[1] > 0 and (rest[-1][:keys, 0] != rest[-2][:keys, -1]).any()
-        if len(change) or other:
-            rows = np.concatenate(rest, axis=1)
-            tail = (int(change[-1]) if len(change) else 0) + rows.shape[1] - rest[-1].shape[1]
-            rest = [rows[:, tail:]]
-            yield list(rows[:, :tail])
-        elif not rest[-1].shape[1]:
-            rest.pop()
-    if rest:
-        yield list(np.concatenate(rest, axis=1))
-
-
-def _sizes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row of sorted keys its place within its key, and the rows of the key."""
-    change = np.zeros(len(keys[0]), bool)
-    for key in keys:
-        change[1:] |= key[1:] != key[:-1]
-    starts = np.concatenate([[0], np.flatnonzero(change)])
-    sizes = np.diff(np.append(starts, len(keys[0])))
-    return np.arange(len(keys[0])) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
+def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        found = [shingles(x.lower().split(), width) for x in batch.column("t").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(found))})
 
 
-def shared_prefixes(base: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Rows (key, th, n, pos, size): the prefixes of all texts (doc_id, t), where a key is shared by two texts or more.
+def text_rows(base: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Rows (doc_id, text_hash, th, fp, n, keys), one per row of base (doc_id, text_hash, t).
 
-    The shingles of a text are put in an order that is the same for all, frequent ones last. Two texts at the
-    similarity share a key among their first n - ceil(similarity * n) + 1 shingles. pos is the place of the key among
-    the n shingles, size the number of texts that have it in their prefix.
+    th names the word sequence, fp is the SimHash of its n shingles. keys is its prefix: the shingles of a text are put
+    in an order that is the same for all, frequent ones last, and two texts at the similarity share one of their first
+    n - ceil(similarity * n) + 1.
     """
-    spark = base.sparkSession
     part = max(1, base.count() // SAMPLE_TEXTS)
-
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            found = [shingles(x.lower().split(), width) for x in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(found))})
-
-    sample = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).select("t").mapInArrow(every, "key long")
+    sample = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).select("t").mapInArrow(lambda it: _shingle_rows(it, width), "key long")
     often = sample.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 2").orderBy(F.desc("c"), "key").limit(RANKED).toArrow()
     frequent, c = (often.column(x).to_numpy() for x in ("key", "c"))
     by_key = np.argsort(frequent)
     rank = np.empty(len(c), np.int64)
     rank[np.lexsort((frequent, c))] = np.arange(1, len(c) + 1)
-    ranked = spark.sparkContext.broadcast((frequent[by_key], rank[by_key]))
+    ranked = base.sparkSession.sparkContext.broadcast((frequent[by_key], rank[by_key]))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("simhash", lambda: None)
         known, ranks = ranked.value
-        for batch in pieces(batches):
-            keys, ths, ns = [], [], []
+        for batch in pieces(batches, limit=PIECE):
+            ths, fps, ns, keys = [], [], [], []
             for text in batch.column("t").to_pylist():
                 words = text.lower().split()
                 s = shingles(words, width)
-                if not len(s):
-                    continue
-                if len(known):
+                ths.append(_text_name(words))
+                fps.append(_majority(s.tobytes()))
+                ns.append(len(s))
+                if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[at] == s, ranks[at], 0), kind="stable")]
                 keys.append(s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1])
-                ths.append(_text_name(words))
-                ns.append(len(s))
-            if keys:
-                sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-                pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys)), "th": pa.array(np.repeat(np.array(ths, np.int64), sizes)), "n": pa.array(np.repeat(np.array(ns, np.int32), sizes)), "pos": pa.array(pos.astype(np.int32))})
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(ths, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(keys))],
+                names=["doc_id", "text_hash", "th", "fp", "n", "keys"],
+            )
+
+    kind = base.schema["doc_id"].dataType.simpleString()
+    return base.mapInArrow(run, f"doc_id {kind}, text_hash long, th long, fp long, n int, keys array<long>")
+
+
+def shared_prefixes(rows: DataFrame) -> DataFrame:
+    """Rows (key, th, n_pos, ahead, ahead2, size) of texts (th, n, keys), where a key is shared by two texts or more.
+
+    n_pos holds n and the place of the key among the n shingles, 32 bits each, ahead and ahead2 are the keys one and two
+    places ahead (0: none), size the number of texts that have the key in their prefix.
+    """
+    names = ["key", "n_pos", "th", "ahead", "ahead2"]
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "n", "th", "pos"]
-        for key, n, th, pos in _keyed(batches, names):
+        for rows in _keyed(batches, names):
+            key, _, th, *_ = rows
+            if not len(key):
+                continue
             once = np.ones(len(key), bool)
             once[1:] = (key[1:] != key[:-1]) | (th[1:] != th[:-1])  # equal texts
-            key, n, th, pos = (x[once] for x in (key, n, th, pos))
-            _, size = _sizes(key)
+            _, size = _sizes(key[once])
             good = size > 1
             if good.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[good], pa.int64()) for x in (key, n, th, pos, size)], names=[*names, "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[good], pa.int64()) for x in (*(x[once] for x in rows), size)], names=[*names, "size"])
 
-    rows = base.mapInArrow(prefixes, "key long, th long, n int, pos int")
-    return rows.repartition("key").sortWithinPartitions("key", "n", "th").mapInArrow(shared, "key long, n long, th long, pos long, size long")
+    each = rows.select("n", "th", "keys", F.posexplode("keys").alias("pos", "key"))
+    each = each.select("key", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("n_pos"), "th", *[F.coalesce(F.get("keys", F.col("pos") - k), F.lit(0)).alias(x) for k, x in ((1, "ahead"), (2, "ahead2"))])
+    return each.repartition("key").sortWithinPartitions("key", "n_pos", "th").mapInArrow(shared, "key long, n_pos long, th long, ahead long, ahead2 long, size long")
 
 
 def prefix_pairs(shared: DataFrame, roots: DataFrame, low: int, high: int, similarity: float, block: int) -> DataFrame:
     """Rows (a, b): texts of one key from `low` to less than `high` places apart that may be similar and have not the same root.
 
     Texts of a key lie in the order of their numbers of shingles. A key of many texts is dealt over tasks, each of which
-    takes some of the distances.
+    takes some of the distances. Two texts that have one of the two keys ahead in common too meet there, if in another round.
     """
     of = roots.select(F.col("node").alias("th"), "root")
     parts = F.greatest(F.lit(1), F.least(F.lit(high - low), F.ceil(F.col("size") / block))).cast("long")
-    rows = shared.filter(F.col("size") > low).join(of, "th", "left").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "n", "th", "pos", F.coalesce("root", "th").alias("root"), parts.alias("parts"))
+    rows = shared.filter(F.col("size") > low).join(of, "th", "left").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "n_pos", "th", "ahead", "ahead2", F.coalesce("root", "th").alias("root"), parts.alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part, n, th, pos, root, parts in _keyed(batches, ["key", "part", "n", "th", "pos", "root", "parts"], 2):
+        for key, part, n_pos, th, ahead, ahead2, root, parts in _keyed(batches, ["key", "part", "n_pos", "th", "ahead", "ahead2", "root", "parts"], 2):
+            if not len(key):
+                continue
             at, size = _sizes(key, part)
+            n, pos = n_pos >> 32, n_pos & _mask(32)
             a, b, held = [], [], 0
             live = np.arange(len(key))
             for s in range(low, min(high, int(size.max()))):
@@ -388,6 +358,10 @@ def prefix_pairs(shared: DataFrame, roots: DataFrame, low: int, high: int, simil
                 i = live[s % parts[live] == part[live]]
                 i = i[root[i] != root[i + s]]
                 j = i + s
+                before = np.zeros(len(i), bool)
+                for x in (ahead, ahead2):
+                    before |= (x[i] != 0) & ((x[i] == ahead[j]) | (x[i] == ahead2[j]))
+                i, j = i[~before], j[~before]
                 enough = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9
                 a.append(np.minimum(th[i], th[j])[enough])
                 b.append(np.maximum(th[i], th[j])[enough])
@@ -402,73 +376,84 @@ def prefix_pairs(shared: DataFrame, roots: DataFrame, low: int, high: int, simil
         both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
         return pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(both[0])), "b": pa.array(np.ascontiguousarray(both[1]))})
 
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "n", "th").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "n_pos", "th").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """Rows (doc_id, component_id), one per input row: groups over links of Jaccard similarity of `width`-word shingles.
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, block: int = BLOCK) -> DataFrame:
+    """Rows (doc_id, text_hash, component_id, stays), one per input row: groups over links of Jaccard similarity of `width`-word shingles.
 
-    Words are as in `near_duplicates`. Most links are found by a SimHash of distinct words and one of distinct pairs of
-    neighbours, which differ in few bits; all others by a join on prefixes of shingles, which misses none. The join
-    compares the texts of a key in rounds of growing distance, and leaves out those that links found so far connect,
-    until every pair of every key was had. Every candidate is verified on all its shingles. Texts without words are
-    linked to each other. A null doc_id is a row of its own and has a null component_id.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    Words are as in `near_duplicates`. First come links of SimHashes of the distinct shingles, by deletion variants; all
+    others are found by a join on prefixes of shingles, which misses none. The join compares the texts of a key in
+    rounds of growing distance, and leaves out those that links found so far connect, until every pair of every key
+    was had. Every candidate is verified on all its shingles. Texts without words are linked to each other.
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            split = [x.lower().split() for x in batch.column("t").to_pylist()]
-            fps = np.array([word_fingerprint(x) for x in split], np.uint64).reshape(-1, 2).view(np.int64)
-            text = np.array([_text_name(x) for x in split], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text), pa.array(np.ascontiguousarray(fps[:, 0])), pa.array(np.ascontiguousarray(fps[:, 1]))], names=["doc_id", "th", "fp0", "fp1"])
+    text_hash is Spark's xxhash64 of the text (null as empty), which tells rows of one doc_id apart. component_id is the
+    least doc_id of the group. The row of the least (doc_id, text_hash) of a group stays, with its exact repeats. A null
+    doc_id is a row of its own: it stays and its component_id is null.
+    """
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), text_bytes().alias("t"))
+    found = cut(text_rows(base, width, similarity))
+    rows = cut(found.select("doc_id", "text_hash", "th", "fp"))
+    texts = rows.filter(F.col("doc_id").isNotNull()).groupBy("th").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("fp").alias("fp"))
+    texts = cut(texts.select("th", "fp", "least.*"))
+    once = found.join(texts.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
+    others = cut(rows.join(texts.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash"))
+    if others.count() <= ASKED_BROADCAST:  # few repeats: prefixes stay where they are
+        once = found.join(F.broadcast(others), found["doc_id"].eqNullSafe(others["doc_id"]) & (found["text_hash"] == others["text_hash"]), "left_anti")
+    keys = cut(shared_prefixes(once))
+    del found, once
+    release(spark)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            ths, found = [], []
-            for th, text in zip(batch.column("th").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                words = text.lower().split()
-                if _text_name(words) == th:  # a doc_id may be repeated with another text
-                    ths.append(th)
-                    found.append(shingles(words, width))
-            yield pa.RecordBatch.from_arrays([pa.array(ths, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["th", "s"])
-
-    base = docs.select("doc_id", text_bytes().alias("t"))
-    rows = cut(base.mapInArrow(prints, f"doc_id {kind}, th long, fp0 long, fp1 long"))
-    texts = cut(rows.filter(F.col("doc_id").isNotNull()).groupBy("th", "fp0", "fp1").agg(F.min("doc_id").alias("least")))
-    distinct = texts.select("fp0", "fp1").distinct()
-    layout = segments(3) + segments(3, 1)
-    pairs = links(distinct, WORD_DISTANCE, block, ["fp0", "fp1"], layout, nearest=True).distinct()
-    # Texts of one fingerprint are linked by way of the least of them; so are fingerprints.
-    heads = texts.groupBy("fp0", "fp1").agg(F.min("th").alias("head"))
-    same = texts.join(heads, ["fp0", "fp1"]).filter("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
-    head = lambda x: heads.select(F.col("fp0").alias(f"{x}0"), F.col("fp1").alias(f"{x}1"), F.col("head").alias(x))
-    across = pairs.join(head("a"), ["a0", "a1"]).join(head("b"), ["b0", "b1"]).select("a", "b")
-    candidates = cut(same.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    doc_of = cut(texts.groupBy("th").agg(F.min("least").alias("doc_id")))
+        for batch in pieces(batches, limit=PIECE):
+            found = [shingles(x.lower().split(), width) for x in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "s"])
 
     def verified(candidates: DataFrame) -> DataFrame:
-        asked = candidates.select(F.col("a").alias("th")).unionByName(candidates.select(F.col("b").alias("th"))).distinct().join(doc_of, "th")
-        first = base.join(asked, "doc_id").select("th", "t").mapInArrow(sets, "th long, s array<long>")
-        first = cut(first.groupBy("th").agg(F.first("s").alias("s")))
-        side = lambda x: first.select(F.col("th").alias(x), F.col("s").alias(f"s{x}"))
-        shared = F.size(F.array_intersect("sa", "sb"))
-        similar = F.when(F.size("sa") + F.size("sb") == 0, True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))
-        return cut(candidates.join(side("a"), "a").join(side("b"), "b").filter(similar).select("a", "b"))
-
-    true_links = verified(candidates)
-    roots = cut(connected_components(true_links))
-    keys = cut(shared_prefixes(base.filter(F.col("doc_id").isNotNull()), width, similarity))
+        """The pairs (a, b) that are similar. In parts, one after another, so that not all shingles are on disk at a time."""
+        true_links, parts = None, VERIFY_PARTS if candidates.count() > ASKED_BROADCAST else 1
+        for part in range(parts):
+            pairs = candidates.filter(F.pmod(F.xxhash64("b"), F.lit(parts)) == part)
+            asked = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+            asked = cut(asked.join(texts, "th").select("th", "doc_id", "text_hash"))
+            if asked.isEmpty():
+                continue
+            # Only texts asked for are taken apart and moved, but for a few that the join then leaves out.
+            some = Membership(asked, ["doc_id", "text_hash"])
+            own = some.marked(base).mapInArrow(lambda it, some=some: sets(some.chosen(it, True)), f"doc_id {kind}, text_hash long, s array<long>")
+            first = own.join(F.broadcast(asked) if asked.count() <= ASKED_BROADCAST else asked, ["doc_id", "text_hash"]).select("th", "s").repartition("th")
+            side = lambda x, first=first: first.select(F.col("th").alias(x), F.col("s").alias(f"s{x}"))
+            shared = F.size(F.array_intersect("sa", "sb"))
+            similar = F.when(F.size("sa") + F.size("sb") == 0, True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))
+            more = cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(similar).select("a", "b"))
+            true_links = more if true_links is None else true_links.unionByName(more)
+            del own, first, side
+            release(spark)
+        return candidates.limit(0) if true_links is None else true_links
+
+    # Texts of one fingerprint are linked by way of the least of them; so are fingerprints.
+    heads = cut(texts.groupBy("fp").agg(F.min("th").alias("head")))
+    same = texts.join(heads, "fp").filter("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
+    head = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}"))
+    across = links(heads.select("fp"), distance, block).distinct().join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    tried = cut(same.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    roots = cut(connected_components(verified(tried)))
+    release(spark)
     most, low, high = keys.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0], 1, REACH + 1
     while low < most:
-        more = cut(prefix_pairs(keys, roots, low, high, similarity, block).join(candidates, ["a", "b"], "left_anti"))
+        more = cut(prefix_pairs(keys, roots, low, high, similarity, block).join(tried, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            candidates = candidates.unionByName(more)
+            tried = tried.unionByName(more)
             found = verified(more)
             if not found.isEmpty():
                 known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
                 roots = cut(connected_components(known.unionByName(found)))
         low, high = high, high * GROWTH
-    of = texts.groupBy("th").agg(F.min("least").alias("least")).join(roots, F.col("th") == F.col("node"), "left").select("th", "least", F.coalesce("root", "th").alias("root"))
-    named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("th", "component_id")
-    return rows.join(named, "th", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        release(spark)
+    of = cut(texts.join(roots, F.col("th") == F.col("node"), "left").select("th", F.coalesce("root", "th").alias("root"), F.struct("doc_id", "text_hash").alias("least")))
+    # Kept apart, so that both sides of the joins are plain shuffles and a group of many rows is split.
+    first = cut(of.groupBy("root").agg(F.min("least").alias("first")))
+    named = cut(of.join(first, "root").select("th", "first"))
+    stays = F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    return rows.join(named, "th", "left").select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("first.doc_id")).alias("component_id"), stays.alias("stays"))

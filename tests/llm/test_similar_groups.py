@@ -1,6 +1,9 @@
 """Near-duplicate groups against brute force: crowded keys, and changes in one place."""
 
+import collections
+import itertools
 import random
+import re
 
 from cuelattice.llm import simhash
 
@@ -57,3 +60,32 @@ def test_pairs_with_changes_in_one_place(spark):
     linked = [sum(want[2 * i + 1] == 2 * i for i in range(k, 160, 4)) for k in range(4)]
     assert min(linked) > 10 and sum(linked) < 160
     assert groups(spark, rows) == want
+
+
+def test_groups_of_the_documents_table(spark):
+    """All links of sf0.01 by brute force: every pair of texts that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "").encode().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    having = collections.defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            having[x].append(d)
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    pairs = {(a, b) for ds in having.values() if len(ds) < 400 for a, b in itertools.combinations(sorted(ds), 2)}
+    links = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert len(links) > 20 and all(len(ds) < 400 for ds in having.values())
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    empty = min((d for d, s in sets.items() if not s), default=None)
+    assert got == {d: find(d) if s else empty for d, s in sets.items()}
