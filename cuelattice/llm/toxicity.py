@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, sole_cache, text_bytes
+from .common import cut, pieces, sole_cache, text_bytes
 
 #: Labelled rows that the classifier is fitted on at most: those with the least hashes of their ids.
 SAMPLE_ROWS = 3_000
 #: Bytes of text that these have together at most (about 10 bytes of features each reach the driver); rows beyond are left out.
 SAMPLE_BYTES = 16 << 20
+#: Parts in which their features reach the driver.
+SAMPLE_PARTS = 16
 SIZES = (5, 8)
 HASH_BITS = 20
 #: A feature needs so many texts of the sample (fewer where few are toxic).
@@ -122,9 +124,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.struct(F.xxhash64("t").alias("h"), "t")
-    found = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min(text)["t"].alias("t"))
-    so_far = F.sum(F.octet_length("t")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the bounded sample only
-    chosen = found.withColumn("so_far", so_far).filter(F.col("so_far") <= sample_bytes).drop("so_far")
+    found = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(sample), "doc_id").repartition(SAMPLE_PARTS, "doc_id")
+    found = cut(found.groupBy("doc_id", "toxic").agg(F.min(text)["t"].alias("t")))
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sizes of the bounded sample only
+    within = found.select("doc_id", F.octet_length("t").alias("size")).withColumn("so_far", so_far).filter(F.col("so_far") <= sample_bytes).select("doc_id")
+    chosen = found.join(F.broadcast(within), "doc_id", "left_semi")
     rows = chosen.mapInArrow(run, f"doc_id {kind}, toxic int, f array<int>").toArrow()
     found = rows.column("f").combine_chunks()
     found = found if isinstance(found, pa.ListArray) else pa.concat_arrays(found.chunks or [pa.array([], pa.list_(pa.int32()))])

@@ -81,6 +81,25 @@ OPERATORS = {
 }
 
 
+@pytest.mark.parametrize("name", sorted(set(OPERATORS) - {"lm", "quality"}))
+def test_a_text_longer_than_a_piece(spark, labels, name):
+    """Over 4 MB in one text, beside short ones: a row for each, and of the long one the whole."""
+    long = " ".join(f"word{i % 5000} 😀" for i in range(420_000))
+    assert len(long.encode()) > 5 << 20
+    docs = spark.createDataFrame([(1, "a short text", "en", "a"), (2, long, "en", "a"), (3, None, "en", "a")], "doc_id long, text string, lang string, source string")
+    got = OPERATORS[name](docs, labels).drop("decoded", "kept_text", "leaf_chars", "leaf_tokens").collect()
+    assert {r.doc_id for r in got} == {1, 2, 3}
+    of = next(r for r in got if r.doc_id == 2)
+    if name == "substring":
+        assert of.n_words == 840_000 and of.kept == long
+    if name == "exact":
+        assert of.text_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    if name == "simhash":
+        assert int(of.fingerprint, 16) == simhash.fingerprint(long.encode())
+    if name == "packing":
+        assert sorted(r.piece for r in got if r.doc_id == 2) == list(range(sum(r.doc_id == 2 for r in got)))
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table_gives_no_rows(docs, labels, name):
     assert OPERATORS[name](docs.limit(0), labels.limit(0)).collect() == []

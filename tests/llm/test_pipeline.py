@@ -43,3 +43,26 @@ def test_odd_rows(spark):
             assert sorted((r.doc_id, r.text) for r in stage(spark, docs, SF).collect()) == [(2, "same text"), (4, ""), (5, "password=hunter2222")]
         if i == 3:
             assert {r.doc_id: r.text for r in stage(spark, docs, SF).collect()}[5] == "[REDACTED]"
+
+
+def test_near_copies_under_repeated_ids(spark):
+    """A doc_id may have several texts: only the near copy goes, whatever its id, and one row of a group stays."""
+    words = [f"w{i}" for i in range(120)]
+    a, near, other = " ".join(words), " ".join([*words[:-1], "changed"]), " ".join(f"x{i}" for i in range(90))
+    rows = [(1, a), (5, near), (5, other), (7, near), (7, near + " "), (9, other), (None, a), (None, a), (3, None), (4, ""), (8, "short text")]
+    docs = spark.createDataFrame([(i, t, "en", k, "own") for k, (i, t) in enumerate(rows)], "doc_id long, text string, id string, name long, whole string")
+    for block in (docs, docs.repartition(5)):
+        after = corpus_pipeline.drop_near_copies(spark, block, SF)
+        assert after.columns == docs.columns
+        got = sorted(((r.doc_id is None, r.doc_id, r.text or "") for r in after.collect()), key=str)
+        assert got == sorted([(False, 1, a), (False, 5, other), (True, None, a), (False, 3, ""), (False, 8, "short text")], key=str)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = spark.createDataFrame([(1, "some words", 0.5, "a", 1), (2, "password=hunter2222", 0.7, "b", 2)], "doc_id long, text string, score double, `__at` string, spans int")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns
+        got = {r.doc_id: r for r in after.collect()}
+        assert {k: (r.score, r["__at"], r.spans) for k, r in got.items()} == {1: (0.5, "a", 1), 2: (0.7, "b", 2)}
+        assert got[2].text == ("[REDACTED]" if i == 3 else "password=hunter2222")
