@@ -10,11 +10,11 @@ import os
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelattice.llm import toxicity
-from cuelattice.llm.common import cut, shared_folder, table
+from cuelattice.llm.common import cut, shared_folder, table, unused
 from cuelattice.llm.exact_dedup import exact_dedup
 from cuelattice.llm.packing import pack_documents
 from cuelattice.llm.secrets import redacted
@@ -25,35 +25,45 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (a score of 0.5 or more) go."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, "__toxicity").filter("__toxicity < 0.5").drop("__toxicity")
+    """Documents that the classifier rejects (a score of 0.5 or more) go. Null texts count as empty; an empty table stays empty."""
+    model, score = toxicity.fit(docs, table(spark, sf_dir, "labels")), unused(docs, "score")
+    return toxicity.with_score(docs, model, score).filter(F.col(score) < 0.5).drop(score)
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; of rows that repeat it, one."""
-    rows = exact_dedup(docs).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
-    found = cut(rows.groupBy("__id", "__sha").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+def _stay(docs: DataFrame, rows: DataFrame, name: Column) -> DataFrame:
+    """The rows of docs that stay, one of those that repeat a doc_id and text. rows has id, name and stays; name is also found from docs."""
+    found = cut(rows.groupBy("id", "name").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no column of docs clashes with those of the joins
+    named = docs.select(F.col("doc_id").alias("doc"), name.alias("text_name"), whole.alias("whole"))
 
     def among(keys: DataFrame, how: str, of: DataFrame) -> DataFrame:
-        return of.join(keys.select("__id", "__sha"), F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__sha")), how)
+        return of.join(keys.select("id", "name"), F.col("doc").eqNullSafe(F.col("id")) & (F.col("text_name") == F.col("name")), how)
+
+    left = among(found.filter("not stays"), "left_anti", named)
+    repeated = found.filter("stays and n > 1")
+    if not repeated.isEmpty():
+        left = among(repeated, "left_anti", left).unionByName(among(repeated, "left_semi", left).dropDuplicates(["doc", "text_name"]))
+    return left.select("whole.*")
 
-    left = among(found.filter("not kept"), "left_anti", docs)
-    repeated = found.filter("kept and n > 1")
-    if repeated.isEmpty():
-        return left
-    return among(repeated, "left_anti", left).unionByName(among(repeated, "left_semi", left).dropDuplicates(["doc_id", "text"]))
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays; of rows that repeat it, any one."""
+    rows = exact_dedup(docs).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("name"), F.col("kept").alias("stays"))
+    return _stay(docs, rows, F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    gone = similar_groups(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row of the least doc_id stays.
+
+    Rows of one doc_id with different texts are told apart by their texts; of rows that repeat both, any one stays. Rows
+    without a doc_id all stay, but for repeats. Null and empty texts are near duplicates of each other.
+    """
+    rows = similar_groups(docs).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("name"), "stays")
+    return _stay(docs, rows, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced by a mark, and n_chars, where there is one, follows."""
+    """Every document stays; its secrets are replaced by a mark, and n_chars, where there is one, follows. Null texts stay null."""
     found = redacted(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -62,6 +72,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as packed pieces; a null or empty text is its end id, a long one several pieces. An empty table gives no rows."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
