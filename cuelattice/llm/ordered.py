@@ -1,4 +1,4 @@
-"""SHA-256 of texts joined in order, a group at a time, without a group in one row."""
+"""Texts of a group joined in order, or the SHA-256 of that, without a group in one row on the way."""
 
 from __future__ import annotations
 
@@ -9,85 +9,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scans import PART, in_order
+from ..operators.scans import PART
 
 #: Characters of a stretch of joined texts that becomes a row.
 STRETCH = 1 << 20
 
 
-def joined_digests(rows: DataFrame, keys: list[str], order: list[str], text: str, separator: str, name: str) -> DataFrame:
-    """Rows (keys, name): the lowercase hex SHA-256 of the texts of each group, in order and joined by a separator.
+class _Hashed:
+    def __init__(self) -> None:
+        self.digest = hashlib.sha256()
 
-    Rows are dealt by ranges of their order. A part digests the groups that it holds whole; of a group that may go on in
-    another part it puts out stretches of joined texts, which then stream through one task, as the hash is sequential.
-    Null texts are left out; a group of nothing else isn't returned.
+    def add(self, text: str) -> None:
+        self.digest.update(text.encode())
+
+    def done(self) -> str:
+        return self.digest.hexdigest()
+
+
+class _Joined(list):
+    add = list.append
+
+    def done(self) -> str:
+        return "".join(self)
+
+
+def joined(rows: DataFrame, keys: list[str], text: str, separator: str, name: str, digest: bool = True) -> DataFrame:
+    """Rows (keys, name): the texts of each group in order, joined by a separator, or the lowercase hex SHA-256 of that.
+
+    rows are those of `in_order` by keys and more. A part finishes the groups that it holds whole; of a group that may go
+    on in another part it puts out stretches of joined texts, which then stream through one task in their order, as the
+    hash is sequential. Null texts are left out; a group of nothing else isn't returned.
     """
-    sorted_rows = in_order(rows.select(*keys, *[c for c in order if c not in keys], text).filter(F.col(text).isNotNull()), [*keys, *order])
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = [rows.schema[k].dataType for k in keys]
+    declared = ", ".join(f"`{k}` {t.simpleString()}" for k, t in zip(keys, kinds, strict=True))
+    finish = _Hashed if digest else _Joined
+
+    def finished(value: str) -> str:
+        one = finish()
+        one.add(value)
+        return one.done()
+
+    def batch_of(found: list[tuple], types: list[pa.DataType | None], names: list[str], like: pa.Schema) -> pa.RecordBatch:
+        columns = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t or like.field(n).type) for c, t, n in zip(columns, types, names, strict=True)], names=names)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, buffer, size, part, nth, at_edge = None, [], 0, None, 0, True
+        types, names = [*[None] * len(keys), pa.int32(), pa.int32(), pa.string(), pa.bool_()], [*keys, "part", "nth", "value", "edge"]
+        key, held, size, part, nth, first, like = None, [], 0, None, 0, True, None
         out: list[tuple] = []
 
         def put(edge: bool) -> None:
-            nonlocal buffer, size, nth
-            if buffer:
-                whole = separator.join(buffer)
-                edge = edge or nth > 0
-                out.append((*key, part, nth, whole if edge else hashlib.sha256(whole.encode()).hexdigest(), edge))
-                nth += 1
-                buffer, size = [], 0
+            nonlocal held, size, nth
+            if held:
+                value, edge = separator.join(held), edge or nth > 0
+                out.append((*key, part, nth, value if edge else finished(value), edge))
+                held, size, nth = [], 0, nth + 1
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = batch.column(PART)[0].as_py()
-            groups = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            like, part = batch.schema, batch.column(PART)[0].as_py()
+            groups = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
             for own, value in zip(groups, batch.column(text).to_pylist(), strict=True):
                 if own != key:
                     if key is not None:
-                        put(at_edge)
-                        at_edge = False
+                        put(first)
+                        first = False
                     key, nth = own, 0
-                buffer.append(value)
-                size += len(value) + 1
-                if size > STRETCH:
-                    put(True)
-            yield from flushed(out)
+                if value is not None:
+                    held.append(value)
+                    size += len(value) + 1
+                    if size > STRETCH:
+                        put(True)
+            if out:
+                yield batch_of(out, types, names, like)
+                out.clear()
         if key is not None:
             put(True)
-        yield from flushed(out)
-
-    def flushed(out: list[tuple]) -> Iterator[pa.RecordBatch]:
         if out:
-            columns = list(zip(*out, strict=True))
-            out.clear()
-            names = [*keys, "part", "nth", "value", "edge"]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) if any(x is not None for x in c) else pa.nulls(len(c), pa.int64()) for c in columns[: len(keys)]), pa.array(columns[-4], pa.int32()), pa.array(columns[-3], pa.int32()), pa.array(columns[-2], pa.string()), pa.array(columns[-1], pa.bool_())], names=names)
+            yield batch_of(out, types, names, like)
 
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, digest = None, None
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, one, like = None, None, None
+        types, names = [*[None] * len(keys), pa.string()], [*keys, name]
         for batch in batches:
-            done: list[tuple] = []
-            groups = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            like, done = batch.schema, []
+            groups = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
             for own, value in zip(groups, batch.column("value").to_pylist(), strict=True):
                 if own != key:
-                    if digest is not None:
-                        done.append((*key, digest.hexdigest()))
-                    key, digest = own, hashlib.sha256()
+                    if one is not None:
+                        done.append((*key, one.done()))
+                    key, one = own, finish()
                 else:
-                    digest.update(separator.encode())
-                digest.update(value.encode())
+                    one.add(separator)
+                one.add(value)
             if done:
-                yield table(done)
-        if digest is not None:
-            yield table([(*key, digest.hexdigest())])
-
-    def table(rows_: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows_, strict=True))
-        return pa.RecordBatch.from_arrays([*(pa.array(c) if any(x is not None for x in c) else pa.nulls(len(c), pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.string())], names=[*keys, name])
+                yield batch_of(done, types, names, like)
+        if one is not None:
+            yield batch_of([(*key, one.done())], types, names, like)
 
-    found = sorted_rows.mapInArrow(stretches, f"{kinds}, part int, nth int, value string, edge boolean")
+    found = rows.select(*keys, text, PART).mapInArrow(stretches, f"{declared}, part int, nth int, value string, edge boolean")
     whole = found.filter("not edge").select(*keys, F.col("value").alias(name))
     edges = found.filter("edge").repartition(*keys).sortWithinPartitions(*keys, "part", "nth").select(*keys, "value")
-    return whole.unionByName(edges.mapInArrow(digested, f"{kinds}, `{name}` string"))
+    return whole.unionByName(edges.mapInArrow(streamed, f"{declared}, `{name}` string"))

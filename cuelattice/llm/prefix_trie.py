@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scans import numbered, ranked, running_sums
+from ..operators.scans import in_order, numbered, ranked, running_sums
 from .common import WORD_SPACE, cut, release
-from .ordered import joined_digests
+from .ordered import joined
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -24,11 +24,12 @@ def rebuilt(conversations: DataFrame, block: int = 20, most: int = 4) -> tuple[D
     """(members, turns): conversations (conv_id) and their turns (conv_id, depth, role, text), some of which begin as another one.
 
     Conversation c takes its first h turns from conversation c - c % block, where h = crc32(c) % most, and then has its own
-    after its first h. Turns are in order of turn (null first); of equal ones, of role and text. Null roles and texts are empty.
+    after its first h. Turns are in order of turn (null first); of equal ones, of role and of the text's SHA-256. Null roles and texts are empty.
     Rows without a conv_id belong to none.
     """
     rows = conversations.filter("conv_id is not null").select("conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
-    rows = cut(numbered(rows, ["conv_id"], ["turn", "role", "text"], "nth").select("conv_id", "nth", "role", "text"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("deal", F.monotonically_increasing_id())
+    rows = cut(numbered(rows, ["conv_id"], ["turn", "role", "digest", "deal"], "nth").select("conv_id", "nth", "role", "text"))
     c = F.col("conv_id")
     members = rows.groupBy("conv_id").agg(F.max("nth").alias("n_turns"))
     members = cut(members.select("conv_id", "n_turns", (F.crc32(c.cast("string").cast("binary")) % most).alias("h"), (c - c % block).alias("source")))
@@ -40,10 +41,6 @@ def rebuilt(conversations: DataFrame, block: int = 20, most: int = 4) -> tuple[D
     return members.select("conv_id"), first.unionByName(own)
 
 
-def _node(prefix: str = "") -> list[Column]:
-    return [F.col(f"{prefix}a"), F.col(f"{prefix}b")]
-
-
 def prefixes(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, depth, words, x, y, a, b, pa, pb): words of each turn, two hashes (x, y) of its place, role and text, their sums up to it (a, b) and ahead of it.
 
@@ -120,6 +117,6 @@ def _assembled(members: DataFrame, steps: DataFrame, whole: DataFrame, children:
     ).filter(F.lit(count) > 0)
     last = steps.groupBy("conv_id").agg(F.max_by(F.struct("a", "b"), "depth").alias("at"))
     stops = members.join(last, "conv_id", "left").select(*[F.coalesce(f"at.{c}", zero).alias(c) for c in "ab"], "conv_id", F.col("conv_id").cast("string").alias("shown"))
-    digests = joined_digests(stops, ["a", "b"], ["conv_id"], "shown", ",", "ends_sha256")
+    digests = joined(in_order(stops, ["a", "b", "conv_id"]), ["a", "b"], "shown", ",", "ends_sha256")
     found = ranked_nodes.unionByName(chains).unionByName(root).join(digests, ["a", "b"], "left")
     return found.select(*shown[2:], "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(EMPTY_SHA256)).alias("ends_sha256"))

@@ -14,6 +14,7 @@ from .lm import lm_scores
 from .packing import pack_documents
 from .prefix_trie import prefix_trie, rebuilt
 from .quality import quality_verdicts
+from .repair import damaged, structure_report
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
@@ -61,6 +62,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return structure_report(conversations, damaged(conversations))
+
+
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations")))
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_conversation_structure_repair": op12_conversation_structure_repair,
     "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
 

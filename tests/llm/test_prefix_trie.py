@@ -18,8 +18,8 @@ def sequences(rows):
     own = {}
     for c, turn, role, text in rows:
         if c is not None:
-            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
-    own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", hashlib.sha256((text or "").encode()).digest(), role or "", text or ""))
+    own = {c: [x[4:] for x in sorted(v)] for c, v in own.items()}
     made = {}
     for c, turns in own.items():
         h = zlib.crc32(str(c).encode()) % 4
