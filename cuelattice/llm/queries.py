@@ -19,6 +19,7 @@ from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 from .token_counts import edited_counts, example_edits
+from .token_files import token_files
 from .toxicity import score_toxicity
 
 
@@ -62,6 +63,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return structure_report(conversations, damaged(conversations))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_id_output": op11_token_id_output,
     "op12_conversation_structure_repair": op12_conversation_structure_repair,
     "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
