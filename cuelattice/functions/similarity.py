@@ -144,25 +144,6 @@ def fuzzy_best(word: pd.Series, candidates: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([best_match(w or "", list(c) if c is not None else []) for w, c in zip(word, candidates, strict=True)], columns=["word", "score"])
 
 
-@F.pandas_udf(_struct(first=INT, last=INT, score=DOUBLE))
-def phrase_search(cue: pd.Series, texts: pd.Series) -> pd.DataFrame:
-    """(first and last text, ratio) of the run of words in consecutive texts that is most like a cue, two words shorter to two longer."""
-    out = []
-    for c, parts in zip(cue, texts, strict=True):
-        own = token_cores(c or "")
-        words = [(k, w) for k, t in enumerate(parts if parts is not None else []) for w in token_cores(t or "")]
-        best = (0, 0, 0.0)
-        if own and words:
-            shortest = max(1, len(own) - 2)
-            for n in range(shortest, max(shortest, min(len(words), len(own) + 2)) + 1):
-                for i in range(len(words) - n + 1):
-                    s = ratio(" ".join(own), " ".join(w for _, w in words[i : i + n]))
-                    if s > best[2]:
-                        best = (words[i][0], words[i + n - 1][0], s)
-        out.append(best)
-    return pd.DataFrame(out, columns=["first", "last", "score"])
-
-
 REPLACEMENT = _struct(**{"from": STRING, "to": STRING, "reason": STRING, "score": DOUBLE})
 CORRECTED = _struct(text=STRING, overlap=DOUBLE, conservative=T.BooleanType(), replacements=T.ArrayType(REPLACEMENT), kept=T.ArrayType(STRING))
 

@@ -2,94 +2,106 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import phrase_search, text_scores
-from ..functions.text import cores, overlap
+from ..functions.text import cores
+from ..functions.windows import Block, phrase_search
 from ..lineage import cut
-from .timeline import nearest_segment, spans
+from .timeline import nearest_segment
 
 #: (seconds between centers, longest span) of the first pass and the later ones.
 FIRST_PASS, LATER_PASSES = (8.0, 3), [(12.0, 4), (18.0, 5), (30.0, 6)]
 WEAK, VERY_WEAK, CLOSE, PHRASE = 0.35, 0.25, 2.0, 0.4
 
-MATCH = "struct<i:int,j:int,token_start:int,token_end:int,score:double,method:string>"
+#: Segments of a block, and cues that meet it in one group.
+BLOCK, CUES = 64, 512
 
 
-def _windows(all_spans: DataFrame) -> DataFrame:
-    return all_spans.select("media_id", "i", "j", "n", F.col("text").alias("window"), F.col("start_s").alias("w0"), F.col("end_s").alias("w1"), F.col("center").alias("wc"))
+def _blocks(segments: DataFrame) -> DataFrame:
+    """Segments by block: BLOCK consecutive ones of a medium and those behind them that spans of the block reach into."""
+    block, at = F.floor(F.col("seg_idx") / BLOCK).cast("long"), F.pmod("seg_idx", F.lit(BLOCK))
+    also = F.array_compact(F.array(block, F.when(at < LATER_PASSES[-1][1] - 1, block - 1)))
+    return segments.select("media_id", F.explode(also).alias("block"), F.col("seg_idx").cast("int").alias("seg_idx"), F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), "text")
 
 
-def _pairs(cues: DataFrame, all_spans: DataFrame, width: float, longest: int) -> DataFrame:
-    """Cues with all spans whose first segment lies in the band, joined by buckets of time; cues that have no segment in it, with all spans of their medium."""
-    s, center = _windows(all_spans.filter(F.col("n") <= longest)), (F.col("start_s") + F.col("end_s")) / 2
-    bucket = lambda c: F.floor(c / width).cast("long")
-    gap = F.abs(F.col("wc") - center)
-    near = cues.filter(F.col("nearest") <= width).withColumn("bucket", F.explode(F.array(*[bucket(center) + k for k in (-1, 0, 1)])))
-    inside = near.join(s.withColumn("bucket", bucket(F.col("wc"))), ["media_id", "bucket"]).drop("bucket").withColumn("gap", gap).filter(F.col("gap") <= width)
-    return inside.unionByName(cues.filter(F.col("nearest") > width).join(s, "media_id").withColumn("gap", gap))
-
-
-def _scored(pairs: DataFrame) -> DataFrame:
-    x = pairs.withColumn("x", text_scores("text", "window"))
-    contiguous = F.col("x.run") / F.greatest(F.lit(1), F.least("x.cue_cores", "x.window_cores"))
-    words = 0.5 * F.col("x.jaccard") + 0.3 * F.col("x.seq") + 0.2 * contiguous
-    time = overlap(F.col("w0"), F.col("w1"), F.col("start_s"), F.col("end_s")) / F.greatest(F.lit(1e-6), F.col("end_s") - F.col("start_s"))
-    return x.withColumn("score", 0.8 * words + 0.2 * time)
-
-
-def _match(method: str) -> Column:
-    run = F.col("x.run") > 0
-    at = F.when(run, F.col("x.run_start")), F.when(run, F.col("x.run_start") + F.col("x.run"))
-    return F.struct("i", "j", at[0].alias("token_start"), at[1].alias("token_end"), "score", F.lit(method).alias("method"))
-
+def _searched(cues: DataFrame, segments: DataFrame, passes: list[tuple[float, int]]) -> DataFrame:
+    """Rows (media_id, cue_idx, p0, p1, ...): for each pass the best span of all whose first segment lies in its band, or null.
 
-def _first_best(condition: Column, method: str) -> Column:
-    """The match of the highest score; of equals the first span, then the shortest."""
-    order = F.struct(-F.col("score"), "i", "n")
-    return F.min_by(F.when(condition, _match(method)), F.when(condition, order))
+    Cues (start_s, end_s, text, nearest, floor) meet blocks of segments, not spans: those that have a segment in the widest
+    band, by buckets of time; a cue that has none in the narrowest meets all blocks of its medium, once each, as the rules
+    let any span be its. What doesn't beat the floor, if there is one, isn't returned. A group is a block and cues of
+    CUES consecutive numbers.
+    """
+    width, narrow = max(w for w, _ in passes), min(w for w, _ in passes)
+    bucket = lambda c: F.floor(c / width).cast("long")
+    middle = (F.col("start_s") + F.col("end_s")) / 2
+    block = F.floor(F.col("seg_idx") / BLOCK).cast("long")
+    met = segments.select("media_id", block.alias("block"), bucket(middle).alias("bucket")).distinct()
+    c = cues.withColumn("chunk", F.floor(F.col("cue_idx") / CUES).cast("long"))
+    near = c.filter(F.col("nearest") <= narrow).withColumn("bucket", F.explode(F.array(*[bucket(middle) + k for k in (-1, 0, 1)])))
+    near = near.join(met, ["media_id", "bucket"]).drop("bucket").dropDuplicates(["media_id", "cue_idx", "block"])
+    far = c.filter(F.col("nearest") > narrow).join(met.select("media_id", "block").distinct(), "media_id")
+    asked = near.unionByName(far)
+    key = ["media_id", "block", "chunk"]
+    held = _blocks(segments).join(asked.select(*key).distinct(), ["media_id", "block"])
+    held = held.select(*[F.col(c).alias(c) for c in held.columns])  # names of its own, as both sides descend from the same tables
+
+    def search(cue_rows: pa.Table, segment_rows: pa.Table) -> pa.Table:
+        s = segment_rows.sort_by("seg_idx")
+        base, first = s.column("seg_idx")[0].as_py(), segment_rows.column("block")[0].as_py() * BLOCK
+        own = int(np.count_nonzero(s.column("seg_idx").to_numpy() < first + BLOCK))
+        found = Block([t or "" for t in s.column("text").to_pylist()], s.column("start_s").to_numpy(), s.column("end_s").to_numpy(), own, max(k for _, k in passes))
+        best: list[list] = [[] for _ in passes]
+        for cue in cue_rows.select(["start_s", "end_s", "text", "nearest", "floor"]).to_pylist():
+            gap = np.abs(found.center - (cue["start_s"] + cue["end_s"]) / 2)
+            masks = [((gap <= w) | (cue["nearest"] > w)) & (found.n <= k) for w, k in passes]
+            for out, x in zip(best, found.search(cue["text"] or "", cue["start_s"], cue["end_s"], masks, cue["floor"]), strict=True):
+                out.append(x and {"i": base + x[0], "j": base + x[1], "token_start": x[2], "token_end": x[3], "score": x[4]})
+        kind = pa.struct([("i", pa.int32()), ("j", pa.int32()), ("token_start", pa.int32()), ("token_end", pa.int32()), ("score", pa.float64())])
+        return pa.table({"media_id": cue_rows.column("media_id"), "cue_idx": cue_rows.column("cue_idx"), **{f"p{p}": pa.array(x, kind) for p, x in enumerate(best)}})
+
+    kinds = {c: cues.schema[c].dataType.simpleString() for c in ("media_id", "cue_idx")}
+    schema = f"media_id {kinds['media_id']}, cue_idx {kinds['cue_idx']}, " + ", ".join(f"p{p} struct<i:int,j:int,token_start:int,token_end:int,score:double>" for p in range(len(passes)))
+    found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(search, schema)
+    order = lambda p: F.struct(-F.col(f"p{p}.score"), F.col(f"p{p}.i"), F.col(f"p{p}.j"))
+    return found.groupBy("media_id", "cue_idx").agg(*[F.min_by(f"p{p}", F.when(F.col(f"p{p}").isNotNull(), order(p))).alias(f"p{p}") for p in range(len(passes))])
 
 
 def best_windows(cues: DataFrame, segments: DataFrame) -> DataFrame:
-    """All columns of cues and match struct<i, j, token_start, token_end, score, method>; media without segments drop out."""
-    near = nearest_segment(cues, segments).select("media_id", "cue_idx", F.col("seg_idx").alias("nearest_idx"), F.col("distance").alias("nearest"))
-    rows = cues.select("media_id", "cue_idx", "start_s", "end_s", "text").join(near, ["media_id", "cue_idx"])
+    """All columns of cues and match struct<i, j, token_start, token_end, score, method>; media without segments drop out.
+
+    Segments are numbered without gaps. The ratio is only worked out for spans whose bound beats the best one so far.
+    """
     key = ["media_id", "cue_idx"]
-    width, longest = FIRST_PASS
-    rows = cut(rows)
-    first = cut(_scored(_pairs(rows, spans(segments, longest), width, longest)).groupBy(*key).agg(_first_best(F.lit(True), "basic").alias("match")))
-    weak = rows.join(first.filter(F.col("match.score") < WEAK), key)
-    # Later passes: score what any of them may ask for once, then go through the passes in order.
-    most = LATER_PASSES[-1]
-    again = _scored(_pairs(weak, spans(segments, most[1]), most[0], most[1]).unionByName(_far_pairs(weak, spans(segments, most[1]))))
-    inside = [((F.col("gap") <= w) | (F.col("nearest") > w)) & (F.col("n") <= k) for w, k in LATER_PASSES]
-    later = again.groupBy(*key).agg(*[_first_best(c, "expanded").alias(f"p{i}") for i, c in enumerate(inside)], F.first("match").alias("match"))
+    near = nearest_segment(cues, segments).select(*key, F.col("seg_idx").alias("nearest_idx"), F.col("distance").alias("nearest"))
+    time = lambda c: F.col(c).cast("double").alias(c)
+    rows = cut(cues.select(*key, time("start_s"), time("end_s"), "text").join(near, key))
+    match = lambda c, method: F.when(F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("i", "j", "token_start", "token_end", "score")], F.lit(method).alias("method")))
+    first = cut(_searched(rows.withColumn("floor", F.lit(None).cast("double")), segments, [FIRST_PASS]).select(*key, match("p0", "basic").alias("match")))
+    weak = rows.join(first.filter(F.col("match.score") < WEAK), key).withColumn("floor", F.col("match.score"))
+    # The later passes are searched at once and then gone through in order; only what beats the first one's score matters.
+    later = _searched(weak.drop("match"), segments, LATER_PASSES).join(first, key)
     best = F.col("match")
-    for i in range(len(LATER_PASSES)):
-        more = F.col(f"p{i}")
+    for p in range(len(LATER_PASSES)):
+        more = match(f"p{p}", "expanded")
         best = F.when((best["score"] < WEAK) & (F.coalesce(more["score"], F.lit(-1.0)) > best["score"]), more).otherwise(best)
     later = later.select(*key, best.alias("better"))
     found = cut(rows.join(first, key).join(later, key, "left").withColumn("match", F.coalesce("better", "match")))
     # Phrase search in the segments around the nearest one, for cues that are still weak though close in time.
     lost = found.filter((F.col("match.score") < VERY_WEAK) & (F.col("nearest") <= CLOSE))
-    around = segments.select("media_id", "seg_idx", F.col("text").alias("t"))
-    around = lost.select(*key, "text", "nearest_idx").join(around, "media_id").filter(F.col("seg_idx").between(F.col("nearest_idx") - 5, F.col("nearest_idx") + 5))
+    around = lost.select(*key, "text", F.explode(F.sequence(F.col("nearest_idx") - 5, F.col("nearest_idx") + 5)).alias("seg_idx"))
+    around = around.join(segments.select("media_id", "seg_idx", F.col("text").alias("t")), ["media_id", "seg_idx"])
     around = around.groupBy(*key, "text").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "t"))).alias("xs"))
     phrase = around.select(*key, F.get("xs", F.lit(0))["seg_idx"].alias("base"), phrase_search("text", F.transform("xs", lambda v: v["t"])).alias("f")).filter(F.col("f.score") >= PHRASE)
     none = F.lit(None).cast("int")
-    phrase = phrase.select(*key, F.struct((F.col("base") + F.col("f.first")).alias("i"), (F.col("base") + F.col("f.last") + 1).alias("j"), none.alias("token_start"), none.alias("token_end"), F.col("f.score").alias("score"), F.lit("fuzzy").alias("method")).alias("phrase"))
+    phrase = phrase.select(*key, F.struct((F.col("base") + F.col("f.first")).cast("int").alias("i"), (F.col("base") + F.col("f.last") + 1).cast("int").alias("j"), none.alias("token_start"), none.alias("token_end"), F.col("f.score").alias("score"), F.lit("fuzzy").alias("method")).alias("phrase"))
     matched = found.join(phrase, key, "left").select(*key, F.coalesce("phrase", "match").alias("match"))
     return cues.join(matched, key)
 
 
-def _far_pairs(weak: DataFrame, all_spans: DataFrame) -> DataFrame:
-    """What a narrow pass falls back to: all spans, for cues whose nearest segment lies outside the first of the later bands."""
-    most = LATER_PASSES[-1]
-    far = weak.filter((F.col("nearest") > LATER_PASSES[0][0]) & (F.col("nearest") <= most[0]))
-    return far.join(_windows(all_spans), "media_id").withColumn("gap", F.abs(F.col("wc") - (F.col("start_s") + F.col("end_s")) / 2)).filter(F.col("gap") > most[0])
-
-
 def refined_times(parts: Column, token_start: Column, token_end: Column) -> Column:
     """struct<start_s, end_s> of the tokens [token_start, token_end) of a span, each segment's time spread over its words.
 

@@ -2,18 +2,20 @@
 
 segments: media_id, seg_idx, start_s, end_s, text. cues: media_id, cue_idx, start_s, end_s, text. Every join has
 media_id and a time bucket as its equality key, and the exact time conditions as residuals; the nearest segment is
-found by one sorted pass. So a medium of many segments never meets all its cues.
+found by one sorted pass in either direction. So a medium of many segments never meets all its cues, and passes that go
+through a medium in order spread it over tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_space, finite, language_code, lines, overlap, srt_time
+from .scans import PART, Scan, carried, in_order, numbered, schema_of
 
 #: Seconds of a bucket of the overlap join, and the buckets from which an interval counts as wide and is joined by its medium.
 OVERLAP_BUCKET, WIDE = 16.0, 64
@@ -31,8 +33,7 @@ def normalized_segments(transcripts: DataFrame, clean=None) -> DataFrame:
     start = finite(F.coalesce("x.start", zero), zero)
     s = s.select("media_id", "pos", start.alias("start_s"), F.coalesce("x.end", zero).alias("end_s"), clean(F.col("x.text")).alias("text"))
     s = _repaired(s).filter((F.col("text") != "") | (F.col("end_s") > F.col("start_s")))
-    nth = F.row_number().over(Window.partitionBy("media_id").orderBy("pos")) - 1
-    return s.select("media_id", nth.cast("int").alias("seg_idx"), "start_s", "end_s", "text")
+    return numbered(s, ["media_id"], ["pos"], "nth").select("media_id", (F.col("nth") - 1).cast("int").alias("seg_idx"), "start_s", "end_s", "text")
 
 
 def _repaired(rows: DataFrame) -> DataFrame:
@@ -73,20 +74,54 @@ def spans(segments: DataFrame, longest: int) -> DataFrame:
     return rows.select("media_id", "i", (F.col("i") + F.col("n")).alias("j"), "n", text.alias("text"), "start_s", F.get(F.col("ahead"), F.col("n") - 1)["end_s"].alias("end_s"), "center")
 
 
+class LastSeen(Scan):
+    """Adds the center and number (seen_c, seen_idx) of the last segment up to each row, or nulls."""
+
+    def zero(self) -> tuple | None:
+        return None
+
+    def add(self, summary: tuple | None, batch: pa.RecordBatch) -> tuple | None:
+        there = np.flatnonzero(batch.column("seg_idx").is_valid())
+        return (batch.column("c")[there[-1]].as_py(), batch.column("seg_idx")[there[-1]].as_py()) if len(there) else summary
+
+    def join(self, left: tuple | None, right: tuple | None) -> tuple | None:
+        return left if right is None else right
+
+    def run(self, carried: tuple | None, batch: pa.RecordBatch, starts: np.ndarray) -> tuple[tuple | None, pa.RecordBatch]:
+        n = batch.num_rows
+        first = np.full(n, -1)
+        first[starts] = starts
+        first = np.maximum.accumulate(first)
+        seen = np.maximum.accumulate(np.where(np.asarray(batch.column("seg_idx").is_valid()), np.arange(n), -1))
+        inside = pa.array(seen, pa.int64(), mask=seen < np.maximum(first, 0))
+        found = [batch.column(c).take(inside) for c in ("c", "seg_idx")]
+        ahead = (first < 0) & (seen < 0)
+        if carried is not None and ahead.any():
+            found = [pc.if_else(pa.array(ahead), pa.scalar(x, f.type), f) for x, f in zip(carried, found, strict=True)]
+        last = tuple(f[n - 1].as_py() for f in found)
+        kept = batch.drop_columns([PART])
+        return None if last[1] is None else last, pa.RecordBatch.from_arrays([*kept.columns, *found], names=[*kept.schema.names, "seen_c", "seen_idx"])
+
+
 def nearest_segment(cues: DataFrame, segments: DataFrame) -> DataFrame:
     """(media_id, cue_idx, seg_idx, distance): the segment whose center is nearest; of equals, the first.
 
-    Cues and the centers of segments are sorted together; the last segment behind a cue and the first ahead of it compete.
+    Cues and the centers of segments are sorted together, once in either direction; the last segment seen is carried along.
     """
-    c = cues.select("media_id", _center(F.col("start_s"), F.col("end_s")).alias("c"), "cue_idx", F.lit(None).cast(segments.schema["seg_idx"].dataType).alias("seg_idx"))
-    s = segments.groupBy("media_id", _center(F.col("start_s"), F.col("end_s")).alias("c")).agg(F.min("seg_idx").alias("seg_idx"))
-    both = c.unionByName(s.select("media_id", "c", F.lit(None).cast(cues.schema["cue_idx"].dataType).alias("cue_idx"), "seg_idx"))
-    seen = F.when(F.col("seg_idx").isNotNull(), F.struct("c", "seg_idx"))
-    # segments ahead of cues of the same center, in either direction
-    order = F.col("seg_idx").isNull()
-    around = both.select("*", F.last(seen, True).over(Window.partitionBy("media_id").orderBy("c", order)).alias("a"), F.last(seen, True).over(Window.partitionBy("media_id").orderBy(F.desc("c"), order)).alias("b"))
-    apart = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col(x)["c"] - F.col("c")).alias("distance"), F.col(x)["seg_idx"].alias("seg_idx")))
-    found = around.filter("cue_idx is not null").select("media_id", "cue_idx", F.least(apart("a"), apart("b")).alias("n")).filter("n is not null")
+    kind = segments.schema["seg_idx"].dataType
+    center = _center(F.col("start_s"), F.col("end_s")).cast("double")
+    c = cues.select("media_id", center.alias("c"), "cue_idx", F.lit(None).cast(kind).alias("seg_idx"))
+    s = segments.groupBy("media_id", center.alias("c")).agg(F.min("seg_idx").alias("seg_idx"))
+    both = c.unionByName(s.select("media_id", "c", F.lit(None).cast(cues.schema["cue_idx"].dataType).alias("cue_idx"), "seg_idx")).withColumn("asks", F.col("seg_idx").isNull())
+
+    def seen(by: str | Column) -> DataFrame:
+        # segments ahead of cues of the same center, in either direction
+        rows = in_order(both, ["media_id", by, "asks", "cue_idx"])
+        found = carried(rows, ["media_id"], LastSeen(), schema_of(rows, f"seen_c double, seen_idx {kind.simpleString()}"), ["c", "seg_idx"])
+        found = found.filter("cue_idx is not null and seen_idx is not null")
+        return found.select("media_id", "cue_idx", F.struct(F.abs(F.col("seen_c") - F.col("c")).alias("distance"), F.col("seen_idx").alias("seg_idx")).alias("n"))
+
+    found = seen("c").unionByName(seen(F.desc("c"))).groupBy("media_id", "cue_idx").agg(F.min("n").alias("n"))
     return found.select("media_id", "cue_idx", "n.seg_idx", "n.distance")
 
 
@@ -133,9 +168,9 @@ def uncovered_runs(segments: DataFrame, used: DataFrame) -> DataFrame:
     """(media_id, i, j, start_s, end_s, text): the longest runs of segments that no used span (media_id, i, j) holds."""
     taken = used.filter("j > i").select("media_id", F.explode(F.sequence(F.col("i"), F.col("j") - 1)).alias("seg_idx")).distinct()
     free = segments.join(taken, ["media_id", "seg_idx"], "left_anti")
-    island = F.col("seg_idx") - F.row_number().over(Window.partitionBy("media_id").orderBy("seg_idx"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("seg_idx", "text")))), lambda x: x["text"]), " ")
-    runs = free.withColumn("island", island).groupBy("media_id", "island")
+    free = numbered(free.select("media_id", "seg_idx", "start_s", "end_s", "text"), ["media_id"], ["seg_idx"], "nth")
+    runs = free.withColumn("island", F.col("seg_idx") - F.col("nth")).groupBy("media_id", "island")
     return runs.agg(F.min("seg_idx").alias("i"), (F.max("seg_idx") + 1).alias("j"), F.min_by("start_s", "seg_idx").alias("start_s"), F.max_by("end_s", "seg_idx").alias("end_s"), text.alias("text")).drop("island")
 
 
@@ -152,46 +187,105 @@ def keep_first(cues: DataFrame) -> DataFrame:
 
 def renumbered(cues: DataFrame) -> DataFrame:
     """Add index: 1, 2, ... in the order of start, end and pos."""
-    return cues.withColumn("index", F.row_number().over(Window.partitionBy("media_id").orderBy("start_s", "end_s", "pos")))
+    return numbered(cues, ["media_id"], ["start_s", "end_s", "pos"], "index").withColumn("index", F.col("index").cast("int"))
+
+
+#: A monotone function of times from 0 on, in pieces (from, slope 0 or 1, constant).
+Pieces = list[tuple[float, int, float]]
+
+
+def value(f: Pieces, x: float) -> float:
+    _, slope, c = next(p for p in reversed(f) if p[0] <= x or p is f[0])
+    return x + c if slope else c
+
+
+def compose(first: Pieces, then: Pieces) -> Pieces:
+    """x -> then(first(x))."""
+    out: Pieces = []
+
+    def put(at: float, slope: int, c: float) -> None:
+        if not out or out[-1][1:] != (slope, c):
+            out.append((at, slope, c))
+
+    for k, (at, slope, c) in enumerate(first):
+        if not slope:
+            put(at, 0, value(then, c))
+            continue
+        end = first[k + 1][0] if k + 1 < len(first) else float("inf")
+        for m, (low, inner, d) in enumerate(then):
+            high = then[m + 1][0] if m + 1 < len(then) else float("inf")
+            begin = max(at, low - c) if m else at
+            if begin < min(end, high - c):
+                put(begin, inner, c + d if inner else d)
+    return out
+
+
+class Constraints(Scan):
+    """Carries the end of the cue put out before. What a cue makes of it is a function in a few pieces, and so is what many make."""
+
+    def __init__(self, least: float, most: float):
+        self.least, self.most = least, most
+
+    def zero(self) -> Pieces:
+        return [(0.0, 1, 0.0)]
+
+    def _of(self, start: float, stop: float, is_locked: bool, end: float | None) -> Pieces:
+        if is_locked:
+            return [(0.0, 0, stop if end is None else min(stop, end))]
+        least, ahead = max(self.least, 1e-3), max(start, 0.0)
+        stretched: Pieces = [(float("-inf"), 1, self.most), (stop - self.most, 0, stop), (stop - least, 1, least)]
+        begun: Pieces = [(0.0, 0, ahead), (ahead, 1, 0.0)] if ahead > 0 else [(0.0, 1, 0.0)]
+        f = compose(begun, stretched)
+        return f if end is None else compose(f, [(float("-inf"), 1, 0.0), (end, 0, end)])
+
+    def add(self, summary: Pieces, batch: pa.RecordBatch) -> Pieces:
+        for row in zip(*(batch.column(x).to_pylist() for x in ("start_s", "end_s", "locked", "media_end")), strict=True):
+            summary = compose(summary, self._of(*row))
+        return summary
+
+    def join(self, left: Pieces, right: Pieces) -> Pieces:
+        return compose(left, right)
+
+    def enter(self, summary: Pieces) -> float:
+        return value(summary, 0.0)
+
+    def run(self, carried: float | None, batch: pa.RecordBatch, starts: np.ndarray) -> tuple[float, pa.RecordBatch]:
+        new = np.zeros(batch.num_rows, bool)
+        new[starts] = True
+        prev, kept, begins, stops = carried, [], [], []
+        columns = (batch.column(x).to_pylist() for x in ("start_s", "end_s", "locked", "media_end"))
+        for k, (first, start, stop, is_locked, end) in enumerate(zip(new.tolist(), *columns, strict=True)):
+            if first:
+                prev = 0.0
+            if not is_locked:
+                start = max(prev, 0.0, start)
+                stop = max(start + 1e-3, stop)
+                stop = start + self.least if stop - start < self.least else start + self.most if stop - start > self.most else stop
+            clamped = end is not None and stop > end
+            final = end if clamped else stop
+            late = end is not None and start >= end
+            prev = end if late else final
+            if not late and not (clamped and (final <= start if is_locked else final - start < 0.001)):
+                kept.append(k)
+                begins.append(start)
+                stops.append(final)
+        some = batch.take(pa.array(kept, pa.int64()))
+        return prev, pa.RecordBatch.from_arrays([some.column("media_id"), pa.array(begins, pa.float64()), pa.array(stops, pa.float64()), *(some.column(x) for x in ("text", "pos", "locked"))], names=["media_id", "start_s", "end_s", "text", "pos", "locked"])
 
 
 def enforce_constraints(cues: DataFrame, least: float = 0.8, most: float = 8.0, ends: DataFrame | None = None, respect_locks: bool = False) -> DataFrame:
     """Durations between least and most seconds and no overlaps, by one pass over the cues of a medium in time order.
 
     cues: media_id, start_s, end_s, text, pos and, for respect_locks, locked. Locked cues keep their times. `ends`
-    (media_id, media_end) clamps; what starts at an end or lasts no time after the clamp goes. The pass depends on the
-    cue put out before: rows come sorted, and all that a task carries along is the end of that one.
+    (media_id, media_end) clamps; what starts at an end or lasts no time after the clamp goes. The pass depends on the end
+    of the cue put out before, so a medium's parts are told theirs by the functions of the parts ahead, and then all run.
     """
     locked = F.coalesce("locked", F.lit(False)) if respect_locks else F.lit(False)
     rows = cues.select("media_id", "start_s", "end_s", "text", F.col("pos").cast("long").alias("pos"), locked.alias("locked"))
     rows = rows.join(ends.select("media_id", "media_end"), "media_id", "left") if ends is not None else rows.withColumn("media_end", F.lit(None).cast("double"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        medium, prev = None, 0.0
-        for batch in batches:
-            kept, starts, stops = [], [], []
-            columns = (batch.column(x).to_pylist() for x in ("media_id", "start_s", "end_s", "locked", "media_end"))
-            for k, (media_id, start, stop, is_locked, end) in enumerate(zip(*columns, strict=True)):
-                if k == 0 and medium is None or media_id != medium:
-                    medium, prev = media_id, 0.0
-                if not is_locked:
-                    start = max(prev, 0.0, start)
-                    stop = max(start + 1e-3, stop)
-                    stop = start + least if stop - start < least else start + most if stop - start > most else stop
-                clamped = end is not None and stop > end
-                final = end if clamped else stop
-                late = end is not None and start >= end
-                prev = end if late else final
-                if not late and not (clamped and (final <= start if is_locked else final - start < 0.001)):
-                    kept.append(k)
-                    starts.append(start)
-                    stops.append(final)
-            some = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([some.column("media_id"), pa.array(starts, pa.float64()), pa.array(stops, pa.float64()), *(some.column(x) for x in ("text", "pos", "locked"))], names=["media_id", "start_s", "end_s", "text", "pos", "locked"])
-
     kind = cues.schema["media_id"].dataType.simpleString()
-    times = rows.withColumns({x: F.col(x).cast("double") for x in ("start_s", "end_s", "media_end")})
-    return times.repartition("media_id").sortWithinPartitions("media_id", "start_s", "end_s", "pos").mapInArrow(run, f"media_id {kind}, start_s double, end_s double, text string, pos long, locked boolean")
+    times = in_order(rows.withColumns({x: F.col(x).cast("double") for x in ("start_s", "end_s", "media_end")}), ["media_id", "start_s", "end_s", "pos"])
+    return carried(times, ["media_id"], Constraints(least, most), f"media_id {kind}, start_s double, end_s double, text string, pos long, locked boolean", ["start_s", "end_s", "locked", "media_end"])
 
 
 def srt_text(cues: DataFrame) -> DataFrame:
