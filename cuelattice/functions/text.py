@@ -119,8 +119,10 @@ def universal_newlines(c: Column) -> Column:
 
 def clean_lines(c: Column) -> Column:
     """Line ends as line feeds, no white space at the end of a line, at most one empty line in a row."""
-    trimmed = F.transform(F.split(universal_newlines(c), "\n", -1), lambda x: F.rtrim(x, F.lit(SPACE_CHARS)))
-    return F.regexp_replace(F.array_join(trimmed, "\n"), "\n{3,}", "\n\n")
+    # A run of white space is only looked at from its start, so long runs inside a line take no more than their length.
+    space = "[" + "".join(f"\\x{{{ord(x):x}}}" for x in SPACE_CHARS if x != "\n") + "]"
+    trimmed = F.regexp_replace(universal_newlines(c), rf"(?<!{space}){space}++(?=\n|\z)", "")
+    return F.regexp_replace(trimmed, "\n{3,}", "\n\n")
 
 
 #: What ends a line for line-wise rewriting, beside the line feed.
@@ -142,9 +144,19 @@ def is_timing(line: Column) -> Column:
     return F.contains(line, F.lit("-->"))
 
 
+def parsed_blocks(c: Column) -> Column:
+    """array<struct<block, parts>>: blocks and their lines."""
+    return F.transform(blocks(c), lambda b: F.struct(b.alias("block"), lines(b).alias("parts")))
+
+
 def two_line_cap(c: Column) -> Column:
     """Captions cut to two lines of text."""
-    cut = F.transform(blocks(c), lambda b: let(lines(b), lambda p: F.when(F.size(p) > 4, F.array_join(F.slice(p, 1, 4), "\n")).otherwise(b)))
+    return let(parsed_blocks(c), capped)
+
+
+def capped(parsed: Column) -> Column:
+    """`two_line_cap` of blocks that are parsed already."""
+    cut = F.transform(parsed, lambda x: F.when(F.size(x["parts"]) > 4, F.array_join(F.slice(x["parts"], 1, 4), "\n")).otherwise(x["block"]))
     return F.concat(F.array_join(cut, "\n\n"), F.lit("\n"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blocks, clean_lines, is_timing, let, lines, strip, two_line_cap
+from ..functions.text import blocks, capped, clean_lines, is_timing, let, lines, parsed_blocks, strip, two_line_cap
 
 
 def _head_ok(parts: Column, least: int) -> Column:
@@ -50,19 +50,29 @@ def timing_rules(cues: DataFrame, least: float | None = None, most: float | None
     return cues.withColumn("rule_breaks", found)
 
 
-def counters(files: DataFrame) -> DataFrame:
-    """n_cues, n_long_lines and up to five findings of each file, as the sync summary has them."""
+def _counted(cues: Column) -> Column:
+    """struct<n_cues, n_long_lines, findings> of the lines of each cue."""
     finding = lambda x: F.concat(F.lit("Long line ("), F.length(x).cast("string"), F.lit(" chars): "), F.substring(x, 1, 60), F.lit("..."))
+    long = F.filter(F.flatten(F.transform(cues, lambda p: F.slice(p, 3, F.greatest(F.size(p), F.lit(1))))), lambda x: (F.length(x) > 42) & (strip(x) != ""))
+    return let(long, lambda x: F.struct(F.size(cues).cast("long").alias("n_cues"), F.size(x).cast("long").alias("n_long_lines"), F.transform(F.slice(x, 1, 5), finding).alias("findings")))
+
+
+def _cues(parsed: Column) -> Column:
+    return F.transform(F.filter(parsed, lambda x: _head_ok(x["parts"], 3)), lambda x: x["parts"])
 
-    def counted(cues: Column) -> Column:
-        long = F.filter(F.flatten(F.transform(cues, _text_lines)), lambda x: F.length(x) > 42)
-        return let(long, lambda x: F.struct(F.size(cues).cast("long").alias("n_cues"), F.size(x).cast("long").alias("n_long_lines"), F.transform(F.slice(x, 1, 5), finding).alias("findings")))
 
-    parts = F.transform(blocks(clean_lines(F.col("content"))), lines)
-    found = files.select(*files.columns, let(F.filter(parts, lambda p: _head_ok(p, 3)), counted).alias("__found"))
+def counters(files: DataFrame) -> DataFrame:
+    """n_cues, n_long_lines and up to five findings of each file, as the sync summary has them."""
+    found = files.select(*files.columns, let(_cues(parsed_blocks(clean_lines(F.col("content")))), _counted).alias("__found"))
     return found.select(*files.columns, "__found.*")
 
 
+def counted_and_corrected(content: Column, enforce: bool = True) -> Column:
+    """struct<n_cues, n_long_lines, findings, corrected>: `counters` and `corrected_content` of a file that is cleaned and parsed once."""
+    with_counts = lambda cleaned, parsed: let(_cues(parsed), lambda cues: let(_counted(cues), lambda c: F.struct(c["n_cues"].alias("n_cues"), c["n_long_lines"].alias("n_long_lines"), c["findings"].alias("findings"), (capped(parsed) if enforce else cleaned).alias("corrected"))))
+    return let(clean_lines(content), lambda cleaned: let(parsed_blocks(cleaned), lambda parsed: with_counts(cleaned, parsed)))
+
+
 def corrected_content(content: Column, enforce: bool = True) -> Column:
     """A file with its lines cleaned and, if asked for, captions cut to two lines."""
     cleaned = clean_lines(content)

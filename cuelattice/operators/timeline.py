@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse_space, finite, language_code, lines, overlap, srt_time
 from .scans import PART, Scan, carried, in_order, numbered, schema_of
 
-#: Seconds of a bucket of the overlap join, and the buckets from which an interval counts as wide and is joined by its medium.
-OVERLAP_BUCKET, WIDE = 16.0, 64
+#: Seconds of the shortest cells of the overlap join.
+OVERLAP_BUCKET = 16.0
 
 
 def _center(start: Column, end: Column) -> Column:
@@ -126,16 +126,39 @@ def nearest_segment(cues: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def _overlapping(cues: DataFrame, segments: DataFrame, unit: float) -> DataFrame:
-    """Pairs of cues and segments (s0, s1) that share time: by buckets, each pair in the first bucket both have; wide ones by medium."""
-    bucket = lambda t: F.floor(t / unit).cast("long")
-    c = cues.withColumn("c_first", bucket(F.col("start_s"))).withColumn("c_last", bucket(F.col("end_s")))
-    s = segments.withColumn("s_first", bucket(F.col("s0"))).withColumn("s_last", bucket(F.col("s1")))
-    wide = lambda x: F.col(f"{x}_last") - F.col(f"{x}_first") >= WIDE
-    dealt = lambda df, x: df.filter(~wide(x) & (F.col(f"{x}_last") >= F.col(f"{x}_first"))).withColumn("bucket", F.explode(F.sequence(f"{x}_first", f"{x}_last")))
-    near = dealt(c, "c").join(dealt(s, "s"), ["media_id", "bucket"]).filter(F.col("bucket") == F.greatest("c_first", "s_first")).drop("bucket")
-    far = c.filter(wide("c")).join(s, "media_id").unionByName(c.filter(~wide("c")).join(s.filter(wide("s")), "media_id"))
+    """Pairs of cues and segments (s0, s1) that share time.
+
+    An interval has a level: cells of unit * 2^level seconds are at least as long as it, so it lies in two of them at most.
+    The shorter of a pair looks up the cells of the longer one's level; a pair meets in the first cell that both have. So
+    no interval, however long, is held against all of its medium, and a row becomes two for each level that is there at most.
+    """
+
+    def leveled(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        length = F.greatest((F.col(b) - F.col(a)) / unit, F.lit(1.0))
+        return rows.filter(F.col(b) > F.col(a)).withColumn(name, F.ceil(F.log2(length)).cast("int"))
+
+    c, s = leveled(cues, "start_s", "end_s", "c_level"), leveled(segments, "s0", "s1", "s_level")
+    levels = {k: sorted(x[0] for x in rows.select(k).distinct().collect()) for k, rows in (("c_level", c), ("s_level", s))}  # a few numbers
+
+    def cells(a: str, b: str, level: Column) -> Column:
+        cell = lambda t: F.floor(F.col(t) / (unit * F.pow(F.lit(2.0), level))).cast("long")
+        return F.sequence(cell(a), cell(b))
+
+    def dealt(rows: DataFrame, a: str, b: str, own: str, wanted: Column) -> DataFrame:
+        """Rows by the cells of each wanted level, with the first of theirs."""
+        spread = rows.withColumn("level", F.explode(wanted)).withColumn("cells", cells(a, b, F.col("level")))
+        return spread.withColumn(f"{own}_first", F.get("cells", F.lit(0))).withColumn("cell", F.explode("cells")).drop("cells")
+
+    def upward(own: str, other: str, equal: bool) -> Column:
+        least = F.col(own) if equal else F.col(own) + 1
+        return F.filter(F.array(*[F.lit(x) for x in levels[other]]).cast("array<int>"), lambda x: x >= least)
+
+    key = ["media_id", "level", "cell"]
+    short_cues = dealt(c, "start_s", "end_s", "c", upward("c_level", "s_level", True)).join(dealt(s, "s0", "s1", "s", F.array("s_level")), key)
+    short_segments = dealt(c, "start_s", "end_s", "c", F.array("c_level")).join(dealt(s, "s0", "s1", "s", upward("s_level", "c_level", False)), key)
+    met = short_cues.unionByName(short_segments).filter(F.col("cell") == F.greatest("c_first", "s_first"))
     shared = overlap(F.col("s0"), F.col("s1"), F.col("start_s"), F.col("end_s")) > 0
-    return near.unionByName(far).filter(shared).drop("c_first", "c_last", "s_first", "s_last")
+    return met.filter(shared).drop("c_first", "s_first", "c_level", "s_level", "level", "cell")
 
 
 def overlapping_text(cues: DataFrame, segments: DataFrame, unit: float = OVERLAP_BUCKET) -> DataFrame:

@@ -16,19 +16,31 @@ SCRIPT_GAP = 0.6
 SAMPLE_CHARS, SAMPLE_CUES = 2000, 10
 
 
+def opening(rows: DataFrame, number: str, most: int) -> DataFrame:
+    """(media_id, text): the first `most` characters of a medium's texts, joined by spaces in the order of a whole number.
+
+    What is kept of consecutive rows is their first characters and least number; two of these merge by being joined and cut
+    again. Rows merge by their number, 256 numbers into one, twice, and then by medium, so no group holds many texts.
+    """
+    part = rows.filter(F.col("text").isNotNull()).select("media_id", F.col(number).cast("long").alias("at"), F.substring("text", 1, most).alias("text"))
+    for width in (1 << 8, 1 << 16, None):
+        key = ["media_id"] if width is None else ["media_id", F.floor(F.col("at") / width).alias("run")]
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+        part = part.groupBy(*key).agg(F.min("at").alias("at"), F.substring(F.array_join(texts, " "), 1, most).alias("text")).select("media_id", "at", "text")
+    return part.select("media_id", "text")
+
+
 def same_language(cues: DataFrame, segments: DataFrame, languages: DataFrame | None = None) -> DataFrame:
     """(media_id, same): false where both name a language and these differ, or where one text is ASCII and the other isn't.
 
     cues may have a language; languages (media_id, language) are those of the transcripts.
     """
-    text = lambda order: F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), " "), 1, SAMPLE_CHARS)
-    ahead = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("media_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    opening = segments.select("media_id", "seg_idx", "text", ahead.alias("ahead")).filter(F.col("ahead") < SAMPLE_CHARS)
-    said = opening.groupBy("media_id").agg(text("seg_idx").alias("said"))
+    said = opening(segments, "seg_idx", SAMPLE_CHARS).withColumnRenamed("text", "said")
     nth = F.row_number().over(Window.partitionBy("media_id").orderBy("cue_idx"))
     shown = cues.withColumn("nth", nth).filter(F.col("nth") <= SAMPLE_CUES)
+    first = F.transform(F.array_sort(F.collect_list(F.struct("cue_idx", "text"))), lambda x: x["text"])
     own = language_code(F.col("language")) if "language" in cues.columns else F.lit(None).cast("string")
-    shown = shown.groupBy("media_id").agg(text("cue_idx").alias("shown"), F.min_by(own, "cue_idx").alias("cue_language"))
+    shown = shown.groupBy("media_id").agg(F.substring(F.array_join(first, " "), 1, SAMPLE_CHARS).alias("shown"), F.min_by(own, "cue_idx").alias("cue_language"))
     both = shown.join(said, "media_id", "left")
     both = both.join(languages.select("media_id", language_code(F.col("language")).alias("language")), "media_id", "left") if languages is not None else both.withColumn("language", F.lit(None).cast("string"))
     share = lambda c: (lambda p: F.when(p["ascii"] + p["other"] > 0, p["ascii"] / (p["ascii"] + p["other"])))(letter_profile(F.coalesce(c, F.lit(""))))
@@ -45,7 +57,7 @@ def correct(cues: DataFrame, segments: DataFrame, languages: DataFrame | None =
     """
     guard = same_language(cues, segments, languages)
     with_speech = segments.select("media_id").distinct()
-    usable = cues.join(guard.filter("same"), "media_id", "left_semi").join(with_speech, "media_id", "left_semi")
+    usable = cut(cues.join(guard.filter("same"), "media_id", "left_semi").join(with_speech, "media_id", "left_semi"))
     matched = span_parts(best_windows(usable, segments), segments)
     fixed = matched.withColumn("meta", corrected("text", "span_text"))
     times = refined_times(F.col("parts"), F.col("match.token_start"), F.col("match.token_end"))

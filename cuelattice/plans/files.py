@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import comma_list, generated_captions, tag_translation, universal_newlines
-from ..operators.quality import corrected_content, counters
+from ..operators.quality import counted_and_corrected
 from ..operators.reposition import repositioned
 from ..sources.files import artifact_name
 
@@ -21,9 +21,9 @@ def quality_check(files: DataFrame, enforce: bool = True, with_video: Column | N
     """
     seen = F.lit(True) if with_video is None else F.coalesce(with_video, F.lit(False))
     own = files.columns
-    found = counters(files.withColumn("content", F.coalesce("content", F.lit(""))))
-    corrected = corrected_content(F.col("content"), enforce)
-    out = found.select(*own, *[F.when(seen, F.col(c)).alias(c) for c in ("n_cues", "n_long_lines", "findings")], corrected.alias("corrected"))
+    found = files.withColumn("content", F.coalesce("content", F.lit("")))
+    found = found.select(*own, counted_and_corrected(F.col("content"), enforce).alias("__found"))
+    out = found.select(*own, *[F.when(seen, F.col(f"__found.{c}")).alias(c) for c in ("n_cues", "n_long_lines", "findings")], F.col("__found.corrected").alias("corrected"))
     return out.withColumn("name", artifact_name(F.col("corrected"), "corrected"))
 
 
