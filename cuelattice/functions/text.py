@@ -119,14 +119,13 @@ def universal_newlines(c: Column) -> Column:
 
 def clean_lines(c: Column) -> Column:
     """Line ends as line feeds, no white space at the end of a line, at most one empty line in a row."""
-    # A run of white space is only looked at from its start, so long runs inside a line take no more than their length.
-    space = "[" + "".join(f"\\x{{{ord(x):x}}}" for x in SPACE_CHARS if x != "\n") + "]"
-    trimmed = F.regexp_replace(universal_newlines(c), rf"(?<!{space}){space}++(?=\n|\z)", "")
-    return F.regexp_replace(trimmed, "\n{3,}", "\n\n")
+    trimmed = F.transform(F.split(universal_newlines(c), "\n", -1), lambda x: F.rtrim(x, F.lit(SPACE_CHARS)))
+    return F.regexp_replace(F.array_join(trimmed, "\n"), "\n{3,}", "\n\n")
 
 
 #: What ends a line for line-wise rewriting, beside the line feed.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+ODD_LINE_END = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def lines(c: Column) -> Column:
@@ -145,8 +144,10 @@ def is_timing(line: Column) -> Column:
 
 
 def parsed_blocks(c: Column) -> Column:
-    """array<struct<block, parts>>: blocks and their lines."""
-    return F.transform(blocks(c), lambda b: F.struct(b.alias("block"), lines(b).alias("parts")))
+    """array<struct<block, parts>>: blocks and their lines. A text without other line ends than line feeds, as most are, is split at these alone."""
+    parsed = lambda split: F.transform(blocks(c), lambda b: F.struct(b.alias("block"), split(b).alias("parts")))
+    plain = lambda b: F.when(b == "", F.array().cast("array<string>")).otherwise(F.split(b, "\n", -1))
+    return F.when(c.rlike(ODD_LINE_END), parsed(lines)).otherwise(parsed(plain))
 
 
 def two_line_cap(c: Column) -> Column:

@@ -16,3 +16,8 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df by those columns over as many tasks as the session has shuffle partitions: for steps that take far longer than moving their rows does, which Spark would else join into few tasks by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

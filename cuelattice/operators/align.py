@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cores
 from ..functions.windows import Block, phrase_search
-from ..lineage import cut
+from ..lineage import cut, spread
 from .timeline import nearest_segment
 
 #: (seconds between centers, longest span) of the first pass and the later ones.
@@ -65,7 +65,7 @@ def _searched(cues: DataFrame, segments: DataFrame, passes: list[tuple[float, in
 
     kinds = {c: cues.schema[c].dataType.simpleString() for c in ("media_id", "cue_idx")}
     schema = f"media_id {kinds['media_id']}, cue_idx {kinds['cue_idx']}, " + ", ".join(f"p{p} struct<i:int,j:int,token_start:int,token_end:int,score:double>" for p in range(len(passes)))
-    found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(search, schema)
+    found = spread(asked, *key).groupBy(*key).cogroup(spread(held, *key).groupBy(*key)).applyInArrow(search, schema)
     order = lambda p: F.struct(-F.col(f"p{p}.score"), F.col(f"p{p}.i"), F.col(f"p{p}.j"))
     return found.groupBy("media_id", "cue_idx").agg(*[F.min_by(f"p{p}", F.when(F.col(f"p{p}").isNotNull(), order(p))).alias(f"p{p}") for p in range(len(passes))])
 
@@ -76,9 +76,10 @@ def best_windows(cues: DataFrame, segments: DataFrame) -> DataFrame:
     Segments are numbered without gaps. The ratio is only worked out for spans whose bound beats the best one so far.
     """
     key = ["media_id", "cue_idx"]
+    segments = cut(segments.select("media_id", "seg_idx", "start_s", "end_s", "text"))
     near = nearest_segment(cues, segments).select(*key, F.col("seg_idx").alias("nearest_idx"), F.col("distance").alias("nearest"))
     time = lambda c: F.col(c).cast("double").alias(c)
-    rows = cut(cues.select(*key, time("start_s"), time("end_s"), "text").join(near, key))
+    rows = cut(cues.select(*key, time("start_s"), time("end_s"), "text").join(near, key))  # cues and segments are read again and again below
     match = lambda c, method: F.when(F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("i", "j", "token_start", "token_end", "score")], F.lit(method).alias("method")))
     first = cut(_searched(rows.withColumn("floor", F.lit(None).cast("double")), segments, [FIRST_PASS]).select(*key, match("p0", "basic").alias("match")))
     weak = rows.join(first.filter(F.col("match.score") < WEAK), key).withColumn("floor", F.col("match.score"))

@@ -32,7 +32,7 @@ def _issues(parts: Column, number: Column, max_chars: int, max_lines: int) -> Co
 
 def validate(files: DataFrame, max_chars: int = 42, max_lines: int = 2) -> DataFrame:
     """All columns of files (content) and issues array<string>, valid boolean. Row by row; nothing is shuffled."""
-    issues = F.flatten(F.transform(blocks(F.col("content")), lambda b, i: let(lines(b), lambda parts: _issues(parts, i + 1, max_chars, max_lines))))
+    issues = F.flatten(F.transform(parsed_blocks(F.col("content")), lambda x, i: _issues(x["parts"], i + 1, max_chars, max_lines)))
     return files.withColumn("issues", issues).withColumn("valid", F.size("issues") == 0)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import SAME_MEANING, corrected, seq_ratio
 from ..functions.text import language_code, letter_profile, normalize_text
-from ..lineage import cut
+from ..lineage import cut, spread
 from ..operators.align import best_windows, refined_times, span_parts
 from ..operators.timeline import enforce_constraints, keep_first, locate_spans, media_end, normalized_cues, normalized_segments, overlapping_text, renumbered, uncovered_runs
 
@@ -59,7 +59,7 @@ def correct(cues: DataFrame, segments: DataFrame, languages: DataFrame | None =
     with_speech = segments.select("media_id").distinct()
     usable = cut(cues.join(guard.filter("same"), "media_id", "left_semi").join(with_speech, "media_id", "left_semi"))
     matched = span_parts(best_windows(usable, segments), segments)
-    fixed = matched.withColumn("meta", corrected("text", "span_text"))
+    fixed = spread(matched, "media_id", "cue_idx").withColumn("meta", corrected("text", "span_text"))
     times = refined_times(F.col("parts"), F.col("match.token_start"), F.col("match.token_end"))
     aligned = fixed.select("media_id", F.col("cue_idx").cast("long").alias("pos"), times.alias("t"), F.col("meta.text").alias("text"), F.lit("aligned").alias("kind"), "meta", F.col("match.i").alias("i"), F.col("match.j").alias("j"))
     aligned = cut(aligned.select("media_id", "pos", "t.start_s", "t.end_s", "text", "kind", "meta", "i", "j"))
