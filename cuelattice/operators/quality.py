@@ -81,12 +81,17 @@ def corrected_content(content: Column, enforce: bool = True) -> Column:
 
 def cue_table(files: DataFrame) -> DataFrame:
     """Extension: the cues of SRT and VTT files (media_id, content) in seconds; blocks without a timing are left out."""
+    b = files.select("media_id", F.posexplode(blocks(F.regexp_replace("content", "\r\n?", "\n"))).alias("cue_idx", "block"))
+    return cues_of_blocks(b)
+
+
+def cues_of_blocks(rows: DataFrame) -> DataFrame:
+    """Cues (all columns but block, start_s, end_s, text) of blocks; those without a timing are left out."""
     time = r"(?:(\d+):)?(\d+):(\d+)[,.](\d{1,3})"
     stamp = rf"{time}\s*-->\s*{time}"
     seconds = lambda line, k: sum((F.coalesce(F.regexp_extract(line, stamp, k + i).try_cast("double"), F.lit(0.0)) * f for i, f in enumerate((3600.0, 60.0, 1.0, 0.001))), F.lit(0.0))
-    b = files.select("media_id", F.posexplode(blocks(F.regexp_replace("content", "\r\n?", "\n"))).alias("cue_idx", "block"))
-    parts = b.withColumn("parts", lines(F.col("block")))
+    parts = rows.withColumn("parts", lines(F.col("block")))
     at = F.when(is_timing(F.get("parts", F.lit(0))), 1).when(is_timing(F.coalesce(F.get("parts", F.lit(1)), F.lit(""))), 2)
     parts = parts.withColumn("at", at).filter("at is not null").withColumn("line", F.get("parts", F.col("at") - 1)).filter(F.col("line").rlike(stamp))
     text = F.array_join(F.slice("parts", F.col("at") + 1, F.size("parts")), "\n")
-    return parts.select("media_id", "cue_idx", seconds(F.col("line"), 1).alias("start_s"), seconds(F.col("line"), 5).alias("end_s"), text.alias("text"))
+    return parts.select(*[c for c in rows.columns if c != "block"], seconds(F.col("line"), 1).alias("start_s"), seconds(F.col("line"), 5).alias("end_s"), text.alias("text"))

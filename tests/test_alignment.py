@@ -1,6 +1,7 @@
 """What rests on the sequence ratio, against plain Python: window search with all its passes, word matching, correction of words."""
 
 import difflib
+import os
 import random
 import unicodedata
 
@@ -232,7 +233,7 @@ def test_repositioning_from_the_command_line(spark, tmp_path):
     assert read_artifact(spark, out, "moved.srt").first().content == "1\n00:00:01,000 --> 00:00:02,000\nNOTE: position=bottom\nHello\n"
     assert read_artifact(spark, out, "other.srt").count() == 0
     reposition_main.main(["--video", "clip.mp4", "--subs", str(tmp_path / "in"), "--processed-dir", str(tmp_path / "out")], spark)
-    names = [x.name for x in spark.read.text(out).select("name").distinct().collect()]
+    names = os.listdir(out)
     assert len(names) == 2 and "moved.srt" in names
 
 

@@ -127,14 +127,3 @@ def test_catalog(spark):
     assert [r.id for r in catalog.orphans(child, "user_id", parent).collect()] == [3]
     catalog.create_catalog(spark, "captions")
     assert spark.table("captions.jobs").columns[:2] == ["id", "user_id"]
-
-
-def test_stream_writes_one_job_per_file(spark, tmp_path):
-    from cuelattice.streaming.ingest import start_quality_stream
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.srt").write_bytes(b"1\r\n0 --> 1\r\nhi \xff\r\n")
-    (tmp_path / "in" / "b.mp4").write_bytes(b"no captions")
-    start_quality_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert [(r.status, r.message, r.content) for r in rows] == [("COMPLETED", "", "1\n0 --> 1\nhi\n")]
