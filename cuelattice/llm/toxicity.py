@@ -1,8 +1,9 @@
 """Toxicity by a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
 Features are the distinct n-grams of a text (bytes, A-Z lower-cased), hashed. A feature counts as its log-count
-ratio between toxic and other labelled texts; logistic regression finds the weights. The classifier is fitted on a
-bounded sample of labelled rows; every text is scored whole.
+ratio between toxic and other labelled texts, shrunk by what chance may have in it: to nothing where so uneven a spread
+over the two is no rarity, little where it is. So how many features count follows from the labels, be they few or many.
+Logistic regression finds the weights. The classifier is fitted on a bounded sample of labelled rows; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ SAMPLE_BYTES = 16 << 20
 SAMPLE_PARTS = 16
 SIZES = (5, 8)
 HASH_BITS = 20
-#: A feature needs so many texts of the sample (fewer where few are toxic).
-LEAST_TEXTS = 15
-STEPS = 100
-L2 = 3e-4
+#: Log-likelihood statistic (of one degree of freedom) up to which a feature's spread counts as chance.
+CHANCE = 10.0
+#: Toxic texts are the fewer; each weighs as much as so many others.
+TOXIC_WEIGHT = 3.0
+STEPS = 150
+L2 = 1e-3
 
 
 @dataclass
@@ -59,8 +62,17 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def evidence(with_it: np.ndarray, without: np.ndarray, positive: int, negative: int) -> np.ndarray:
+    """The log-likelihood statistic of features that so many toxic and other texts have: how far their spread is from chance."""
+    texts, both = positive + negative, with_it + without
+    total = np.zeros(len(with_it))
+    for seen, expected in ((with_it, both * (positive / texts)), (without, both * (negative / texts)), (positive - with_it, (texts - both) * (positive / texts)), (negative - without, (texts - both) * (negative / texts))):
+        total += seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
+    return 2 * total
+
+
 def fit_model(feature: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Model:
-    """Log-count ratios, then logistic regression by full-batch steps. One class alone: its rate everywhere.
+    """Log-count ratios less what chance may have in them, then logistic regression by full-batch steps. One class alone: its rate everywhere.
 
     The features of text i are feature[offsets[i]:offsets[i + 1]]. Steps go through some features at a time, so that
     the memory besides these arrays doesn't grow with the sample.
@@ -79,23 +91,26 @@ def fit_model(feature: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Mo
         with_it += np.bincount(feature[x][hit], minlength=size)
         without += np.bincount(feature[x][~hit], minlength=size)
     ratio = np.log((with_it + 1) / (positive + 2)) - np.log((without + 1) / (texts - positive + 2))
-    used = np.flatnonzero(with_it + without >= min(LEAST_TEXTS, max(1, positive // 10)))
+    strength = evidence(with_it, without, positive, texts - positive)
+    used = np.flatnonzero(strength > CHANCE)
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
     kept = [(row[x][place[feature[x]] >= 0], place[feature[x]][place[feature[x]] >= 0]) for x in parts]
-    scale = ratio[used]
-    w, bias = np.zeros(len(used)), 0.0
+    scale = ratio[used] * (1 - CHANCE / strength[used])
+    weight = np.where(toxic == 1, TOXIC_WEIGHT, 1.0)
+    weight /= weight.sum()
+    w, bias = np.zeros(len(used)), float(np.log(TOXIC_WEIGHT * positive / (texts - positive)))
     mean, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
         z = np.full(texts, bias)
         own = scale * w
         for r, c in kept:
             z += np.bincount(r, own[c], texts)
-        error = logistic(z) - toxic
+        error = weight * (logistic(z) - toxic)
         gradient = np.zeros(len(used))
         for r, c in kept:
             gradient += np.bincount(c, error[r], len(used))
-        gradient = np.append(scale * gradient / texts + L2 * w, error.mean())
+        gradient = np.append(scale * gradient + L2 * w, error.sum())
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient * gradient
         move = 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
