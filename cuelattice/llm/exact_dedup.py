@@ -142,16 +142,16 @@ def exact_dedup(docs: DataFrame, is_new: Column | None = None, digest: Callable[
     doc_id stays; rows with a null doc_id rank below all others (a group of nothing else keeps one of its rows and
     has a null keep_id). Of rows that repeat one doc_id and text, one is kept. An empty table gives no rows.
 
-    is_new tells rows of the incoming batch from those of the snapshot; unless given, the upper half of the
-    range of doc_id is the batch. The result doesn't depend on the split. `digest` exists for tests: texts are
+    is_new tells rows of the incoming batch from those of the snapshot; unless given, about half of them are the
+    batch, by a hash of doc_id, which may be of any type with an order. The result doesn't depend on the split. A long text
+    is held by the task that hashes or compares it. `digest` exists for tests: texts are
     compared byte for byte, so a digest with collisions gives the same result.
     """
     texts = docs.select("doc_id", text_bytes().alias("t")).select("doc_id", "t", digest(F.col("t")).alias("digest"))
     side = F.lit(None).cast("boolean") if is_new is None else is_new
     hashed = cut(docs.select("doc_id", side.alias("new"), text_bytes().alias("t")).select("doc_id", "new", digest(F.col("t")).alias("digest"), sha256(F.col("t")).alias("sha")))
-    low, high, count = hashed.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    middle = F.lit(None if low is None else (low + high) // 2).cast("long")
-    new = F.coalesce("new", F.col("doc_id") > middle, F.lit(True))
+    count = hashed.count()
+    new = F.coalesce("new", F.xxhash64("doc_id") > 0)
 
     # A row per digest and side. Partial sums meet first, so a hot digest is a few rows by the time it moves.
     sides = hashed.groupBy("digest", new.alias("new")).agg(F.max("doc_id").alias("ref"), F.count(F.lit(1)).alias("n"))

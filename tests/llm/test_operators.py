@@ -244,6 +244,19 @@ def test_exact_dedup(docs, plain, digest):
             assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(by[t]), len(by[t]), r.doc_id == max(by[t]), hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_exact_dedup_of_ids_that_are_texts(spark):
+    rows = [(f"d{i}", f"text {i % 7}") for i in range(40)] + [(None, "text 3"), (None, "alone")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(hashlib.sha256(t.encode()).hexdigest(), []).append(d)
+    assert len(got) == len(rows)
+    for r in got:
+        members = groups[r.text_sha256]
+        assert (r.group_size, r.keep_id) == (len(members), max((m for m in members if m), default=None))
+    assert sum(r.kept for r in got) == len(groups)
+
+
 def test_exact_dedup_keeps_one_of_repeated_rows(odd):
     got = exact_dedup.exact_dedup(odd).collect()
     assert sum(r.kept for r in got) == len({r.text_sha256 for r in got})
