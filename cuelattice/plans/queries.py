@@ -603,6 +603,78 @@ def problematic(spark, d):
     return _cues(spark, d, 1000.0).select("media_id", "cue_idx", plans.problematic(F.col("text"), ref, alike, F.rint((F.col("end_s") - F.col("start_s")) * 1000) / 1000).alias("wrong"))
 
 
+@query("""
+    WITH f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Style: Default,Arial,20,1,2,3,4,5,2,9,10' WHEN 1 THEN 'Style: Default,Alignment=2' END AS style, text FROM documents WHERE doc_id % 5 <> 4),
+    c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '8' ELSE '2' END AS a, style, CASE WHEN style IS NULL THEN '' ELSE '[V4+ Styles]' || chr(10) || style || chr(10) END || '[Events]' || chr(10) || text AS content FROM f),
+    m AS (SELECT doc_id, replace(replace(content, 'Style: Default,Arial,20,1,2,3,4,5,2,9,10', 'Style: Default,Arial,20,1,2,3,4,5,' || a || ',9,10'), 'Style: Default,Alignment=2', 'Style: Default,Alignment=' || a)
+        || CASE WHEN style IS NULL THEN chr(10) || '; NOTE: desired_alignment=' || a || ' (top=8,bottom=2)' ELSE '' END || chr(10) AS moved FROM c)
+    SELECT doc_id || CASE WHEN doc_id % 4 < 2 THEN '.ass' ELSE '.SSA' END AS path, CASE WHEN doc_id % 2 = 0 THEN 'top' ELSE 'bottom' END AS position,
+        'temp_' || substr(sha256(moved), 1, 32) || '_repositioned.' || CASE WHEN doc_id % 4 < 2 THEN 'ass' ELSE 'ssa' END AS name, md5(moved) AS content_md5 FROM m
+""")
+def reposition_styles(spark, d):
+    """Files in styled formats through the dispatch by name, with styles of two kinds and without any."""
+    i = F.col("doc_id")
+    style = F.when(i % 3 == 0, "[V4+ Styles]\nStyle: Default,Arial,20,1,2,3,4,5,2,9,10\n").when(i % 3 == 1, "[V4+ Styles]\nStyle: Default,Alignment=2\n").otherwise("")
+    path = F.concat(i.cast("string"), F.when(i % 4 < 2, ".ass").otherwise(".SSA"))
+    files = _t(spark, d, "documents").filter(i % 5 != 4).select(path.alias("path"), F.when(i % 2 == 0, "clip_bottom.mp4").otherwise("clip_top.mp4").alias("video"), F.concat(style, F.lit("[Events]\n"), "text").alias("content"))
+    return routes.reposition_files(files).select("path", "position", "name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("""
+    SELECT doc_id, md5(trim(regexp_replace('fine No 5 1 kg A ' || text || ' Straße', '\\s+', ' ', 'g'))) AS text_md5 FROM documents
+""")
+def compatible_text(spark, d):
+    """Ligatures, signs, circled and full-width characters become plain ones; the rest of the text stays."""
+    spelled = F.concat(F.lit("\ufb01ne\u3000\u2116 \u2075 \u2460 \u338f \uff21 "), "text", F.lit(" Stra\u00dfe"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(text.normalize_text(spelled).cast("binary")).alias("text_md5"))
+
+
+@query(f"""
+    WITH {SEGMENTS_SQL}, a AS (SELECT media_id, substr(string_agg(txt, ' ' ORDER BY seg_idx), 1, 2000) AS t FROM segments GROUP BY media_id),
+    b AS (SELECT media_id, substr(string_agg(txt, ' ' ORDER BY cue_idx), 1, 2000) AS t FROM (SELECT * FROM cues QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY cue_idx) <= 10) GROUP BY media_id),
+    r AS (SELECT media_id, len(regexp_extract_all(a.t, '[A-Za-z0-9]')) AS x, len(regexp_extract_all(a.t, '[\\p{{L}}\\p{{Nd}}]')) AS y, len(regexp_extract_all(b.t, '[A-Za-z0-9]')) AS u, len(regexp_extract_all(b.t, '[\\p{{L}}\\p{{Nd}}]')) AS v FROM a JOIN b USING (media_id)),
+    c AS (SELECT media_id, CASE media_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN NULL ELSE 'en' END AS said, CASE media_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN NULL ELSE 'fr' END AS shown FROM r)
+    SELECT media_id, coalesce(said = shown, true) AND (y = 0 OR v = 0 OR abs(x / y - u / v) <= 0.6) AS same FROM r JOIN c USING (media_id)
+""")
+def language_codes(spark, d):
+    """The guard where transcripts, captions, both or neither name a language, in any case and with blanks."""
+    m = F.col("media_id")
+    cues = _cues(spark, d).withColumn("language", F.when(m % 3 == 0, " EN").when(m % 3 == 1, " ").otherwise("Fr"))
+    languages = _t(spark, d, "conversations").select(F.col("conv_id").alias("media_id")).distinct().withColumn("language", F.when(m % 4 == 0, "en").when(m % 4 == 1, "FR ").when(m % 4 == 3, "EN"))
+    return plans.same_language(cues, _segments(spark, d), languages)
+
+
+@query("""
+    WITH p AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)
+    SELECT conv_id, turn, md5(CASE WHEN (turn * 7 + conv_id) % 20 / 100.0 + 0.76 >= 0.86 THEN a ELSE b END) AS picked_md5 FROM p WHERE b IS NOT NULL
+""")
+def audio_pick_without_sound(spark, d):
+    """Without sound the similarity decides, which here follows from the turn."""
+    rows = _t(spark, d, "conversations").withColumn("b", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("b is not null")
+    alike = ((F.col("turn") * 7 + F.col("conv_id")) % 20 + 76) / 100
+    return rows.select("conv_id", "turn", F.md5(plans.audio_pick(F.col("text"), F.col("b"), F.lit(False), alike).cast("binary")).alias("picked_md5"))
+
+
+@query(f"""
+    WITH {SEGMENTS_SQL}, n AS (SELECT media_id, seg_idx, st, en, len(list_filter(list_transform(string_split_regex(txt, '\\s+'), lambda v: regexp_extract(v, '^([^\\p{{L}}\\p{{N}}]*)(.*?)([^\\p{{L}}\\p{{N}}]*)$', 2)), lambda v: v <> '')) AS n FROM segments),
+    w AS (SELECT media_id, seg_idx, st, en, n, unnest(range(n)) AS k FROM n),
+    p AS (SELECT a.media_id, a.seg_idx AS i, w.st, w.en, w.n, w.k, row_number() OVER (PARTITION BY a.media_id, a.seg_idx ORDER BY w.seg_idx, w.k) - 1 AS nth, count(*) OVER (PARTITION BY a.media_id, a.seg_idx) AS size FROM n a JOIN w ON w.media_id = a.media_id AND w.seg_idx BETWEEN a.seg_idx AND a.seg_idx + 2),
+    s AS (SELECT a.media_id, a.seg_idx AS i, min(b.st) AS lo, max_by(b.en, b.seg_idx) AS hi FROM n a JOIN n b ON b.media_id = a.media_id AND b.seg_idx BETWEEN a.seg_idx AND a.seg_idx + 2 GROUP BY 1, 2),
+    f AS (SELECT media_id, i, max(CASE WHEN nth = least(size - 1, 3) THEN st + k * 1.0 / n * (en - st) END) AS a, max(CASE WHEN nth = least(size - 1, greatest(least(size - 1, 3) + 1, least(size, size - 2)) - 1) THEN st + (k + 1) * 1.0 / n * (en - st) END) AS b FROM p GROUP BY 1, 2)
+    SELECT media_id, i, CAST(round_even(coalesce(least(greatest(a, lo), hi), lo), 0) AS BIGINT) AS start_ms, CAST(round_even(coalesce(least(greatest(b, least(greatest(a, lo), hi) + 1), hi), hi), 0) AS BIGINT) AS end_ms FROM s LEFT JOIN f USING (media_id, i)
+""")
+def retime_spans(spark, d):
+    """Times of the fourth word up to the last but two of spans of up to three segments."""
+    s = _segments(spark, d, 1000.0).withColumn("n", F.size(text.cores(F.col("text"))))
+    part = F.struct("seg_idx", "start_s", "end_s", "n")
+    spread = s.select("media_id", F.explode(F.sequence(F.col("seg_idx") - 2, F.col("seg_idx"))).alias("i"), part.alias("part"))
+    parts = spread.groupBy("media_id", "i").agg(F.array_sort(F.collect_list("part")).alias("parts")).filter("i >= 0")
+    size = F.aggregate("parts", F.lit(0), lambda acc, p: acc + p["n"])
+    t = align.refined_times(F.col("parts"), F.lit(3), size - 2)
+    ms = lambda n: F.rint(F.round(F.col(n) * 1000, 6)).cast("long")
+    return parts.select("media_id", "i", t.alias("t")).select("media_id", "i", ms("t.start_s").alias("start_ms"), ms("t.end_s").alias("end_ms"))
+
+
 # What rests on the sequence ratio has no SQL; tests hold it against plain Python (tests/test_alignment.py).
 
 
@@ -614,10 +686,9 @@ def seq_ratio(spark, d):
 
 @query()
 def fuzzy_best(spark, d):
-    """For every word that users say, the word of the first turn of its conversation that is most like it."""
-    c = _t(spark, d, "conversations")
-    first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
-    rows = c.filter("role = 'user'").join(first, "conv_id").select("conv_id", "turn", F.posexplode(text.tokens(F.col("text"))).alias("nth", "word"), text.tokens(F.col("first")).alias("candidates"))
+    """For every word, the word of the next turn of its conversation that is most like it."""
+    c = _t(spark, d, "conversations").withColumn("b", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("b is not null")
+    rows = c.select("conv_id", "turn", F.posexplode(text.tokens(F.col("text"))).alias("nth", "word"), text.tokens(F.col("b")).alias("candidates"))
     return rows.select("conv_id", "turn", "nth", similarity.fuzzy_best("word", "candidates").alias("b")).select("conv_id", "turn", "nth", F.col("b.word").alias("best"), F.col("b.score").alias("score"))
 
 

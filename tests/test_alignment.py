@@ -152,7 +152,7 @@ def test_window_scores_and_fuzzy_best_queries(spark):
     for x in QUERIES["fuzzy_best"](spark, SF).collect():
         word = rows[x.conv_id, x.turn].split()[x.nth]
         best = ("", 0.0)
-        for c in rows[min(k for k in rows if k[0] == x.conv_id)].split():
+        for c in rows[min(k for k in rows if k[0] == x.conv_id and k[1] > x.turn)].split():
             v = seq(word.lower(), c.lower())
             if v > best[1]:
                 best = (c, v)
