@@ -23,7 +23,7 @@ def clean(text: str | None) -> str:
 
 def ratio(a: str, b: str) -> float:
     """SequenceMatcher's ratio, in this order: it isn't symmetric for long texts."""
-    if not a or not b:
+    if not a or not b or a == b:
         return float(a == b)
     return SequenceMatcher(None, a, b).ratio()
 
@@ -32,7 +32,7 @@ def ratios(pairs: Iterable[tuple[str, str]]) -> dict[tuple[str, str], float]:
     """The ratio of each distinct pair. What a matcher learns of a second text serves all pairs that have it."""
     found, matcher, last = {}, SequenceMatcher(None), None
     for a, b in sorted(set(pairs), key=lambda x: x[1]):
-        if not a or not b:
+        if not a or not b or a == b:
             found[a, b] = float(a == b)
             continue
         if b != last:

@@ -103,7 +103,7 @@ def _with_reference(rows: DataFrame, segments: DataFrame) -> DataFrame:
     """Add ref_text and similarity of rows of `correct`."""
     keyed = rows.withColumnRenamed("pos", "cue_idx")
     ref = overlapping_text(keyed, segments).select("media_id", F.col("cue_idx").alias("pos"), "ref_text")
-    return rows.join(ref, ["media_id", "pos"]).withColumn("similarity", seq_ratio("text", "ref_text"))
+    return spread(rows.join(ref, ["media_id", "pos"]), "media_id", "pos").withColumn("similarity", seq_ratio("text", "ref_text"))
 
 
 def correct_with_audio(cues: DataFrame, segments: DataFrame, languages: DataFrame | None = None, has_audio: bool = False) -> DataFrame:
