@@ -260,6 +260,21 @@ ASKED_BROADCAST = 50_000
 VERIFY_PARTS = 2
 
 
+#: Bits of the sketch of a text, as two columns.
+SKETCH_BITS = 128
+
+
+def _sketch(s: np.ndarray) -> tuple[int, int]:
+    """For each of SKETCH_BITS bins, whether an odd number of a text's shingles fall into it.
+
+    A bin that two texts differ in has a shingle that only one of them has, so the number of such bins is at most that of
+    the shingles that they don't share.
+    """
+    odd = np.bincount(s & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
+    first, second = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    return first, second
+
+
 def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         found = [shingles(x.lower().split(), width) for x in batch.column("t").to_pylist()]
@@ -267,9 +282,9 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
 
 
 def text_rows(base: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Rows (doc_id, text_hash, th, fp, n, keys), one per row of base (doc_id, text_hash, t).
+    """Rows (doc_id, text_hash, th, fp, s1, s2, n, keys), one per row of base (doc_id, text_hash, t).
 
-    th names the word sequence, fp is the SimHash of its n shingles. keys is its prefix: the shingles of a text are put
+    th names the word sequence, fp is the SimHash of its n shingles, s1 and s2 are their sketch. keys is its prefix: the shingles of a text are put
     in an order that is the same for all, frequent ones last, and two texts at the similarity share one of their first
     n - ceil(similarity * n) + 1.
     """
@@ -286,12 +301,13 @@ def text_rows(base: DataFrame, width: int, similarity: float) -> DataFrame:
         sole_cache("simhash", lambda: None)
         known, ranks = ranked.value
         for batch in pieces(batches, limit=PIECE):
-            ths, fps, ns, keys = [], [], [], []
+            ths, fps, sketches, ns, keys = [], [], [], [], []
             for text in batch.column("t").to_pylist():
                 words = text.lower().split()
                 s = shingles(words, width)
                 ths.append(_text_name(words))
                 fps.append(_majority(s.tobytes()))
+                sketches.append(_sketch(s))
                 ns.append(len(s))
                 if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -299,12 +315,12 @@ def text_rows(base: DataFrame, width: int, similarity: float) -> DataFrame:
                 keys.append(s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1])
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(ths, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(keys))],
-                names=["doc_id", "text_hash", "th", "fp", "n", "keys"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(ths, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in zip(*sketches, strict=True)), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(keys))],
+                names=["doc_id", "text_hash", "th", "fp", "s1", "s2", "n", "keys"],
             )
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, text_hash long, th long, fp long, n int, keys array<long>")
+    return base.mapInArrow(run, f"doc_id {kind}, text_hash long, th long, fp long, s1 long, s2 long, n int, keys array<long>")
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
@@ -332,20 +348,22 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
     return each.repartition("key").sortWithinPartitions("key", "n_pos", "th").mapInArrow(shared, "key long, n_pos long, th long, ahead long, ahead2 long, size long")
 
 
-def prefix_pairs(shared: DataFrame, roots: DataFrame, low: int, high: int, similarity: float, block: int) -> DataFrame:
+def prefix_pairs(shared: DataFrame, texts: DataFrame, roots: DataFrame, low: int, high: int, similarity: float, block: int) -> DataFrame:
     """Rows (a, b): texts of one key from `low` to less than `high` places apart that may be similar and have not the same root.
 
     Texts of a key lie in the order of their numbers of shingles. A key of many texts is dealt over tasks, each of which
     takes some of the distances. Two texts that have one of the two keys ahead in common too meet there, if in another round.
+    Two whose sketches (of texts: th, s1, s2) differ in more bins than similar ones have shingles apart aren't put out.
     """
-    of = roots.select(F.col("node").alias("th"), "root")
+    of = texts.select("th", "s1", "s2").join(roots.select(F.col("node").alias("th"), "root"), "th", "left")
     parts = F.greatest(F.lit(1), F.least(F.lit(high - low), F.ceil(F.col("size") / block))).cast("long")
-    rows = shared.filter(F.col("size") > low).join(of, "th", "left").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "n_pos", "th", "ahead", "ahead2", F.coalesce("root", "th").alias("root"), parts.alias("parts"))
+    rows = shared.filter(F.col("size") > low).join(of, "th").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "n_pos", "th", "ahead", "ahead2", F.coalesce("root", "th").alias("root"), parts.alias("parts"), "s1", "s2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part, n_pos, th, ahead, ahead2, root, parts in _keyed(batches, ["key", "part", "n_pos", "th", "ahead", "ahead2", "root", "parts"], 2):
+        for key, part, n_pos, th, ahead, ahead2, root, parts, s1, s2 in _keyed(batches, ["key", "part", "n_pos", "th", "ahead", "ahead2", "root", "parts", "s1", "s2"], 2):
             if not len(key):
                 continue
+            s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
             at, size = _sizes(key, part)
             n, pos = n_pos >> 32, n_pos & _mask(32)
             a, b, held = [], [], 0
@@ -363,6 +381,9 @@ def prefix_pairs(shared: DataFrame, roots: DataFrame, low: int, high: int, simil
                     before |= (x[i] != 0) & ((x[i] == ahead[j]) | (x[i] == ahead2[j]))
                 i, j = i[~before], j[~before]
                 enough = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9
+                i, j = i[enough], j[enough]
+                differ = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
+                enough = differ <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-9
                 a.append(np.minimum(th[i], th[j])[enough])
                 b.append(np.maximum(th[i], th[j])[enough])
                 held += len(a[-1])
@@ -394,9 +415,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, dis
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), text_bytes().alias("t"))
     found = cut(text_rows(base, width, similarity))
-    rows = cut(found.select("doc_id", "text_hash", "th", "fp"))
-    texts = rows.filter(F.col("doc_id").isNotNull()).groupBy("th").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("fp").alias("fp"))
-    texts = cut(texts.select("th", "fp", "least.*"))
+    rows = cut(found.select("doc_id", "text_hash", "th", "fp", "s1", "s2"))
+    texts = rows.filter(F.col("doc_id").isNotNull()).groupBy("th").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), *[F.first(c).alias(c) for c in ("fp", "s1", "s2")])
+    texts = cut(texts.select("th", "fp", "s1", "s2", "least.*"))
     once = found.join(texts.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
     others = cut(rows.join(texts.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash"))
     if others.count() <= ASKED_BROADCAST:  # few repeats: prefixes stay where they are
@@ -442,7 +463,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, dis
     release(spark)
     most, low, high = keys.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0], 1, REACH + 1
     while low < most:
-        more = cut(prefix_pairs(keys, roots, low, high, similarity, block).join(tried, ["a", "b"], "left_anti"))
+        more = cut(prefix_pairs(keys, texts, roots, low, high, similarity, block).join(tried, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             tried = tried.unionByName(more)
             found = verified(more)

@@ -5,6 +5,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from cuelattice.llm import simhash
 
 from .test_operators import components
@@ -89,3 +91,16 @@ def test_groups_of_the_documents_table(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
     empty = min((d for d, s in sets.items() if not s), default=None)
     assert got == {d: find(d) if s else empty for d, s in sets.items()}
+
+
+def test_sketches_bound_what_texts_do_not_share():
+    r = np.random.default_rng(3)
+    for size, change in ((0, 1), (5, 2), (150, 20), (150, 100), (3000, 400)):
+        for _ in range(20):
+            a = np.unique(r.integers(-(2**62), 2**62, size))
+            b = np.unique(np.concatenate([a[r.random(len(a)) > change / (2 * max(1, size))], r.integers(-(2**62), 2**62, change // 2)]))
+            apart = len(np.setxor1d(a, b))
+            differ = sum((x ^ y).bit_count() for x, y in zip(*([v & (2**64 - 1) for v in simhash._sketch(s)] for s in (a, b)), strict=True))
+            assert differ <= apart and (differ - apart) % 2 == 0
+            if size == 150:
+                assert differ > apart / 3
