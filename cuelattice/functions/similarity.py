@@ -89,17 +89,84 @@ def longest_run(cue: list[str], window: list[str]) -> tuple[int, int]:
     return best
 
 
-def best_match(word: str, candidates: list[str], least: float = 0.0) -> tuple[str, float]:
-    """The first of the candidates most like a word, and how much; none if nothing reaches `least`."""
-    found, score, own = "", 0.0, plain(word)
-    for c in candidates:
-        other = plain(c)
-        most = 2 * min(len(own), len(other)) / max(1, len(own) + len(other)) if own and other else 1.0
-        if most > score and most >= least:
-            s = word_ratio(own, other)
-            if s > score:
-                found, score = c, s
-    return found, score
+#: Characters of the longest words whose common subsequences are counted in the bits of one number.
+BITS = 64
+#: Pairs of words that are bounded at once.
+PAIRS = 1 << 18
+
+
+def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of words one after another, and the length of each word."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4"), np.fromiter(map(len, words), np.int64, len(words))
+
+
+def _most_alike(words: list[str], others: list[str]) -> np.ndarray:
+    """Bounds of the ratio of each word (row) with each of the others: what matches is a common subsequence of both.
+
+    The longest common subsequences of all pairs are found at once, a place of the others at a time, by one number a pair
+    whose bits stand for the characters of the word. Of words too long for that only the lengths count.
+    """
+    (text, sizes), (other, lengths) = _coded(words), _coded(others)
+    shared = np.minimum(sizes[:, None], lengths)
+    fit, order = np.flatnonzero(sizes <= BITS), np.argsort(-lengths, kind="stable")
+    letters, places = np.unique(text, return_inverse=True)
+    row = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    held = np.zeros((len(letters) + 1, len(words)), np.uint64)  # the last row is of letters that no word has
+    short = at < BITS
+    np.bitwise_or.at(held, (places[short], row[short]), np.uint64(1) << at[short].astype(np.uint64))
+    held = held[:, fit]
+    found = np.minimum(np.searchsorted(letters, other), max(len(letters) - 1, 0))
+    code = np.where(letters[found] == other, found, len(letters)) if len(letters) else np.zeros(len(other), np.int64)
+    first, left = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    open_ = np.full((len(others), len(fit)), ~np.uint64(0))
+    for p in range(int(left[0]) if len(left) and len(fit) else 0):
+        k = int(np.searchsorted(-left, -p, "left"))
+        v = open_[:k]
+        u = v & held[code[first[:k] + p]]
+        open_[:k] = (v + u) | (v - u)
+    ones = np.where(sizes[fit] == BITS, ~np.uint64(0), (np.uint64(1) << np.minimum(sizes[fit], BITS - 1).astype(np.uint64)) - np.uint64(1))
+    common = np.empty((len(fit), len(others)), np.int64)
+    common[:, order] = np.bitwise_count(~open_ & ones).T
+    shared[fit] = common
+    total = sizes[:, None] + lengths
+    return np.where(total > 0, 2.0 * shared / np.maximum(total, 1), 1.0)
+
+
+def best_matches(words: list[str], candidates: list[str], least: float = 0.0) -> list[tuple[str, float]]:
+    """For each word the first of the candidates most like it, and how much; ("", 0.0) if nothing is alike or reaches `least`.
+
+    The ratio is only worked out where a bound leaves room for it, the highest bounds first.
+    """
+    first: dict[str, int] = {}
+    for i, c in enumerate(candidates):
+        first.setdefault(plain(c), i)
+    others, at = list(first), list(first.values())
+    found: dict[str, tuple[str, float]] = {}
+    own = list(dict.fromkeys(map(plain, words)))
+    step = max(1, PAIRS // max(1, len(others)))
+    for k in range(0, len(own) if others else 0, step):
+        some = own[k : k + step]
+        every = _most_alike(some, others)
+        top = every.argmax(axis=1).tolist()
+        for word, bounds, c in zip(some, every, top, strict=True):
+            best, score = -1, 0.0
+            if bounds[c] >= max(least, 1e-9):
+                s = word_ratio(word, others[c])
+                if s >= least and s > 0.0:
+                    best, score = c, s
+                if s < bounds[c]:  # others may be as much alike, the highest bounds first
+                    worth = np.flatnonzero(bounds >= max(least, score, 1e-9))
+                    worth = worth[np.argsort(-bounds[worth], kind="stable")]
+                    for c, most in zip(worth.tolist(), bounds[worth].tolist(), strict=True):
+                        if most < score:
+                            break
+                        if most > score or c < best:
+                            s = word_ratio(word, others[c])
+                            if s >= least and (s > score or s == score > 0.0 and c < best):
+                                best, score = c, s
+            found[word] = (candidates[at[best]], score) if best >= 0 else ("", 0.0)
+    return [found.get(plain(w), ("", 0.0)) for w in words]
 
 
 def in_style(word: str, style: str) -> str:
@@ -139,9 +206,11 @@ def text_scores(cue: pd.Series, window: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([found[x] for x in pairs], columns=SCORES.names)
 
 
-@F.pandas_udf(_struct(word=STRING, score=DOUBLE))
-def fuzzy_best(word: pd.Series, candidates: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([best_match(w or "", list(c) if c is not None else []) for w, c in zip(word, candidates, strict=True)], columns=["word", "score"])
+@F.pandas_udf(T.ArrayType(_struct(word=STRING, score=DOUBLE)))
+def fuzzy_best(words: pd.Series, candidates: pd.Series) -> pd.Series:
+    """`best_matches` of the words of each row among its candidates."""
+    listed = lambda x: [w or "" for w in x] if x is not None else []
+    return pd.Series([[{"word": w, "score": s} for w, s in best_matches(listed(ws), listed(cs))] for ws, cs in zip(words, candidates, strict=True)], dtype=object)
 
 
 REPLACEMENT = _struct(**{"from": STRING, "to": STRING, "reason": STRING, "score": DOUBLE})
@@ -158,17 +227,19 @@ def correct_words(cue: str, transcript: str) -> tuple[str, float, bool, list[dic
     careful = shared < LOW_OVERLAP
     meanings = {meaning(s) for s in said}
     out, changes, kept, nth = [], [], [], 0
+    split = [token_parts(t) for t in cue.split()]
+    asked = list(dict.fromkeys(core for _, core, _ in split if core and (careful or meaning(core) not in meanings)))
+    nearest = dict(zip(asked, best_matches(asked, said, CAREFUL_TYPO if careful else TYPO), strict=True))
 
     def put(core: str, new: str, reason: str, score: float) -> str:
         new = in_style(new, core)
         changes.append({"from": core, "to": new, "reason": reason, "score": score})
         return new
 
-    for token in cue.split():
-        lead, core, trail = token_parts(token)
+    for token, (lead, core, trail) in zip(cue.split(), split, strict=True):
         if not core or careful:
             word = core
-            near = best_match(core, said, CAREFUL_TYPO) if core and said else ("", 0.0)
+            near = nearest[core] if core and said else ("", 0.0)
             if core and near[1] >= CAREFUL_TYPO:
                 word = put(core, near[0], "fuzzy-conservative", near[1])
             elif not core or said:
@@ -176,7 +247,7 @@ def correct_words(cue: str, transcript: str) -> tuple[str, float, bool, list[dic
             nth = min(nth + 1, len(said))
             out.append(lead + word + trail)
             continue
-        near = ("", 1.0) if meaning(core) in meanings else best_match(core, said, TYPO)
+        near = ("", 1.0) if meaning(core) in meanings else nearest[core]
         if near[1] >= SAME_MEANING or not said:
             if said:
                 kept.append(core)
