@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: White space as the caption tools see it: Unicode's, and the four separator controls.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+#: The same for use in a negated class, without flags.
+SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: The same, one by one, for what trims.
 SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -45,9 +50,28 @@ def collapse_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE + "+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.fillna("").str.normalize("NFKC")
+#: Bytes of text that are normalised at once.
+NFKC_BYTES = 4 << 20
+
+
+def nfkc_parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in NFKC, null ones empty, in consecutive parts of about NFKC_BYTES or one text, so that no more than a part is there as Python strings.
+
+    Arrow's own normalisation leaves what it takes apart uncomposed.
+    """
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + NFKC_BYTES, "right")))
+        yield pa.array([unicodedata.normalize("NFKC", x or "") for x in texts[start:stop].to_pylist()], pa.string())
+        start = stop
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    parts = list(nfkc_parts(texts))
+    return pa.concat_arrays(parts) if len(parts) > 1 else parts[0] if parts else pa.array([], pa.string())
 
 
 def normalize_text(c: Column) -> Column:
@@ -79,6 +103,11 @@ def cores(text: Column) -> Column:
     return F.filter(F.transform(tokens(text), lambda t: F.lower(core_parts(t)["core"])), lambda x: x != "")
 
 
+def n_cores(text: Column) -> Column:
+    """How many cores a text has: words that hold a letter or digit, each found from its first one on."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}][^" + SPACE_CLASS + "]*"))
+
+
 def canonical_word(word: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
     return F.coalesce(F.element_at(table, word), word)
