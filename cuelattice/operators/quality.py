@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blocks, capped, clean_lines, is_timing, let, lines, parsed_blocks, strip, two_line_cap
+from ..functions.text import ODD_LINE_END, blocks, capped, clean_lines, is_timing, let, lines, parsed_blocks, strip, two_line_cap
 
 
 def _head_ok(parts: Column, least: int) -> Column:
@@ -81,17 +81,35 @@ def corrected_content(content: Column, enforce: bool = True) -> Column:
 
 def cue_table(files: DataFrame) -> DataFrame:
     """Extension: the cues of SRT and VTT files (media_id, content) in seconds; blocks without a timing are left out."""
-    b = files.select("media_id", F.posexplode(blocks(F.regexp_replace("content", "\r\n?", "\n"))).alias("cue_idx", "block"))
+    # Outer explodes, here and below: of a plain one Spark tests the array's size too, which works it out once more.
+    b = files.select("media_id", F.posexplode_outer(blocks(F.regexp_replace("content", "\r\n?", "\n"))).alias("cue_idx", "block"))
     return cues_of_blocks(b)
 
 
+def _cue(block: Column) -> Column:
+    """struct<start_s, end_s, text> of a block, or null. Lines are split once, and the timing is matched once."""
+    time = r"(?:\d+:)?\d+:\d+[,.]\d{1,3}"
+    stamp = rf"{time}\s*-->\s*{time}"
+    nothing = F.lit(None).cast("struct<start_s:double,end_s:double,text:string>")
+
+    def seconds(which: Column) -> Column:
+        numbers = lambda x: sum((F.coalesce(F.get(x, F.size(x) - k).try_cast("double"), F.lit(0.0)) * f for k, f in ((4, 3600.0), (3, 60.0), (2, 1.0), (1, 0.001))), F.lit(0.0))
+        return let(F.split(which, "[:,.]", -1), numbers)
+
+    def timed(parts: Column, at: Column) -> Column:
+        text = F.array_join(F.slice(parts, at + 1, F.size(parts)), "\n")
+        both = lambda x: F.when(F.size(x) == 2, F.struct(seconds(F.get(x, F.lit(0))).alias("start_s"), seconds(F.get(x, F.lit(1))).alias("end_s"), text.alias("text"))).otherwise(nothing)
+        return let(F.split(F.regexp_extract(F.get(parts, at - 1), stamp, 0), r"\s*-->\s*", -1), both)
+
+    def found(parts: Column) -> Column:
+        at = F.when(is_timing(F.get(parts, F.lit(0))), 1).when(is_timing(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), 2)
+        return let(at, lambda k: F.when(k.isNotNull(), timed(parts, k)).otherwise(nothing))
+
+    return F.when(is_timing(block), let(F.when(block.rlike(ODD_LINE_END), lines(block)).otherwise(F.split(F.regexp_replace(block, "\n\\z", ""), "\n", -1)), found)).otherwise(nothing)
+
+
 def cues_of_blocks(rows: DataFrame) -> DataFrame:
     """Cues (all columns but block, start_s, end_s, text) of blocks; those without a timing are left out."""
-    time = r"(?:(\d+):)?(\d+):(\d+)[,.](\d{1,3})"
-    stamp = rf"{time}\s*-->\s*{time}"
-    seconds = lambda line, k: sum((F.coalesce(F.regexp_extract(line, stamp, k + i).try_cast("double"), F.lit(0.0)) * f for i, f in enumerate((3600.0, 60.0, 1.0, 0.001))), F.lit(0.0))
-    parts = rows.withColumn("parts", lines(F.col("block")))
-    at = F.when(is_timing(F.get("parts", F.lit(0))), 1).when(is_timing(F.coalesce(F.get("parts", F.lit(1)), F.lit(""))), 2)
-    parts = parts.withColumn("at", at).filter("at is not null").withColumn("line", F.get("parts", F.col("at") - 1)).filter(F.col("line").rlike(stamp))
-    text = F.array_join(F.slice("parts", F.col("at") + 1, F.size("parts")), "\n")
-    return parts.select(*[c for c in rows.columns if c != "block"], seconds(F.col("line"), 1).alias("start_s"), seconds(F.col("line"), 5).alias("end_s"), text.alias("text"))
+    own = [c for c in rows.columns if c != "block"]
+    found = rows.select(*own, F.explode_outer(F.array(_cue(F.col("block")))).alias("__cue")).filter("__cue is not null")
+    return found.select(*own, "__cue.*")

@@ -4,6 +4,7 @@ import unicodedata
 
 import pyarrow as pa
 from cuelattice.functions import text
+from cuelattice.operators import quality
 from cuelattice.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +26,14 @@ def test_nfkc_in_parts(monkeypatch):
 def test_nfkc_goes_by_arrow(spark):
     assert plan_of(QUERIES["compatible_text"](spark, SF)).count("ArrowEvalPython") == 1
     assert text._nfkc.evalType == 250  # a scalar function of Arrow arrays
+
+
+def test_blocks_are_split_once(spark):
+    assert plan_of(QUERIES["cue_table"](spark, SF)).count("\\n\\s*\\n") == 1
+
+
+def test_cues_of_odd_blocks(spark):
+    blocks = ["1\n00:01.5 --> 1:00:02,025 align\na\n\nb\n", "00:00:01,000-->00:00:02,000\rx y", "1\n--> 00:01.0\nz", "a\nb\n00:00:01,000 --> 00:00:02,000", "", None, "2\n99:00:61.007   -->   00:00:00.1"]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "cue_idx int, block string")
+    found = {r["cue_idx"]: (round(r["start_s"], 6), round(r["end_s"], 6), r["text"]) for r in quality.cues_of_blocks(rows).collect()}
+    assert found == {0: (1.005, 3602.025, "a\n\nb"), 1: (1.0, 2.0, "x\ny"), 6: (356461.007, 0.001, "")}
