@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cores
+from ..functions.text import let, n_cores
 from ..functions.windows import Block, phrase_search
 from ..lineage import cut, spread
 from .timeline import nearest_segment
@@ -109,21 +109,35 @@ def refined_times(parts: Column, token_start: Column, token_end: Column) -> Colu
     parts: array<struct<start_s, end_s, n>> of the span's segments, n words each. Without tokens, the span's own times.
     """
     span_start, span_end = F.get(parts, F.lit(0))["start_s"], F.element_at(parts, -1)["end_s"]
-    words = F.flatten(F.transform(F.filter(parts, lambda p: p["n"] > 0), lambda p: F.transform(F.sequence(F.lit(0), p["n"] - 1), lambda k: F.struct(p["start_s"].alias("s"), p["end_s"].alias("e"), p["n"].alias("n"), k.alias("k")))))
-    size = F.size(words)
-    first = F.greatest(F.lit(0), F.least(size - 1, token_start))
-    last = F.greatest(first + 1, F.least(size, token_end)) - 1
+    words = lambda p: F.greatest(F.coalesce(p["n"], F.lit(0)), F.lit(0)).cast("int")
+    size = F.aggregate(parts, F.lit(0), lambda seen, p: seen + words(p))
+
+    def token(nth: Column) -> Column:
+        """struct<seen, s, e, n, k> of the segment of a token, which is its k-th of n."""
+        of = lambda seen, s, e, n, k: F.struct(seen.alias("seen"), s.cast("double").alias("s"), e.cast("double").alias("e"), n.cast("int").alias("n"), k.cast("int").alias("k"))
+        none = F.lit(None)
+        inside = lambda acc, p: (nth >= acc["seen"]) & (nth < acc["seen"] + words(p))
+        step = lambda acc, p: F.when(inside(acc, p), of(acc["seen"] + words(p), p["start_s"], p["end_s"], words(p), nth - acc["seen"])).otherwise(of(acc["seen"] + words(p), acc["s"], acc["e"], acc["n"], acc["k"]))
+        return F.aggregate(parts, of(F.lit(0), none, none, none, none), step)
+
     at = lambda w, k: w["s"] + (k / w["n"]) * F.greatest(F.lit(1e-6), w["e"] - w["s"])
-    a, b = F.get(words, first), F.get(words, F.least(size - 1, last))
-    start = F.least(F.greatest(at(a, a["k"]), span_start), span_end)
-    end = F.least(F.greatest(at(b, b["k"] + 1), start + 1e-3), span_end)
-    whole = token_start.isNull() | (size == 0)
-    return F.struct(F.when(whole, span_start).otherwise(start).alias("start_s"), F.when(whole, span_end).otherwise(end).alias("end_s"))
+
+    def timed(a: Column, b: Column) -> Column:
+        begin = F.least(F.greatest(at(a, a["k"]), span_start), span_end)
+        return let(begin, lambda start: F.struct(start.alias("start_s"), F.least(F.greatest(at(b, b["k"] + 1), start + 1e-3), span_end).alias("end_s")))
+
+    def found(n: Column) -> Column:
+        first = F.greatest(F.lit(0), F.least(n - 1, token_start))
+        last = F.least(n - 1, F.greatest(first + 1, F.least(n, token_end)) - 1)
+        inner = let(token(first), lambda a: let(token(last), lambda b: timed(a, b)))
+        return F.when(token_start.isNull() | (n == 0), F.struct(span_start.cast("double").alias("start_s"), span_end.cast("double").alias("end_s"))).otherwise(inner)
+
+    return let(size, found)
 
 
 def span_parts(matched: DataFrame, segments: DataFrame) -> DataFrame:
     """Add span_text (texts that aren't empty) and parts of match.i to match.j."""
-    s = segments.select("media_id", "seg_idx", F.struct("seg_idx", F.col("start_s"), F.col("end_s"), F.size(cores(F.col("text"))).alias("n"), "text").alias("part"))
+    s = segments.select("media_id", "seg_idx", F.struct("seg_idx", F.col("start_s"), F.col("end_s"), n_cores(F.col("text")).alias("n"), "text").alias("part"))
     key = ["media_id", "cue_idx"]
     inside = matched.select(*key, F.explode(F.sequence(F.col("match.i"), F.col("match.j") - 1)).alias("seg_idx")).join(s, ["media_id", "seg_idx"])
     parts = inside.groupBy(*key).agg(F.array_sort(F.collect_list("part")).alias("parts"))

@@ -3,6 +3,8 @@
 import unicodedata
 
 import pyarrow as pa
+from pyspark.sql import functions as F
+
 from cuelattice.functions import text
 from cuelattice.operators import quality
 from cuelattice.plans.queries import QUERIES
@@ -37,3 +39,15 @@ def test_cues_of_odd_blocks(spark):
     rows = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "cue_idx int, block string")
     found = {r["cue_idx"]: (round(r["start_s"], 6), round(r["end_s"], 6), r["text"]) for r in quality.cues_of_blocks(rows).collect()}
     assert found == {0: (1.005, 3602.025, "a\n\nb"), 1: (1.0, 2.0, "x\ny"), 6: (356461.007, 0.001, "")}
+
+
+def test_tokens_of_spans_are_not_listed(spark):
+    plan = plan_of(QUERIES["retime_spans"](spark, SF))
+    assert "flatten" not in plan
+    assert plan.count("RepartitionByExpression") == 2
+
+
+def test_cores_are_counted(spark):
+    texts = ["", None, " -- a-b, (c)  d1\x1ce. ... 日本\n№ 'tis", "　x y\x85z", "...!a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r["a"] == r["b"] for r in rows.select(text.n_cores(F.col("t")).alias("a"), F.size(text.cores(F.col("t"))).alias("b")).collect())
