@@ -29,8 +29,10 @@ class TokenTree:
         self._plant(*(leaves if leaves is not None else self._leaves(bpe.parts(text) if parts is None else parts)))
 
     def _tokens(self, parts: list[str]) -> np.ndarray:
-        known = self.bpe.learn(parts)
-        return np.fromiter((len(known[x]) for x in parts), np.int64, len(parts)) // 4
+        try:
+            return np.fromiter(map(len, map(self.bpe.chunks.__getitem__, parts)), np.int64, len(parts)) // 4
+        except KeyError:
+            return np.fromiter(map(len, map(self.bpe.learn(parts).__getitem__, parts)), np.int64, len(parts)) // 4
 
     def _leaves(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.text:
@@ -75,6 +77,10 @@ class TokenTree:
 
     def edit(self, start: int, stop: int, replacement: str) -> None:
         """Put `replacement` in place of text[start:stop]; offsets beyond the text are drawn in."""
+        self.count(*self.read(start, stop, replacement))
+
+    def read(self, start: int, stop: int, replacement: str) -> tuple[int, int, list[str]]:
+        """The first part of an edit: the leaves that it changes, from the first to the last, and the chunks that take their place."""
         n = len(self.text)
         start = max(0, min(start, n))
         stop = max(start, min(stop, n))
@@ -86,18 +92,22 @@ class TokenTree:
         # Old leaf ends behind the edit, where they are now.
         last, end = self._find(stop)
         end += int(self.sums[last + self.width, 0])
-        at, parts = begin, []
+        at, parts, behind = begin, [], start + len(replacement)
         for found in self.bpe.words.finditer(self.text, begin):
-            while last + 1 < self.used and end + shift < at:
+            while end + shift < at and last + 1 < self.used:
                 last += 1
                 end += int(self.sums[last + self.width, 0])
-            if at == end + shift and end >= stop and at >= start + len(replacement) and parts:
+            if at == end + shift and end >= stop and at >= behind and parts:
                 break
             parts.append(found.group())
-            at += len(parts[-1])
+            at = found.end()
         else:
             last = self.used - 1
         self.reencoded += len(parts)
+        return first, last, parts
+
+    def count(self, first: int, last: int, parts: list[str]) -> None:
+        """The rest of an edit: tokens of the chunks and the sums above them. It comes ahead of any further edit."""
         sizes = np.stack([np.fromiter(map(len, parts), np.int64, len(parts)), self._tokens(parts)], axis=1)
         fresh = np.add.reduceat(sizes, np.arange(0, len(sizes), LEAF), axis=0) if len(sizes) else np.zeros((0, 2), np.int64)
         if len(fresh) <= last - first + 1:
@@ -130,14 +140,16 @@ def edited_counts(docs: DataFrame, vocabulary: str, edits: Column, with_leaves:
             texts = batch.column("text").to_pylist()
             parts = [bpe.parts(x) if had is None else [] for x, had in zip(texts, leaves, strict=True)]
             bpe.learn(set().union(*parts))
-            out: list[tuple] = []
-            for text, had, own, changes in zip(texts, leaves, parts, batch.column("edits").to_pylist(), strict=True):
-                tree = TokenTree(bpe, text, had, own)
-                before = tree.n_tokens
-                for x in changes or ():
-                    if x is not None:
-                        tree.edit(x["start"] or 0, x["stop"] or 0, x["replacement"] or "")
-                out.append((before, tree.n_tokens, len(tree.text), tree.reencoded, *(tree.leaves() if with_leaves else ())))
+            trees = [TokenTree(bpe, *x) for x in zip(texts, leaves, parts, strict=True)]
+            before = [tree.n_tokens for tree in trees]
+            # The first edits of all documents, then the second ones, and so on, so that their new chunks are encoded together.
+            edits = [[x for x in changes or () if x is not None] for changes in batch.column("edits").to_pylist()]
+            for k in range(max(map(len, edits))):
+                read = [(tree, tree.read(x[k]["start"] or 0, x[k]["stop"] or 0, x[k]["replacement"] or "")) for tree, x in zip(trees, edits, strict=True) if k < len(x)]
+                bpe.learn(set().union(*(x[2] for _, x in read)))
+                for tree, x in read:
+                    tree.count(*x)
+            out = [(n, tree.n_tokens, len(tree.text), tree.reencoded, *(tree.leaves() if with_leaves else ())) for n, tree in zip(before, trees, strict=True)]
             columns = [batch.column("doc_id"), *(pa.array([x[i] for x in out], pa.int64()) for i in range(4))]
             names = ["doc_id", "n_tokens", "n_tokens_after", "n_chars_after", "n_reencoded"]
             if with_leaves:
