@@ -29,6 +29,8 @@ PART_ITEMS = 50_000
 SHRINKS = 0.9
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 1_200_000
+#: What packs so few ids as little-endian unsigned 32-bit integers, by their number.
+PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 class WordTokens:
@@ -50,12 +52,12 @@ class WordTokens:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        new = list(set().union(*split).difference(known))
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             for word, found in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
                 ids = found.ids
-                known[word] = struct.pack(f"<{len(ids)}I", *ids)
+                known[word] = PACKS[len(ids)](*ids) if len(ids) < len(PACKS) else struct.pack(f"<{len(ids)}I", *ids)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 
-from cuelattice.llm import bpe
+from cuelattice.llm import bpe, packing
 from cuelattice.llm.token_counts import TokenTree
 
 
@@ -29,3 +29,12 @@ def test_edits_of_many_texts_are_encoded_together(tables, monkeypatch):
         tree.count(*x)
     assert [(t.n_tokens, t.text, t.reencoded, t.leaves()[1].tolist()) for t in trees] == expected
     assert expected[0][0] == sum(len(x) // 4 for x in one.encode([expected[0][1]]))
+
+
+def test_words_of_few_and_many_ids():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = packing.WordTokens(f.read())
+    text = "plain WORDS " + "zq9" * 60 + " plain"
+    ids = words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.encode([text.encode(), b""]) == [b"".join(i.to_bytes(4, "little") for i in ids), b""]
+    assert max(len(x) for x in words.known.values()) > 4 * len(packing.PACKS)
