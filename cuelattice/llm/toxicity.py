@@ -124,6 +124,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In a task, the features of labelled texts (doc_id, toxic, t)."""
+    sole_cache("toxicity", lambda: None)  # the worker may come from a stage that keeps a vocabulary and its words
+    for batch in pieces(batches):
+        found = [features(x).astype(np.int32) for x in batch.column("t").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "f": pa.array(found, pa.list_(pa.int32()))})
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learn from a sample of the labelled rows that aren't held out, of bounded rows and bytes, in the order of the hashes of their ids.
 
@@ -132,11 +140,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     sample = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # its size is bounded, so it is broadcast
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            found = [features(x).astype(np.int32) for x in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "f": pa.array(found, pa.list_(pa.int32()))})
-
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.struct(F.xxhash64("t").alias("h"), "t")
     found = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(sample), "doc_id").repartition(SAMPLE_PARTS, "doc_id")
@@ -144,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sizes of the bounded sample only
     within = found.select("doc_id", F.octet_length("t").alias("size")).withColumn("so_far", so_far).filter(F.col("so_far") <= sample_bytes).select("doc_id")
     chosen = found.join(F.broadcast(within), "doc_id", "left_semi")
-    rows = chosen.mapInArrow(run, f"doc_id {kind}, toxic int, f array<int>").toArrow()
+    rows = chosen.mapInArrow(sample_features, f"doc_id {kind}, toxic int, f array<int>").toArrow()
     found = rows.column("f").combine_chunks()
     found = found if isinstance(found, pa.ListArray) else pa.concat_arrays(found.chunks or [pa.array([], pa.list_(pa.int32()))])
     first, toxic = np.asarray(found.offsets, np.int64), rows.column("toxic").to_numpy().astype(np.int64)

@@ -1,9 +1,10 @@
 """What Python workers keep and how often they encode: chunks of many documents' edits at once, words of any number of ids, no other operator's cache."""
 
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from cuelattice.llm import bpe, packing
+from cuelattice.llm import bpe, common, packing, toxicity
 from cuelattice.llm.token_counts import TokenTree
 
 
@@ -38,3 +39,11 @@ def test_words_of_few_and_many_ids():
     ids = words.tokenizer.encode(text, add_special_tokens=False).ids
     assert words.encode([text.encode(), b""]) == [b"".join(i.to_bytes(4, "little") for i in ids), b""]
     assert max(len(x) for x in words.known.values()) > 4 * len(packing.PACKS)
+
+
+def test_features_let_go_of_what_other_operators_keep():
+    cleared = []
+    common.sole_cache("packing", lambda: cleared.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "toxic": pa.array([1], pa.int32()), "t": [b"some text"]})
+    assert len(list(toxicity.sample_features(iter([batch])))) == 1
+    assert cleared == [1]
