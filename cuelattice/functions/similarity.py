@@ -18,7 +18,8 @@ SAME_MEANING, TYPO, CAREFUL_TYPO, LOW_OVERLAP = 0.86, 0.72, 0.80, 0.10
 
 
 def clean(text: str | None) -> str:
-    return " ".join(unicodedata.normalize("NFKC", text or "").split())
+    text = text or ""
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).split())
 
 
 def ratio(a: str, b: str) -> float:
@@ -48,31 +49,89 @@ word_ratio = lru_cache(1 << 17)(ratio)
 
 @lru_cache(1 << 17)
 def token_parts(token: str) -> tuple[str, str, str]:
-    inner = [i for i, ch in enumerate(token) if ch.isalnum()]
-    return (token[: inner[0]], token[inner[0] : inner[-1] + 1], token[inner[-1] + 1 :]) if inner else (token, "", "")
+    first, behind = 0, len(token)
+    while first < behind and not token[first].isalnum():
+        first += 1
+    while first < behind and not token[behind - 1].isalnum():
+        behind -= 1
+    return token[:first], token[first:behind], token[behind:]
 
 
 @lru_cache(1 << 17)
 def plain(core: str) -> str:
-    return clean(core).lower()
+    return core.lower() if core.isalnum() and core.isascii() else clean(core).lower()
 
 
+@lru_cache(1 << 17)
 def meaning(core: str) -> str:
     """What two words share if one is taken for the other."""
     core = plain(core)
     return SYNONYMS.get(core, core)
 
 
+#: What ASCII has besides letters and digits.
+MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+
+
+@lru_cache(1 << 17)
+def token_words(token: str) -> tuple[str, str | None, str | None]:
+    """A token, its core and the core's meaning as they are compared; None if it has no core."""
+    if token.isascii():
+        word = token.lower()
+        core = word.strip(MARKS) or None
+        return word, core, SYNONYMS.get(core, core)
+    core = token_parts(token)[1]
+    return plain(token), plain(core) if core else None, meaning(plain(core)) if core else None
+
+
 def token_cores(text: str) -> list[str]:
-    return [plain(c) for c in (token_parts(t)[1] for t in text.split()) if c]
+    return [c for _, c, _ in map(token_words, text.split()) if c is not None]
+
+
+@F.pandas_udf(T.IntegerType())
+def core_counts(texts: pd.Series) -> pd.Series:
+    """How many cores each text has, counted as the search numbers them."""
+    return pd.Series([sum(t.isalnum() or any(map(str.isalnum, t)) for t in (x or "").split()) for x in texts], dtype="int32")
+
+
+#: Pairs of alike words for each word of a cue from which on runs are found by rows of all pairs.
+DENSE = 40
 
 
 def longest_run(cue: list[str], window: list[str]) -> tuple[int, int]:
     """(length, place in the window) of the longest common run; a word found as it is hides its synonyms as starts."""
+    return run_of_meanings(cue, window, list(map(meaning, cue)), list(map(meaning, window)))
+
+
+def run_of_meanings(cue: list[str], window: list[str], of_cue: list[str], of_window: list[str]) -> tuple[int, int]:
+    """`longest_run` of words whose meanings are known."""
     if not cue or not window:
         return 0, -1
+    alike: dict[str, list[int]] = {}
+    same: dict[str, list[int]] = {}
+    wanted = set(of_cue)
+    for j, (w, m) in enumerate(zip(window, of_window, strict=True)):
+        if m in wanted:
+            alike.setdefault(m, []).append(j)
+            same.setdefault(w, []).append(j)
+    met = [alike.get(m, ()) for m in of_cue]
+    if sum(map(len, met)) > DENSE * len(cue):
+        return _longest_dense(cue, window, of_cue, of_window)
+    best, behind = (0, -1), {}
+    for i in range(len(cue) - 1, -1, -1):  # from the last word on, so the first of equal runs is the last one that is found
+        behind = {j: behind.get(j + 1, 0) + 1 for j in met[i]}
+        if behind:
+            starts = same.get(cue[i]) or met[i]
+            place = max(starts, key=behind.__getitem__)
+            if behind[place] >= best[0]:
+                best = (behind[place], place)
+    return best
+
+
+def _longest_dense(cue: list[str], window: list[str], of_cue: list[str], of_window: list[str]) -> tuple[int, int]:
+    """`longest_run` where many words are alike."""
     number: dict[str, int] = {}
-    ids = [np.array([number.setdefault(meaning(w), len(number)) for w in ws]) for ws in (cue, window)]
+    ids = [np.array([number.setdefault(m, len(number)) for m in ms]) for ms in (of_cue, of_window)]
     alike = ids[0][:, None] == ids[1]
     length = np.zeros((len(cue) + 1, len(window) + 1), np.int64)
     for i in range(len(cue) - 1, -1, -1):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,10 @@ SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 #: The same, one by one, for what trims.
 SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
+#: Letters and digits of ASCII, and its other characters but for the zero.
+ASCII_LETTERS = string.ascii_letters + string.digits
+ASCII_OTHERS = "".join(c for c in map(chr, range(1, 128)) if c not in ASCII_LETTERS)
+
 # Words taken for each other when captions are compared.
 SYNONYMS = {
     "yeah": "yes",
@@ -241,8 +246,10 @@ def password_ok(password: Column, again: Column) -> Column:
 
 def letter_profile(text: Column) -> Column:
     """struct<ascii, other>: letters and digits inside and outside ASCII."""
-    letters = F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", "")
-    return let(letters, lambda x: let(F.length(F.regexp_replace(x, "[^A-Za-z0-9]+", "")).cast("long"), lambda n: F.struct(n.alias("ascii"), (F.length(x) - n).cast("long").alias("other"))))
+    # What is ASCII goes by translate, as a pattern would match once or twice a word.
+    rest = F.translate(text, ASCII_LETTERS, "")
+    other = F.length(F.regexp_replace(F.translate(rest, ASCII_OTHERS, ""), r"[^\p{L}\p{Nd}]+", ""))
+    return F.struct((F.length(text) - F.length(rest)).cast("long").alias("ascii"), other.cast("long").alias("other"))
 
 
 def generated_captions(language: Column) -> Column:

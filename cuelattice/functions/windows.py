@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .similarity import clean, longest_run, meaning, plain, token_cores
+from .similarity import clean, run_of_meanings, token_cores, token_words
 
 #: Characters are counted in so many bins; what falls into one bin together only loosens a bound.
 BINS = 64
@@ -22,6 +22,13 @@ def _counts(text: str) -> np.ndarray:
     return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") % BINS, minlength=BINS)
 
 
+def _read(text: str) -> tuple[str, frozenset, list[str], list[str]]:
+    """A text as it is compared: as a whole, its words, and its cores and their meanings in order."""
+    tokens = [token_words(t) for t in text.split()]
+    cores = [t for t in tokens if t[1] is not None]
+    return clean(text), frozenset([t[0] for t in tokens]), [t[1] for t in cores], [t[2] for t in cores]
+
+
 def _summed(rows: np.ndarray, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
     """Sums of rows[first:behind] for many pairs of places."""
     total = np.concatenate([np.zeros_like(rows[:1]), np.cumsum(rows, axis=0)])
@@ -32,25 +39,23 @@ class Block:
     """Spans of up to `longest` consecutive segments that begin at one of the first `own`.
 
     For any cue each span has an upper bound of its score: exact in time, from counts of words and characters in the rest.
-    Words are found by an inverted index of the segments; counts of a span are differences of prefix sums.
+    Meanings are found by an inverted index of the segments; counts of a span are differences of prefix sums.
     """
 
     def __init__(self, texts: list[str], starts: np.ndarray, ends: np.ndarray, own: int, longest: int):
         n = len(texts)
-        self.texts = [clean(t) for t in texts]
-        self.words = [frozenset(plain(w) for w in t.split()) for t in texts]
-        self.cores = [token_cores(t) for t in texts]
+        read = [_read(t) for t in texts]
+        self.texts, self.words, self.cores, self.senses = ([x[k] for x in read] for k in range(4))
         spans = [(i, i + k) for i in range(min(own, n)) for k in range(1, longest + 1) if i + k <= n]
         self.first, self.behind = np.array(spans, np.int64).reshape(-1, 2).T
         self.n = self.behind - self.first
         self.start, self.end, self.center = starts[self.first], ends[self.behind - 1], ((starts + ends) / 2)[self.first]
-        self.index: dict[str, list[int]] = {}
-        self.meanings: dict[str, list[int]] = {}
+        self.meanings: dict[str, tuple[list[int], list[int]]] = {}  # all places of a meaning, and without repeats
         for k in range(n):
-            for w in self.words[k]:
-                self.index.setdefault(w, []).append(k)
-            for m in map(meaning, self.cores[k]):
-                self.meanings.setdefault(m, []).append(k)
+            for m, times in Counter(self.senses[k]).items():
+                every, places = self.meanings.setdefault(m, ([], []))
+                every += [k] * times
+                places.append(k)
         held = np.array([t != "" for t in self.texts], np.int64)
         spaces = np.maximum(self._sum(held) - 1, 0)
         self.length = self._sum(np.array([len(t) for t in self.texts], np.int64)) + spaces
@@ -65,20 +70,22 @@ class Block:
 
     def search(self, cue: str, start: float, end: float, masks: list[np.ndarray], floor: float | None = None) -> list[tuple | None]:
         """For each mask of spans the best (i, j, token_start, token_end, score): of equals the first, then the shortest. None if nothing beats the floor."""
-        text, words, cores = clean(cue), frozenset(plain(w) for w in cue.split()), token_cores(cue)
+        text, words, cores, senses = _read(cue)
         time = np.maximum(0.0, np.minimum(self.end, end) - np.maximum(self.start, start)) / max(1e-6, end - start)
         segments = len(self.texts)
-        shared, in_cue, in_span = (np.zeros(segments, np.int64) for _ in range(3))
-        for w in words & self.index.keys():
-            shared[self.index[w]] += 1
-        for m, times in Counter(map(meaning, cores)).items():
-            places = self.meanings.get(m)
-            if places:
-                np.add.at(in_span, places, 1)
-                in_cue[list(set(places))] += times
-        both = np.minimum(self._sum(shared), np.minimum(len(words), self.n_words))
+        in_cue: list[int] = []
+        n_in_cue: list[int] = []
+        in_span: list[int] = []
+        for m, times in Counter(senses).items():
+            every, places = self.meanings.get(m, ((), ()))
+            in_span += every
+            in_cue += places
+            n_in_cue += [times] * len(places)
+        counted = lambda places, times=None: np.bincount(np.array(places, np.int64), times, segments).astype(np.int64)
+        shared_words, cue_run, span_run = self._sum(np.stack([np.array([len(words & w) for w in self.words], np.int64), counted(in_cue, n_in_cue), counted(in_span)], axis=1)).T
+        both = np.minimum(shared_words, np.minimum(len(words), self.n_words))
         jaccard = both / np.maximum(1, len(words) + self.n_words - both)
-        run = np.minimum(np.minimum(self._sum(in_cue), self._sum(in_span)), len(cores))
+        run = np.minimum(np.minimum(cue_run, span_run), len(cores))
         run = run / np.maximum(1, np.minimum(len(cores), self.n_cores))
         alike = 2 * np.minimum(self.counts, _counts(text)).sum(axis=1) / np.maximum(1, self.length + len(text))
         alike = np.where((self.length == 0) | (not text), (self.length == 0) & (not text), alike)
@@ -92,7 +99,7 @@ class Block:
                 if most[s] < min(best):
                     break
                 continue
-            scored = self._score(s, text, words, cores, float(alike[s]), float(time[s]), min(best[p] for p in wanted))
+            scored = self._score(s, text, words, cores, senses, float(alike[s]), float(time[s]), min(best[p] for p in wanted))
             if scored is None:
                 continue
             score, at, length = scored
@@ -103,13 +110,13 @@ class Block:
         token = lambda at, length: (at, at + length) if length else (None, None)
         return [f and (int(self.first[f[0]]), int(self.behind[f[0]]), *token(*f[1:]), best[p]) for p, f in enumerate(found)]
 
-    def _score(self, s: int, text: str, words: frozenset, cores: list[str], alike: float, time: float, least: float) -> tuple[float, int, int] | None:
+    def _score(self, s: int, text: str, words: frozenset, cores: list[str], senses: list[str], alike: float, time: float, least: float) -> tuple[float, int, int] | None:
         """(score, place and length of the longest run); None if what words and time give leaves it below `least` whatever the ratio."""
         a, b = int(self.first[s]), int(self.behind[s])
         other = frozenset().union(*self.words[a:b])
         jaccard = len(words & other) / len(words | other) if words and other else 0.0
         window = [c for k in range(a, b) for c in self.cores[k]]
-        length, at = longest_run(cores, window)
+        length, at = run_of_meanings(cores, window, senses, [m for k in range(a, b) for m in self.senses[k]])
         run = length / max(1, min(len(cores), len(window)))
         if 0.8 * (0.5 * jaccard + 0.3 * alike + 0.2 * run) + 0.2 * time + SLACK < least:
             return None

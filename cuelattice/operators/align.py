@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, n_cores
+from ..functions.similarity import core_counts
+from ..functions.text import let
 from ..functions.windows import Block, phrase_search
 from ..lineage import cut, spread
 from .timeline import nearest_segment
@@ -33,7 +36,9 @@ def _searched(cues: DataFrame, segments: DataFrame, passes: list[tuple[float, in
     Cues (start_s, end_s, text, nearest, floor) meet blocks of segments, not spans: those that have a segment in the widest
     band, by buckets of time; a cue that has none in the narrowest meets all blocks of its medium, once each, as the rules
     let any span be its. What doesn't beat the floor, if there is one, isn't returned. A group is a block and cues of
-    CUES consecutive numbers.
+    CUES consecutive numbers. Rows are sorted so that each group's segments come ahead of its cues, and a task goes through
+    its rows with one block in memory; most groups are so small that handing them over one by one would take longer than
+    their search.
     """
     width, narrow = max(w for w, _ in passes), min(w for w, _ in passes)
     bucket = lambda c: F.floor(c / width).cast("long")
@@ -49,34 +54,48 @@ def _searched(cues: DataFrame, segments: DataFrame, passes: list[tuple[float, in
     held = _blocks(segments).join(asked.select(*key).distinct(), ["media_id", "block"])
     held = held.select(*[F.col(c).alias(c) for c in held.columns])  # names of its own, as both sides descend from the same tables
 
-    def search(cue_rows: pa.Table, segment_rows: pa.Table) -> pa.Table:
-        s = segment_rows.sort_by("seg_idx")
-        base, first = s.column("seg_idx")[0].as_py(), segment_rows.column("block")[0].as_py() * BLOCK
-        own = int(np.count_nonzero(s.column("seg_idx").to_numpy() < first + BLOCK))
-        found = Block([t or "" for t in s.column("text").to_pylist()], s.column("start_s").to_numpy(), s.column("end_s").to_numpy(), own, max(k for _, k in passes))
-        best: list[list] = [[] for _ in passes]
-        for cue in cue_rows.select(["start_s", "end_s", "text", "nearest", "floor"]).to_pylist():
-            gap = np.abs(found.center - (cue["start_s"] + cue["end_s"]) / 2)
-            masks = [((gap <= w) | (cue["nearest"] > w)) & (found.n <= k) for w, k in passes]
-            for out, x in zip(best, found.search(cue["text"] or "", cue["start_s"], cue["end_s"], masks, cue["floor"]), strict=True):
-                out.append(x and {"i": base + x[0], "j": base + x[1], "token_start": x[2], "token_end": x[3], "score": x[4]})
-        kind = pa.struct([("i", pa.int32()), ("j", pa.int32()), ("token_start", pa.int32()), ("token_end", pa.int32()), ("score", pa.float64())])
-        return pa.table({"media_id": cue_rows.column("media_id"), "cue_idx": cue_rows.column("cue_idx"), **{f"p{p}": pa.array(x, kind) for p, x in enumerate(best)}})
+    kind = pa.struct([("i", pa.int32()), ("j", pa.int32()), ("token_start", pa.int32()), ("token_end", pa.int32()), ("score", pa.float64())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        found, base = None, 0
+        for batch in batches:
+            best: list[list] = [[] for _ in passes]
+            for block, n, start, end, text, nearest, floor in zip(*(batch.column(c).to_pylist() for c in ("block", "seg_idx", "start_s", "end_s", "text", "nearest", "floor")), strict=True):
+                if n is not None:  # a segment, and behind a cue the first one of a group
+                    if found is not None:
+                        held, found = [], None
+                    held.append((n, start, end, text or ""))
+                    continue
+                if found is None:
+                    numbers, starts, ends, texts = zip(*held, strict=True)
+                    base = numbers[0]
+                    own = sum(x < (block + 1) * BLOCK for x in numbers)
+                    found = Block(list(texts), np.array(starts, np.float64), np.array(ends, np.float64), own, max(k for _, k in passes))
+                gap = np.abs(found.center - (start + end) / 2)
+                masks = [((gap <= w) | (nearest > w)) & (found.n <= k) for w, k in passes]
+                for out, x in zip(best, found.search(text or "", start, end, masks, floor), strict=True):
+                    out.append(x and {"i": base + x[0], "j": base + x[1], "token_start": x[2], "token_end": x[3], "score": x[4]})
+            asking = batch.filter(batch.column("seg_idx").is_null())
+            if asking.num_rows:
+                yield pa.RecordBatch.from_arrays([asking.column("media_id"), asking.column("cue_idx"), *(pa.array(x, kind) for x in best)], names=["media_id", "cue_idx", *(f"p{p}" for p in range(len(passes)))])
 
     kinds = {c: cues.schema[c].dataType.simpleString() for c in ("media_id", "cue_idx")}
     schema = f"media_id {kinds['media_id']}, cue_idx {kinds['cue_idx']}, " + ", ".join(f"p{p} struct<i:int,j:int,token_start:int,token_end:int,score:double>" for p in range(len(passes)))
-    found = spread(asked, *key).groupBy(*key).cogroup(spread(held, *key).groupBy(*key)).applyInArrow(search, schema)
+    both = asked.select(*key, "cue_idx", "start_s", "end_s", "text", "nearest", "floor").unionByName(held.select(*key, "seg_idx", "start_s", "end_s", "text"), allowMissingColumns=True)
+    found = spread(both, *key).sortWithinPartitions(*key, F.col("seg_idx").asc_nulls_last()).mapInArrow(search, schema)
     order = lambda p: F.struct(-F.col(f"p{p}.score"), F.col(f"p{p}.i"), F.col(f"p{p}.j"))
     return found.groupBy("media_id", "cue_idx").agg(*[F.min_by(f"p{p}", F.when(F.col(f"p{p}").isNotNull(), order(p))).alias(f"p{p}") for p in range(len(passes))])
 
 
-def best_windows(cues: DataFrame, segments: DataFrame) -> DataFrame:
+def best_windows(cues: DataFrame, segments: DataFrame, materialised: bool = False) -> DataFrame:
     """All columns of cues and match struct<i, j, token_start, token_end, score, method>; media without segments drop out.
 
     Segments are numbered without gaps. The ratio is only worked out for spans whose bound beats the best one so far.
+    `materialised` tells that the lineage of segments is cut already.
     """
     key = ["media_id", "cue_idx"]
-    segments = cut(segments.select("media_id", "seg_idx", "start_s", "end_s", "text"))
+    segments = segments if materialised else cut(segments.select("media_id", "seg_idx", "start_s", "end_s", "text"))
     near = nearest_segment(cues, segments).select(*key, F.col("seg_idx").alias("nearest_idx"), F.col("distance").alias("nearest"))
     time = lambda c: F.col(c).cast("double").alias(c)
     rows = cut(cues.select(*key, time("start_s"), time("end_s"), "text").join(near, key))  # cues and segments are read again and again below
@@ -137,7 +156,7 @@ def refined_times(parts: Column, token_start: Column, token_end: Column) -> Colu
 
 def span_parts(matched: DataFrame, segments: DataFrame) -> DataFrame:
     """Add span_text (texts that aren't empty) and parts of match.i to match.j."""
-    s = segments.select("media_id", "seg_idx", F.struct("seg_idx", F.col("start_s"), F.col("end_s"), n_cores(F.col("text")).alias("n"), "text").alias("part"))
+    s = segments.withColumn("n", core_counts("text")).select("media_id", "seg_idx", F.struct("seg_idx", F.col("start_s"), F.col("end_s"), F.col("n"), "text").alias("part"))
     key = ["media_id", "cue_idx"]
     inside = matched.select(*key, F.explode(F.sequence(F.col("match.i"), F.col("match.j") - 1)).alias("seg_idx")).join(s, ["media_id", "seg_idx"])
     parts = inside.groupBy(*key).agg(F.array_sort(F.collect_list("part")).alias("parts"))

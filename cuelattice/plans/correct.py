@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import SAME_MEANING, corrected, seq_ratio
-from ..functions.text import language_code, letter_profile, normalize_text
+from ..functions.text import language_code, let, letter_profile, normalize_text
 from ..lineage import cut, spread
 from ..operators.align import best_windows, refined_times, span_parts
 from ..operators.timeline import enforce_constraints, keep_first, locate_spans, media_end, normalized_cues, normalized_segments, overlapping_text, renumbered, uncovered_runs
@@ -43,7 +43,7 @@ def same_language(cues: DataFrame, segments: DataFrame, languages: DataFrame | N
     shown = shown.groupBy("media_id").agg(F.substring(F.array_join(first, " "), 1, SAMPLE_CHARS).alias("shown"), F.min_by(own, "cue_idx").alias("cue_language"))
     both = shown.join(said, "media_id", "left")
     both = both.join(languages.select("media_id", language_code(F.col("language")).alias("language")), "media_id", "left") if languages is not None else both.withColumn("language", F.lit(None).cast("string"))
-    share = lambda c: (lambda p: F.when(p["ascii"] + p["other"] > 0, p["ascii"] / (p["ascii"] + p["other"])))(letter_profile(F.coalesce(c, F.lit(""))))
+    share = lambda c: let(letter_profile(F.coalesce(c, F.lit(""))), lambda p: F.when(p["ascii"] + p["other"] > 0, p["ascii"] / (p["ascii"] + p["other"])))
     named = F.coalesce(F.col("language") != F.col("cue_language"), F.lit(False))
     gap = F.coalesce(F.abs(share(F.col("said")) - share(F.col("shown"))) > SCRIPT_GAP, F.lit(False))
     return both.select("media_id", (~(named | gap)).alias("same"))
@@ -55,11 +55,23 @@ def correct(cues: DataFrame, segments: DataFrame, languages: DataFrame | None =
     kind is aligned, generated or untouched (no transcript, or another language). Times may overlap, as the cues keep
     those of the speech. meta tells what became of each word.
     """
-    guard = same_language(cues, segments, languages)
+    return _correct(cues, _segments(segments), languages)
+
+
+def _segments(segments: DataFrame) -> DataFrame:
+    """What a correction needs of segments, with their lineage cut: its steps read them again and again."""
+    return cut(segments.select("media_id", "seg_idx", "start_s", "end_s", "text"))
+
+
+def _correct(cues: DataFrame, segments: DataFrame, languages: DataFrame | None) -> DataFrame:
+    """`correct` after segments whose lineage is cut."""
+    guard = same_language(cues, segments, languages).filter("same").select("media_id", F.lit(True).alias("usable"))
     with_speech = segments.select("media_id").distinct()
-    usable = cut(cues.join(guard.filter("same"), "media_id", "left_semi").join(with_speech, "media_id", "left_semi"))
-    matched = span_parts(best_windows(usable, segments), segments)
-    fixed = spread(matched, "media_id", "cue_idx").withColumn("meta", corrected("text", "span_text"))
+    asked = cut(cues.join(guard.join(with_speech, "media_id", "left_semi"), "media_id", "left"))
+    usable = asked.filter("usable").drop("usable")
+    matched = span_parts(best_windows(usable, segments, materialised=True), segments)
+    # Keys in another order than the joins have: Spark leaves an exchange out that deals rows as they lie, and joins theirs into few tasks.
+    fixed = spread(matched, "cue_idx", "media_id").withColumn("meta", corrected("text", "span_text"))
     times = refined_times(F.col("parts"), F.col("match.token_start"), F.col("match.token_end"))
     aligned = fixed.select("media_id", F.col("cue_idx").cast("long").alias("pos"), times.alias("t"), F.col("meta.text").alias("text"), F.lit("aligned").alias("kind"), "meta", F.col("match.i").alias("i"), F.col("match.j").alias("j"))
     aligned = cut(aligned.select("media_id", "pos", "t.start_s", "t.end_s", "text", "kind", "meta", "i", "j"))
@@ -69,16 +81,14 @@ def correct(cues: DataFrame, segments: DataFrame, languages: DataFrame | None =
     all_ = keep_first(aligned.drop("i", "j").unionByName(made))
     ends = media_end(segments)
     clamped = all_.join(ends, "media_id").filter("start_s < media_end").withColumn("end_s", F.least("end_s", "media_end")).drop("media_end")
-    rest = cues.join(usable.select("media_id").distinct(), "media_id", "left_anti")
-    rest = rest.select("media_id", F.col("cue_idx").cast("long").alias("pos"), "start_s", "end_s", "text", F.lit("untouched").alias("kind"), F.lit(None).cast(aligned.schema["meta"].dataType).alias("meta"))
+    rest = asked.filter("usable is null").select("media_id", F.col("cue_idx").cast("long").alias("pos"), "start_s", "end_s", "text", F.lit("untouched").alias("kind"), F.lit(None).cast(aligned.schema["meta"].dataType).alias("meta"))
     return clamped.unionByName(rest)
 
 
 def correct_inputs(transcripts: DataFrame, loose_cues: DataFrame) -> DataFrame:
     """`correct` from transcripts (media_id, language, segments) and cues of any time convention, both normalised (NFKC) first."""
-    segments = cut(normalized_segments(transcripts, normalize_text))
     cues = cut(normalized_cues(loose_cues, normalize_text))
-    return correct(cues, segments, transcripts.select("media_id", "language"))
+    return correct(cues, normalized_segments(transcripts, normalize_text), transcripts.select("media_id", "language"))
 
 
 def mean_audio_score(text: Column, embeddings: Column) -> Column:
