@@ -132,7 +132,8 @@ def hybrid(cues: DataFrame, segments: DataFrame, languages: DataFrame | None = N
 
     Cues whose times are those of segments stay locked to them; the others get the least duration and give way.
     """
-    rows = correct(cues, segments, languages)
+    segments = _segments(segments)
+    rows = _correct(cues, segments, languages)
     if has_audio:
         rows = _with_reference(cut(rows), segments)
         wrong = problematic(F.col("text"), F.col("ref_text"), F.col("similarity"), F.col("end_s") - F.col("start_s"))

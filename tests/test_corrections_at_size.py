@@ -107,3 +107,12 @@ def test_costly_steps_keep_their_exchange(spark, monkeypatch):
     aligned = [p for p in plans_of if "corrected(" in p]
     assert aligned and all("REPARTITION_BY_NUM" in p for p in aligned)
     assert sum("conversations" in p for p in plans_of) <= 2  # segments once, cues once
+    assert sum("conversations" in p for p in plans_of) <= 2  # segments once, cues once
+
+
+def test_hybrid_derives_segments_once(spark, monkeypatch):
+    """What the caller's segments rest on is worked out for them and for the cues, and for none of the later steps."""
+    plans_of, real = [], plans.cut
+    monkeypatch.setattr(plans, "cut", lambda df: plans_of.append(plan_of(df)) or real(df))
+    plans_of.append(plan_of(QUERIES["hybrid"](spark, SF)))
+    assert sum("conversations" in p for p in plans_of) <= 2
