@@ -113,12 +113,13 @@ def _with_reference(rows: DataFrame, segments: DataFrame) -> DataFrame:
     """Add ref_text and similarity of rows of `correct`."""
     keyed = rows.withColumnRenamed("pos", "cue_idx")
     ref = overlapping_text(keyed, segments).select("media_id", F.col("cue_idx").alias("pos"), "ref_text")
-    return spread(rows.join(ref, ["media_id", "pos"]), "media_id", "pos").withColumn("similarity", seq_ratio("text", "ref_text"))
+    return spread(rows.join(ref, ["media_id", "pos"]), "pos", "media_id").withColumn("similarity", seq_ratio("text", "ref_text"))
 
 
 def correct_with_audio(cues: DataFrame, segments: DataFrame, languages: DataFrame | None = None, has_audio: bool = False) -> DataFrame:
     """`correct`, and the words of unlike cues decided by sound, or without it by the transcript."""
-    rows = _with_reference(cut(correct(cues, segments, languages)), segments)
+    segments = _segments(segments)
+    rows = _with_reference(cut(_correct(cues, segments, languages)), segments)
     unlike = (F.col("ref_text") != "") & (F.col("similarity") < SAME_MEANING)
     return rows.withColumn("text", F.when(unlike, audio_pick(F.col("text"), F.col("ref_text"), F.lit(has_audio), F.col("similarity"))).otherwise(F.col("text"))).drop("ref_text", "similarity")
 

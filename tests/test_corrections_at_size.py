@@ -101,12 +101,12 @@ def test_costly_steps_keep_their_exchange(spark, monkeypatch):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as at size
     try:
-        QUERIES["correct"](spark, SF)
+        final = plan_of(QUERIES["correct_with_audio"](spark, SF))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     aligned = [p for p in plans_of if "corrected(" in p]
     assert aligned and all("REPARTITION_BY_NUM" in p for p in aligned)
-    assert sum("conversations" in p for p in plans_of) <= 2  # segments once, cues once
+    assert "REPARTITION_BY_NUM" in final and "seq_ratio" in final
     assert sum("conversations" in p for p in plans_of) <= 2  # segments once, cues once
 
 
