@@ -37,8 +37,7 @@ def _searched(cues: DataFrame, segments: DataFrame, passes: list[tuple[float, in
     band, by buckets of time; a cue that has none in the narrowest meets all blocks of its medium, once each, as the rules
     let any span be its. What doesn't beat the floor, if there is one, isn't returned. A group is a block and cues of
     CUES consecutive numbers. Rows are sorted so that each group's segments come ahead of its cues, and a task goes through
-    its rows with one block in memory; most groups are so small that handing them over one by one would take longer than
-    their search.
+    its rows with one block in memory; most groups are so small that handing them over one by one would cost time as well.
     """
     width, narrow = max(w for w, _ in passes), min(w for w, _ in passes)
     bucket = lambda c: F.floor(c / width).cast("long")
