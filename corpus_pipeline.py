@@ -1,7 +1,8 @@
 """A corpus pipeline of operators from cuelattice.llm: each stage works on all that the one before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns the columns of docs, but for the last, which returns packed pieces.
-run() writes what a stage returns into the folder for checkpoints and reads it again as docs of the next.
+run() writes what a stage returns into the folder for checkpoints and reads it again as docs of the next; then what that one
+was given goes, so that two of them are there at a time.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelattice.llm import toxicity
-from cuelattice.llm.common import cut, shared_folder, table, unused
+from cuelattice.llm.common import cut, release, shared_folder, table, unused
 from cuelattice.llm.exact_dedup import exact_dedup
 from cuelattice.llm.packing import pack_documents
 from cuelattice.llm.secrets import redacted
@@ -91,4 +92,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
+        release(spark)
     return docs

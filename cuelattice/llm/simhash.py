@@ -10,7 +10,7 @@ distance of fingerprints is certain, are completed by a join on prefixes of shin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Membership, cut, pieces, release, sole_cache, text_bytes
+from .common import Membership, cut, partitions_for, pieces, release, sole_cache, text_bytes
 from .graph import connected_components
 
 BITS = 64
@@ -256,9 +256,13 @@ REACH = 2
 GROWTH = 8
 #: Texts asked for whose ids are broadcast at most (24 bytes each); more are joined by a shuffle.
 ASKED_BROADCAST = 50_000
-#: Parts of many candidates that are verified one after another.
-VERIFY_PARTS = 2
-
+#: What a step moves at a time: so much of the bytes of all shingles (8 each), or MOVED_LEAST if that is more. A step that would
+#: move more goes in parts, one after another.
+MOVED_SHARE = 0.5
+MOVED_LEAST = 256 << 20
+#: Bytes of a row of prefixes and of a row of pairs' keys as they are moved.
+PREFIX_BYTES = 32
+KEY_BYTES = 100
 
 #: Bits of the sketch of a text, as two columns.
 SKETCH_BITS = 128
@@ -275,6 +279,40 @@ def _sketch(s: np.ndarray) -> tuple[int, int]:
     return first, second
 
 
+def _whole_sketch(s: np.ndarray) -> bytes:
+    """A sketch of as many bins as a text's shingles need, so that texts of any length that share few of them differ in more bins than similar ones may.
+
+    The bins are a power of two, at least two for each three shingles. Halves of a sketch laid upon each other are the sketch of half the bins.
+    """
+    bins = 1 << max(7, (-(-2 * len(s) // 3) - 1).bit_length())
+    return np.packbits((np.bincount(s & (bins - 1), minlength=bins) & 1).astype(np.uint8)).tobytes()
+
+
+def _differing_bins(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The bins that two sketches differ in, the longer one folded to the shorter one's length."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([[len(x) for x in a], [len(x) for x in b]], np.int64)
+    for kind in np.unique(sizes, axis=1).T:
+        at, least = np.flatnonzero((sizes == kind[:, None]).all(axis=0)), int(kind.min())
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join([side[i] for i in at]), np.uint64).reshape(len(at), -1, least // 8), axis=1) for side in (a, b))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def likely_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b, n) of the pairs (a, b) whose sketches (of texts: th, n, sketch) leave room for the similarity; n is the number of shingles of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
+            differ = _differing_bins(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())
+            near = differ <= (1 - similarity) / (1 + similarity) * batch.column("n").to_numpy() + 1e-9
+            yield batch.select(["a", "b", "n"]).filter(pa.array(near))
+
+    side = lambda x: texts.select(F.col("th").alias(x), F.col("n").cast("long").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, n long")
+
+
 def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         found = [shingles(x.lower().split(), width) for x in batch.column("t").to_pylist()]
@@ -282,9 +320,9 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
 
 
 def text_rows(base: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Rows (doc_id, text_hash, th, fp, s1, s2, n, keys), one per row of base (doc_id, text_hash, t).
+    """Rows (doc_id, text_hash, th, fp, s1, s2, sketch, n, keys), one per row of base (doc_id, text_hash, t).
 
-    th names the word sequence, fp is the SimHash of its n shingles, s1 and s2 are their sketch. keys is its prefix: the shingles of a text are put
+    th names the word sequence, fp is the SimHash of its n shingles, s1 and s2 are their short sketch, sketch is the whole one. keys is its prefix: the shingles of a text are put
     in an order that is the same for all, frequent ones last, and two texts at the similarity share one of their first
     n - ceil(similarity * n) + 1.
     """
@@ -301,13 +339,14 @@ def text_rows(base: DataFrame, width: int, similarity: float) -> DataFrame:
         sole_cache("simhash", lambda: None)
         known, ranks = ranked.value
         for batch in pieces(batches, limit=PIECE):
-            ths, fps, sketches, ns, keys = [], [], [], [], []
+            ths, fps, sketches, whole, ns, keys = [], [], [], [], [], []
             for text in batch.column("t").to_pylist():
                 words = text.lower().split()
                 s = shingles(words, width)
                 ths.append(_text_name(words))
                 fps.append(_majority(s.tobytes()))
                 sketches.append(_sketch(s))
+                whole.append(_whole_sketch(s))
                 ns.append(len(s))
                 if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -315,16 +354,21 @@ def text_rows(base: DataFrame, width: int, similarity: float) -> DataFrame:
                 keys.append(s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1])
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(ths, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in zip(*sketches, strict=True)), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(keys))],
-                names=["doc_id", "text_hash", "th", "fp", "s1", "s2", "n", "keys"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(ths, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in zip(*sketches, strict=True)), pa.array(whole, pa.binary()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(keys))],
+                names=["doc_id", "text_hash", "th", "fp", "s1", "s2", "sketch", "n", "keys"],
             )
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, text_hash long, th long, fp long, s1 long, s2 long, n int, keys array<long>")
+    return base.mapInArrow(run, f"doc_id {kind}, text_hash long, th long, fp long, s1 long, s2 long, sketch binary, n int, keys array<long>")
 
 
-def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """Rows (key, th, n_pos, ahead, ahead2, size) of texts (th, n, keys), where a key is shared by two texts or more.
+def _among(part: int, parts: int, *columns: str) -> Column:
+    """Whether a row is of one of `parts`, by a hash of its columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(parts)) == part
+
+
+def shared_prefixes(rows: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """Rows (key, th, n_pos, ahead, ahead2, size) of texts (th, n, keys), where a key is shared by two texts or more: keys of one of `parts`.
 
     n_pos holds n and the place of the key among the n shingles, 32 bits each, ahead and ahead2 are the keys one and two
     places ahead (0: none), size the number of texts that have the key in their prefix.
@@ -343,11 +387,16 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
             if good.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[good], pa.int64()) for x in (*(x[once] for x in rows), size)], names=[*names, "size"])
 
-    each = rows.select("n", "th", "keys", F.posexplode("keys").alias("pos", "key"))
+    each = rows.select("n", "th", "keys", F.posexplode("keys").alias("pos", "key")).filter(_among(part, parts, "key"))
     each = each.select("key", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("n_pos"), "th", *[F.coalesce(F.get("keys", F.col("pos") - k), F.lit(0)).alias(x) for k, x in ((1, "ahead"), (2, "ahead2"))])
     return each.repartition("key").sortWithinPartitions("key", "n_pos", "th").mapInArrow(shared, "key long, n_pos long, th long, ahead long, ahead2 long, size long")
 
 
+def _key_parts(low: int, high: int, block: int) -> Column:
+    """The tasks that a key of so many texts is dealt over."""
+    return F.greatest(F.lit(1), F.least(F.lit(high - low), F.ceil(F.col("size") / block))).cast("long")
+
+
 def prefix_pairs(shared: DataFrame, texts: DataFrame, roots: DataFrame, low: int, high: int, similarity: float, block: int) -> DataFrame:
     """Rows (a, b): texts of one key from `low` to less than `high` places apart that may be similar and have not the same root.
 
@@ -356,7 +405,7 @@ def prefix_pairs(shared: DataFrame, texts: DataFrame, roots: DataFrame, low: int
     Two whose sketches (of texts: th, s1, s2) differ in more bins than similar ones have shingles apart aren't put out.
     """
     of = texts.select("th", "s1", "s2").join(roots.select(F.col("node").alias("th"), "root"), "th", "left")
-    parts = F.greatest(F.lit(1), F.least(F.lit(high - low), F.ceil(F.col("size") / block))).cast("long")
+    parts = _key_parts(low, high, block)
     rows = shared.filter(F.col("size") > low).join(of, "th").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "n_pos", "th", "ahead", "ahead2", F.coalesce("root", "th").alias("root"), parts.alias("parts"), "s1", "s2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +455,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, dis
     Words are as in `near_duplicates`. First come links of SimHashes of the distinct shingles, by deletion variants; all
     others are found by a join on prefixes of shingles, which misses none. The join compares the texts of a key in
     rounds of growing distance, and leaves out those that links found so far connect, until every pair of every key
-    was had. Every candidate is verified on all its shingles. Texts without words are linked to each other.
+    was had. Every candidate whose sketches leave room is verified on all its shingles. Texts without words are linked to each other.
 
     text_hash is Spark's xxhash64 of the text (null as empty), which tells rows of one doc_id apart. component_id is the
     least doc_id of the group. The row of the least (doc_id, text_hash) of a group stays, with its exact repeats. A null
@@ -415,14 +464,29 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, dis
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), text_bytes().alias("t"))
     found = cut(text_rows(base, width, similarity))
-    rows = cut(found.select("doc_id", "text_hash", "th", "fp", "s1", "s2"))
-    texts = rows.filter(F.col("doc_id").isNotNull()).groupBy("th").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), *[F.first(c).alias(c) for c in ("fp", "s1", "s2")])
-    texts = cut(texts.select("th", "fp", "s1", "s2", "least.*"))
+    rows = cut(found.select("doc_id", "text_hash", "th"))
+    texts = found.filter(F.col("doc_id").isNotNull()).groupBy("th").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), *[F.first(c).alias(c) for c in ("fp", "s1", "s2", "n", "sketch")])
+    texts = cut(texts.select("th", "fp", "s1", "s2", "n", "sketch", "least.*"))
+    n_texts, n_shingles = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts_of = lambda size: partitions_for(int(size), max(MOVED_LEAST, int(MOVED_SHARE * 8 * n_shingles)))
     once = found.join(texts.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
     others = cut(rows.join(texts.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash"))
     if others.count() <= ASKED_BROADCAST:  # few repeats: prefixes stay where they are
         once = found.join(F.broadcast(others), found["doc_id"].eqNullSafe(others["doc_id"]) & (found["text_hash"] == others["text_hash"]), "left_anti")
-    keys = cut(shared_prefixes(once))
+
+    def in_parts(parts: int, of: Callable[[int], DataFrame]) -> DataFrame:
+        """Its parts, materialised one after another, so that what one moves is gone when the next begins."""
+        done = None
+        for part in range(parts):
+            if part:
+                release(spark)
+            more = cut(of(part))
+            done = more if done is None else done.unionByName(more)
+        return done
+
+    release(spark)
+    parts = parts_of(PREFIX_BYTES * ((1 - similarity) * n_shingles + n_texts))
+    keys = in_parts(parts, lambda part: shared_prefixes(once, part, parts))
     del found, once
     release(spark)
 
@@ -432,26 +496,29 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, dis
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "s"])
 
     def verified(candidates: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar. In parts, one after another, so that not all shingles are on disk at a time."""
-        true_links, parts = None, VERIFY_PARTS if candidates.count() > ASKED_BROADCAST else 1
-        for part in range(parts):
-            pairs = candidates.filter(F.pmod(F.xxhash64("b"), F.lit(parts)) == part)
+        """The pairs (a, b) that are similar."""
+        likely = cut(likely_pairs(candidates, texts, similarity))
+        n = likely.agg(F.sum("n")).first()[0]
+        if n is None:
+            return candidates.limit(0)
+        parts = parts_of(8 * n)
+
+        def of(part: int) -> DataFrame:
+            pairs = likely.filter(_among(part, parts, "b")).select("a", "b")
             asked = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
             asked = cut(asked.join(texts, "th").select("th", "doc_id", "text_hash"))
-            if asked.isEmpty():
-                continue
             # Only texts asked for are taken apart and moved, but for a few that the join then leaves out.
             some = Membership(asked, ["doc_id", "text_hash"])
-            own = some.marked(base).mapInArrow(lambda it, some=some: sets(some.chosen(it, True)), f"doc_id {kind}, text_hash long, s array<long>")
+            own = some.marked(base).mapInArrow(lambda it: sets(some.chosen(it, True)), f"doc_id {kind}, text_hash long, s array<long>")
             first = own.join(F.broadcast(asked) if asked.count() <= ASKED_BROADCAST else asked, ["doc_id", "text_hash"]).select("th", "s").repartition("th")
-            side = lambda x, first=first: first.select(F.col("th").alias(x), F.col("s").alias(f"s{x}"))
+            side = lambda x: first.select(F.col("th").alias(x), F.col("s").alias(f"s{x}"))
             shared = F.size(F.array_intersect("sa", "sb"))
             similar = F.when(F.size("sa") + F.size("sb") == 0, True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))
-            more = cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(similar).select("a", "b"))
-            true_links = more if true_links is None else true_links.unionByName(more)
-            del own, first, side
-            release(spark)
-        return candidates.limit(0) if true_links is None else true_links
+            return pairs.join(side("a"), "a").join(side("b"), "b").filter(similar).select("a", "b")
+
+        found = in_parts(parts, of)
+        release(spark)
+        return found
 
     # Texts of one fingerprint are linked by way of the least of them; so are fingerprints.
     heads = cut(texts.groupBy("fp").agg(F.min("th").alias("head")))
@@ -463,7 +530,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, dis
     release(spark)
     most, low, high = keys.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0], 1, REACH + 1
     while low < most:
-        more = cut(prefix_pairs(keys, texts, roots, low, high, similarity, block).join(tried, ["a", "b"], "left_anti"))
+        dealt = keys.filter(F.col("size") > low).agg(F.coalesce(F.sum(_key_parts(low, high, block)), F.lit(0))).first()[0]
+        parts = parts_of(KEY_BYTES * dealt)
+        near = lambda part, parts=parts, low=low, high=high, roots=roots, tried=tried: prefix_pairs(keys.filter(_among(part, parts, "key")), texts, roots, low, high, similarity, block).join(tried, ["a", "b"], "left_anti")
+        more = in_parts(parts, near) if parts == 1 else cut(in_parts(parts, near).distinct())
         if not more.isEmpty():
             tried = tried.unionByName(more)
             found = verified(more)
