@@ -121,10 +121,11 @@ def best_windows(cues: DataFrame, segments: DataFrame, materialised: bool = Fals
     return cues.join(matched, key)
 
 
-def refined_times(parts: Column, token_start: Column, token_end: Column) -> Column:
+def refined_times(parts: Column, token_start: Column, token_end: Column, second: float = 1.0) -> Column:
     """struct<start_s, end_s> of the tokens [token_start, token_end) of a span, each segment's time spread over its words.
 
     parts: array<struct<start_s, end_s, n>> of the span's segments, n words each. Without tokens, the span's own times.
+    Times are in the unit of which `second` make a second.
     """
     span_start, span_end = F.get(parts, F.lit(0))["start_s"], F.element_at(parts, -1)["end_s"]
     words = lambda p: F.greatest(F.coalesce(p["n"], F.lit(0)), F.lit(0)).cast("int")
@@ -138,11 +139,11 @@ def refined_times(parts: Column, token_start: Column, token_end: Column) -> Colu
         step = lambda acc, p: F.when(inside(acc, p), of(acc["seen"] + words(p), p["start_s"], p["end_s"], words(p), nth - acc["seen"])).otherwise(of(acc["seen"] + words(p), acc["s"], acc["e"], acc["n"], acc["k"]))
         return F.aggregate(parts, of(F.lit(0), none, none, none, none), step)
 
-    at = lambda w, k: w["s"] + (k / w["n"]) * F.greatest(F.lit(1e-6), w["e"] - w["s"])
+    at = lambda w, k: w["s"] + (k / w["n"]) * F.greatest(F.lit(1e-6 * second), w["e"] - w["s"])
 
     def timed(a: Column, b: Column) -> Column:
         begin = F.least(F.greatest(at(a, a["k"]), span_start), span_end)
-        return let(begin, lambda start: F.struct(start.alias("start_s"), F.least(F.greatest(at(b, b["k"] + 1), start + 1e-3), span_end).alias("end_s")))
+        return let(begin, lambda start: F.struct(start.alias("start_s"), F.least(F.greatest(at(b, b["k"] + 1), start + 1e-3 * second), span_end).alias("end_s")))
 
     def found(n: Column) -> Column:
         first = F.greatest(F.lit(0), F.least(n - 1, token_start))
