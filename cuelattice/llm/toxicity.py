@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, pieces, sole_cache, text_bytes
+from .common import cut, pieces, release, sole_cache, text_bytes
 
 #: Labelled rows that the classifier is fitted on at most: those with the least hashes of their ids.
 SAMPLE_ROWS = 3_000
@@ -132,6 +132,20 @@ def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "f": pa.array(found, pa.list_(pa.int32()))})
 
 
+def joined_lists(chunks: list[pa.ListArray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists of integers in one array, and the offsets of the lists in it. Takes the last chunk first and lets go of each once it is copied."""
+    sizes = [np.diff(np.asarray(x.offsets, np.int64)) for x in reversed(chunks)]
+    offsets = np.concatenate([np.zeros(1, np.int64), *sizes]).cumsum()
+    values, at = np.empty(offsets[-1], np.int32), 0
+    while chunks:
+        part = np.asarray(chunks.pop().flatten())
+        values[at : at + len(part)] = part
+        at += len(part)
+        del part
+        pa.default_memory_pool().release_unused()
+    return values, offsets
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learn from a sample of the labelled rows that aren't held out, of bounded rows and bytes, in the order of the hashes of their ids.
 
@@ -147,12 +161,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sizes of the bounded sample only
     within = found.select("doc_id", F.octet_length("t").alias("size")).withColumn("so_far", so_far).filter(F.col("so_far") <= sample_bytes).select("doc_id")
     chosen = found.join(F.broadcast(within), "doc_id", "left_semi")
+    release(docs.sparkSession)  # the driver's JVM and its Python fill the same memory: here the one hands over, there the other fits
     rows = chosen.mapInArrow(sample_features, f"doc_id {kind}, toxic int, f array<int>").toArrow()
-    found = rows.column("f").combine_chunks()
-    found = found if isinstance(found, pa.ListArray) else pa.concat_arrays(found.chunks or [pa.array([], pa.list_(pa.int32()))])
-    first, toxic = np.asarray(found.offsets, np.int64), rows.column("toxic").to_numpy().astype(np.int64)
+    toxic, chunks = rows.column("toxic").to_numpy().astype(np.int64), rows.column("f").chunks[::-1]
     del rows
-    return fit_model(np.asarray(found.values)[first[0] : first[-1]], first - first[0], toxic)
+    feature, offsets = joined_lists(chunks)
+    release(docs.sparkSession)
+    return fit_model(feature, offsets, toxic)
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "__toxicity") -> DataFrame:

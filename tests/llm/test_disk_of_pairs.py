@@ -5,8 +5,9 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
-from cuelattice.llm import simhash
+from cuelattice.llm import simhash, toxicity
 
 from .test_similar_groups import brute_force, groups
 
@@ -78,3 +79,12 @@ def test_what_a_stage_was_given_goes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(i), stage) for i in range(4)])
     assert sorted(r.id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [4, 5, 6, 7, 8]
     assert held == [[], ["0"], ["1"], ["2"]]
+
+
+def test_chunks_go_as_they_are_joined():
+    chunks = [pa.array(x, pa.list_(pa.int32())) for x in ([[1, 2], [], [3]], [], [[4]], [[5, 6], [7], [8, 9, 10]])]
+    chunks[-1] = chunks[-1].slice(1)
+    taken = chunks[::-1]
+    values, offsets = toxicity.joined_lists(taken)
+    assert not taken and values.tolist() == [1, 2, 3, 4, 7, 8, 9, 10] and offsets.tolist() == [0, 2, 2, 3, 4, 5, 8]
+    assert [x.tolist() for x in toxicity.joined_lists([])] == [[], [0]]
